@@ -36,7 +36,7 @@ from .common import TokenHash, forget, save, windows
 
 WIDTH, GRAM, FANOUT = 20, 5, 4
 _LOW = -(1 << 63)
-_RUN = "fp long, id long, start int, n int"
+_RUN = "fp long, id long, start int, n int, times int"
 
 
 def _tokens(text: str | None, memo: TokenHash) -> np.ndarray:
@@ -53,13 +53,20 @@ def _least(h: np.ndarray, span: int) -> np.ndarray:
     return h
 
 
-def stretches(tokens: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint, first window, number of windows) of each stretch of windows with one fingerprint."""
+def stretches(tokens: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, first window, number of windows, number of parts with that hash) of each stretch of windows with one fingerprint."""
     if len(tokens) < width:
-        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
-    fp = _least(windows(tokens, gram, 1), width - gram + 1)
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+    parts, span = windows(tokens, gram, 1), width - gram + 1
+    fp = _least(parts, span)
     start = np.concatenate(([0], np.flatnonzero(fp[1:] != fp[:-1]) + 1))
-    return fp[start].view(np.int64), start.astype(np.int32), np.diff(np.concatenate((start, [len(fp)]))).astype(np.int32)
+    n = np.diff(np.concatenate((start, [len(fp)])))
+    # text that repeats itself within a stretch has its least part more than once there
+    size = n + span - 1
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+    at = np.arange(size.sum()) + np.repeat(start - first, size)
+    times = np.add.reduceat((parts[at] == np.repeat(fp[start], size)).astype(np.int32), first)
+    return fp[start].view(np.int64), start.astype(np.int32), n.astype(np.int32), times.astype(np.int32)
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -82,8 +89,8 @@ class WindowIndex:
             for b in batches:
                 found = [stretches(_tokens(t, memo), width, gram) for t in b.column(1).to_pylist()]
                 ids = np.repeat(np.asarray(b.column(0)), [len(x[0]) for x in found])
-                cols = [np.concatenate([x[i] for x in found]) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(ids, pa.int64()), pa.array(cols[1]), pa.array(cols[2])], ["fp", "id", "start", "n"])
+                cols = [np.concatenate([x[i] for x in found]) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(ids, pa.int64()), *map(pa.array, cols[1:])], ["fp", "id", "start", "n", "times"])
 
         return self._sorted(_source(docs).mapInArrow(run, _RUN))
 
@@ -94,7 +101,7 @@ class WindowIndex:
     def _repeats(self, batch: DataFrame, run: DataFrame) -> DataFrame:
         """(id, pos) of the batch's windows that also start earlier."""
         history = reduce(DataFrame.unionAll, self.runs) if self.runs else None
-        own = run.groupBy("fp").agg(F.count("*").alias("k"))
+        own = run.groupBy("fp").agg(F.sum("times").alias("k"))
         stretch_twice = own.where("k > 1")
         if history is None:
             often = stretch_twice.select("fp")
