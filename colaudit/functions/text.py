@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def places(value: Column, n: int = 4) -> Column:
+    """Rounded half up for values from 0 on; a value on the edge goes up whatever its last bits are."""
+    return F.round(value + 1e-9, n)
+
+
 def normalize_name(name: Column) -> Column:
     """Lower case, runs of other characters as one space."""
     return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))

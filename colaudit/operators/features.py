@@ -16,6 +16,10 @@ def _mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, total / F.nullif(F.size(values), F.lit(0))).otherwise(F.lit(0.0))
 
 
+def _matches(values: Column, pattern: str) -> Column:
+    return F.transform(values, lambda x: x.rlike(pattern).cast("int"))
+
+
 def _num(c: Column) -> Column:
     return F.coalesce(c.cast("double"), F.lit(0.0))
 
@@ -38,7 +42,7 @@ def feature_columns(include_usage: bool = False) -> dict[str, Column]:
         "n_samples": _num(F.size(v)), "null_rate": _num(c("sample_null_fraction")), "distinct_ratio": F.when(F.size(v) > 0, _num(c("distinct_in_sample")) / F.nullif(F.size(v), F.lit(0))).otherwise(0.0),
         "val_len_mean": mean_len, "val_len_max": _num(F.array_max(lengths)), "val_len_std": spread, "val_entropy_mean": _mean(F.transform(v, entropy)), "val_words_mean": _mean(words), "val_is_freetext": _num(_mean(words) >= 3.0),
         "val_digit_ratio": _mean(digits), "val_space_frac": _mean(F.transform(v, lambda x: x.contains(" ").cast("int"))),
-        **{f"sig_{s}": _mean(F.transform(v, lambda x, p=p: x.rlike(p).cast("int"))) for s, p in SIGNATURES.items()},
+        **{f"sig_{s}": _mean(_matches(v, p)) for s, p in SIGNATURES.items()},
     }
     if include_usage:
         out |= {"use_score": _num(c("use_score")), "use_is_used": _num(c("use_is_used")), "use_log_reads": F.log1p(_num(c("use_reads"))), "use_log_writes": F.log1p(_num(c("use_writes")))}

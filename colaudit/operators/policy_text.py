@@ -93,7 +93,7 @@ def category_phrase(sentence: Column) -> Column:
     """What stands before the first retention verb or duration."""
     low = F.lower(sentence)
     raw = F.regexp_extract(sentence, DURATION, 0)
-    places = [F.when(F.locate(v, low) > 0, F.locate(v, low)) for v in VERBS] + [F.when(raw != "", F.locate(raw, sentence))]
+    places = [F.when(F.locate(v, low) > 0, F.locate(v, low)) for v in VERBS] + [F.when(raw != "", F.position(raw, sentence))]
     cut = F.coalesce(F.least(*places), F.length(sentence) + 1)
     phrase = F.regexp_replace(F.btrim(F.substring(sentence, F.lit(1), cut - 1), F.lit(" ,;:.")), LEADING, "")
     return F.when(phrase == "", sentence).otherwise(phrase)

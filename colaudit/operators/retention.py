@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import places
 from ..sources.policy import RetentionPolicy
 
 #: Names of lifecycle times, of dates that describe something else, preferred anchors; the share of
@@ -34,13 +35,13 @@ def age_days(ts: Column, now: Column) -> Column:
 def age_score(age: Column, days: Column) -> Column:
     """0 until the policy's age, 1 from twice that age on."""
     over = age - days
-    return F.when(age.isNull() | (days <= 0) | (over <= 0), F.lit(0.0)).otherwise(F.round(F.least(F.lit(1.0), over / F.when(days > 0, days)), 4))
+    return F.when(age.isNull() | (days <= 0) | (over <= 0), F.lit(0.0)).otherwise(places(F.least(F.lit(1.0), over / F.when(days > 0, days))))
 
 
 def blend(age: Column, fraction: Column) -> Column:
     """The age score, less where few rows are overdue."""
     volume = F.least(F.lit(1.0), fraction / VOLUME_TARGET)
-    return F.when(age <= 0, F.lit(0.0)).when(fraction.isNull(), F.round(age, 4)).otherwise(F.round(age * (0.4 + 0.6 * volume), 4))
+    return F.when(age <= 0, F.lit(0.0)).when(fraction.isNull(), places(age)).otherwise(places(age * (0.4 + 0.6 * volume)))
 
 
 def live_stats(tables: Mapping[str, DataFrame], columns: DataFrame, policy: RetentionPolicy, now) -> DataFrame | None:
@@ -60,7 +61,7 @@ def live_stats(tables: Mapping[str, DataFrame], columns: DataFrame, policy: Rete
         parts.append(one.select("rows_total", rows.alias("x")).select("x.qualified_name", "rows_total", "x.rows_overdue"))
     if not parts:
         return None
-    share = F.when(F.col("rows_total") > 0, F.round(F.col("rows_overdue") / F.nullif("rows_total", F.lit(0)), 4)).otherwise(F.lit(0.0))
+    share = F.when(F.col("rows_total") > 0, places(F.col("rows_overdue") / F.nullif("rows_total", F.lit(0)))).otherwise(F.lit(0.0))
     return reduce(DataFrame.unionAll, parts).withColumn("fraction_overdue", share)
 
 

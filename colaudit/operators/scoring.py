@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import places
+
 #: Fixed order of the report.
 VERDICTS = ["flag_for_deletion", "review", "keep", "not_a_risk"]
 
@@ -29,7 +31,7 @@ def verdict_order(verdict: Column) -> Column:
 def gate(rows: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """(sensitivity, usage, retention) -> three inclusive tests, the product, the flag and the verdict."""
     rows = rows.select(
-        "*", F.round(F.col("sensitivity") * (1 - F.col("usage")) * F.col("retention"), 4).alias("score"),
+        "*", places(F.col("sensitivity") * (1 - F.col("usage")) * F.col("retention")).alias("score"),
         (F.col("sensitivity") >= t.sensitive).alias("is_sensitive"), (F.col("usage") <= t.unused).alias("is_unused"), (F.col("retention") >= t.stale).alias("is_stale"),
     )
     return rows.withColumn("is_flagged", F.col("is_sensitive") & F.col("is_unused") & F.col("is_stale")).withColumn("verdict", verdict_of(F.col("is_sensitive"), F.col("is_unused"), F.col("is_stale")))

@@ -44,10 +44,12 @@ def value_rule(samples: Column, ratio: float = 0.6, embedded_ratio: float = 0.3)
     share = lambda hits: F.size(hits) / F.nullif(n, F.lit(0))
     rule = lambda r: F.struct(F.lit(r[0]).alias("id"), F.lit(r[2]).cast("string").alias("kind"), F.lit(r[3]).alias("weight"))
     out = F.when(n == 0, F.lit(None))
+    whole = lambda name: F.filter(first, lambda x: x == name)
+    inside = lambda pattern: F.filter(samples, lambda x: found_in(x, pattern))
     for r in VALUE_RULES:
-        out = out.when(share(F.filter(first, lambda x, r=r: x == r[0])) >= ratio, rule(r))
+        out = out.when(share(whole(r[0])) >= ratio, rule(r))
     for r in EMBEDDED_RULES:
-        out = out.when(share(F.filter(samples, lambda x, r=r: found_in(x, r[1]))) >= embedded_ratio, rule(r))
+        out = out.when(share(inside(r[1])) >= embedded_ratio, rule(r))
     return out
 
 

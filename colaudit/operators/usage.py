@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import places
 from . import lineage as ln
 
 #: Fixed values of the score.
@@ -98,7 +99,7 @@ def score(counts: DataFrame, half_life_days: float, now: Column) -> DataFrame:
     c = c.withColumn("recency", F.pow(F.lit(0.5), age / F.lit(half_life_days)))
     raw = F.col("frequency") * (RECENCY_FLOOR + (1 - RECENCY_FLOOR) * F.col("recency"))
     used = F.col("weighted") > 0
-    c = c.withColumn("score", F.when(used, F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 4)).otherwise(F.lit(0.0)))
+    c = c.withColumn("score", F.when(used, places(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))).otherwise(F.lit(0.0)))
     return c.withColumn("is_used", used).withColumn("tier", tier(F.col("score")))
 
 
