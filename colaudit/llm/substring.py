@@ -9,8 +9,8 @@ eighth of the words.  Runs are sorted by fingerprint and never changed.  A new b
 2. merge-joins it with the historical runs (and counts it on its own) to find the
    fingerprints that occur more than once,
 3. verifies: where such a fingerprint stands, in the batch or in history, it hashes the
-   twenty words in full from the texts (64 and 32 independent bits) and keeps the earliest place
-   of each window,
+   twenty words in full from the texts (64 and 32 independent bits) and finds the first
+   document of each window; within a text the first place is known at once,
 4. drops the words under windows that start earlier elsewhere,
 5. merges the runs into one sorted run when there are more than ``fanout``.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TokenHash, forget, save, windows
+from .common import TokenHash, forget, mix, save, windows
 
 WIDTH, GRAM, FANOUT = 20, 5, 4
 _LOW = -(1 << 63)
@@ -69,6 +69,33 @@ def stretches(tokens: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np
     return fp[start].view(np.int64), start.astype(np.int32), n.astype(np.int32), times.astype(np.int32)
 
 
+class Rolling:
+    """Two independent polynomial hashes modulo 2**64 of all windows of a text, by prefix sums."""
+
+    FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that powers can be inverted
+
+    def __init__(self, width: int):
+        self.width, self.powers = width, [np.ones(1, np.uint64) for _ in range(4)]
+
+    def _up_to(self, n: int) -> None:
+        if n > len(self.powers[0]):
+            n = 1 << (n - 1).bit_length()
+            for k, m in enumerate(self.FACTORS):
+                for i, f in enumerate((m, pow(m, -1, 1 << 64))):
+                    steps = np.full(n, f, np.uint64)
+                    steps[0] = 1
+                    self.powers[2 * k + i] = np.cumprod(steps, dtype=np.uint64)
+
+    def of(self, tokens: np.ndarray, k: int) -> np.ndarray:
+        """The hash of each window; k = 1 hashes the tokens anew."""
+        n = len(tokens)
+        self._up_to(n + 1)
+        if k:
+            tokens = mix(tokens ^ np.uint64(0xA0761D6478BD642F))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * self.powers[2 * k][:n], dtype=np.uint64)))
+        return mix((sums[self.width :] - sums[: -self.width]) * self.powers[2 * k + 1][: n - self.width + 1])
+
+
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("id"), F.col("text").cast("string").alias("text"))
 
@@ -116,25 +143,29 @@ class WindowIndex:
         width = self.width
 
         def hashes(batches):
-            memo, other = TokenHash(11), TokenHash(12)
+            memo, rolling = TokenHash(11), Rolling(width)
             for b in batches:
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for i, text, places in zip(*(c.to_pylist() for c in b.columns)):
-                    words = (text or "").encode("utf-8", "surrogatepass").split()
-                    if len(words) < width:
+                    tokens = _tokens(text, memo)
+                    if len(tokens) < width:
                         continue
                     pos = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in places]))
-                    pos = pos[pos <= len(words) - width]
-                    h, c = windows(memo.of(words), width, 2)[pos], windows(other.of(words), width, 3)[pos]
-                    for col, x in zip(out, (h.view(np.int64), (c >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(pos), i, np.int64), pos.astype(np.int32))):
+                    pos = pos[pos <= len(tokens) - width]
+                    h, c = rolling.of(tokens, 0)[pos], (rolling.of(tokens, 1)[pos] >> np.uint64(32)).astype(np.uint32)
+                    # a window that starts earlier in the same text needs no other row to be a repeat
+                    again = np.ones(len(pos), bool)
+                    again[np.unique(h, return_index=True)[1]] = False
+                    for col, x in zip(out, (h.view(np.int64), c.view(np.int32), np.full(len(pos), i, np.int64), pos.astype(np.int32), again)):
                         col.append(x)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "c", "id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "c", "id", "pos", "again"])
 
-        full = texts.join(at, "id").select("id", "text", "at").mapInArrow(hashes, "h long, c int, id long, pos int")
+        full = texts.join(at, "id").select("id", "text", "at").mapInArrow(hashes, "h long, c int, id long, pos int, again boolean")
         full = save(full, "windows")
-        first = full.groupBy("h", "c").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "c", "first")
-        repeats = full.join(first, ["h", "c"]).where("struct(id, pos) > first").select("id", "pos")
+        across = full.where("not again")
+        first = across.groupBy("h", "c").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "c", "first")
+        repeats = across.join(first, ["h", "c"]).where("id > first").select("id", "pos").unionAll(full.where("again").select("id", "pos"))
         if history is not None:
             least = _source(batch).agg(F.min("id")).first()[0]
             repeats = repeats.where(F.col("id") >= F.lit(_LOW if least is None else least))
