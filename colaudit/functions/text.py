@@ -60,7 +60,7 @@ def quote(name: Column, dialect: str = "postgresql") -> Column:
 
 def split_names(value: Column) -> Column:
     """A pipe- or semicolon-joined list of names."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "[|;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "[|;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def glob_pattern(glob: str) -> str:

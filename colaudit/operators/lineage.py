@@ -36,51 +36,55 @@ def _parts(text: str | None) -> list[str]:
 
 
 class _Statement:
-    """What one parsed plan mentions."""
+    """What one parsed plan mentions; names are kept with their scope, a list of table lists from the inside out."""
 
     def __init__(self, nodes: list):
         self.tables: list[str] = []
         self.aliases: dict[str, str] = {}
         self.ctes: set[str] = set()
-        self.reads: list[list[str]] = []
-        self.stars: list[list[str]] = []
+        self.reads: list[tuple[list[str], list[list[str]]]] = []
+        self.stars: list[tuple[list[str], list[list[str]]]] = []
         self.writes: list[list[str]] = []
         self.insert: tuple[str, list[str]] | None = None
-        self.target: str | None = None
-        self._list(nodes)
+        self._list(nodes, [[]])
 
-    def _list(self, nodes: list) -> None:
+    def _list(self, nodes: list, scope: list[list[str]]) -> None:
         skip = -1
         for i, n in enumerate(nodes):
             if not isinstance(n, dict):
                 if isinstance(n, list):
-                    self._list(n)
+                    self._list(n, scope)
                 continue
             kind = n.get("class", "").rpartition(".")[2]
             if kind == "Assignment":
                 skip = i + 1  # the key, next in pre-order, is written
             if kind == "UnresolvedAttribute":
-                (self.writes if i == skip else self.reads).append(_parts(n["nameParts"]))
+                if i == skip:
+                    self.writes.append(_parts(n["nameParts"]))
+                else:
+                    self.reads.append((_parts(n["nameParts"]), scope))
             elif kind == "UnresolvedStar":
-                self.stars.append(_parts(n.get("target")))
+                self.stars.append((_parts(n.get("target")), scope))
             elif kind == "UnresolvedRelation":
                 name = _parts(n["multipartIdentifier"])[-1]
                 self.tables.append(name)
+                scope[0].append(name)
                 self.aliases.setdefault(name, name)
                 before = nodes[i - 1] if i else None
                 if isinstance(before, dict) and before.get("class", "").endswith(".SubqueryAlias"):
                     self.aliases[before["identifier"]["name"]] = name
             elif kind == "InsertIntoStatement":
-                self.insert = (_parts(n["table"][0]["multipartIdentifier"])[-1], _parts(n.get("userSpecifiedCols") if isinstance(n.get("userSpecifiedCols"), str) else ""))
-            elif kind == "UpdateTable":
-                self.target = "update"
+                columns = n.get("userSpecifiedCols")
+                self.insert = (_parts(n["table"][0]["multipartIdentifier"])[-1], _parts(columns if isinstance(columns, str) else ""))
+                continue  # its source follows in this list
             elif kind == "UnresolvedWith":
                 self.ctes |= {r["_1"] for r in n["cteRelations"]}
+                for r in n["cteRelations"]:
+                    self._list(r["_2"], [[], *scope])
+                continue
             for key, value in n.items():
                 if isinstance(value, list) and key != "nameParts":
-                    self._list(value)
-                elif isinstance(value, dict) and "product-class" in value:
-                    self._list([v for v in value.values() if isinstance(v, list)])
+                    self._list(value, [[], *scope] if key == "plan" else scope)
 
 
 _INSERT = re.compile(r"insert\s+into\s+([\w.\"`]+)\s*\(([^)]*)\)", re.I)
@@ -101,13 +105,9 @@ def lineage(spark: SparkSession, sql: str, catalog: Catalog | None = None) -> di
         table = m[1].replace('"', "").replace("`", "").rpartition(".")[2]
         names = [c.strip().strip('"`') for c in m[2].split(",") if c.strip()]
         return empty | {"writes": sorted({f"{table}.{c}" for c in names}), "parsed_ok": True, "method": "insert-regex"}
-    real = [t for t in dict.fromkeys(found.tables) if t not in found.ctes]
-    if found.insert and found.insert[0] not in real:
-        real.append(found.insert[0])
-    sources = [t for t in real if not found.insert or t != found.insert[0] or found.tables.count(t) > 1]
     reads, writes, wild, unknown = set(), set(), set(), []
 
-    def place(parts: list[str], out: set, among: list[str]) -> None:
+    def place(parts: list[str], out: set, scope: list[list[str]]) -> None:
         column = parts[-1]
         if len(parts) > 1:
             table = found.aliases.get(parts[-2], parts[-2])
@@ -116,20 +116,22 @@ def lineage(spark: SparkSession, sql: str, catalog: Catalog | None = None) -> di
             else:
                 out.add(f"{table}.{column}")
             return
-        owners = [t for t in among if catalog and column in catalog.get(t, ())]
-        if len(among) == 1 and not found.ctes and (not catalog or among[0] not in catalog or owners):
-            out.add(f"{among[0]}.{column}")
-        elif len(owners) == 1:
-            out.add(f"{owners[0]}.{column}")
-        else:
-            unknown.append(column)
-
-    for parts in found.reads:
-        place(parts, reads, sources or real)
+        for among in scope:  # the innermost query that has one owner of the name
+            tables = list(dict.fromkeys(among))
+            owners = [t for t in tables if catalog and column in catalog.get(t, ())]
+            if len(owners) == 1 or len(tables) == 1 and tables[0] not in found.ctes and not (catalog and tables[0] in catalog):
+                out.add(f"{(owners or tables)[0]}.{column}")
+                return
+            if owners:
+                break
+        unknown.append(column)
+
+    for parts, scope in found.reads:
+        place(parts, reads, scope)
     for parts in found.writes:
-        place(parts, writes, real[:1])
-    for star in found.stars:
-        for t in [found.aliases.get(star[-1], star[-1])] if star else sources or real:
+        place(parts, writes, [found.tables[:1]])
+    for star, scope in found.stars:
+        for t in [found.aliases.get(star[-1], star[-1])] if star else dict.fromkeys(scope[0]):
             if t in found.ctes:
                 continue
             if catalog and t in catalog:

@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.policy import RetentionPolicy
 
@@ -112,7 +113,7 @@ def extract_rules(docs: DataFrame) -> DataFrame:
     return s.select("doc", "pos", "part", "category", to_days(F.regexp_extract("sentence", DURATION, 1), unit).alias("retention_days"), F.regexp_extract("sentence", DURATION, 0).alias("raw_period"), "sentence", "heading", words.alias("keywords"), conf.alias("confidence"), _any(F.col("low"), DEFAULT_MARKERS).alias("is_default"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
