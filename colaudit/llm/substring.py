@@ -218,8 +218,9 @@ class WindowIndex:
 def drop_repeats(docs: DataFrame, n_batches: int = 2, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
     """Ingests a table in ``n_batches`` ranges of doc_id, in order, and returns all batches' results."""
     index = WindowIndex(docs.sparkSession, width, gram, fanout)
-    cuts = sorted({float(x) for x in docs.select(F.col("doc_id").cast("long")).approxQuantile("doc_id", [i / n_batches for i in range(1, n_batches)], 0.01)})
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW))
-    edges = [_LOW, *(int(c) for c in cuts), None]
+    shares = [i / n_batches for i in range(1, n_batches)]
+    cuts = docs.agg(F.percentile_approx(key, shares, 1_000)).first()[0] if shares else []
+    edges = [_LOW, *sorted(set(cuts or ()) - {_LOW}), None]
     parts = [docs.where((key >= a) & (F.lit(True) if b is None else key < b)) for a, b in zip(edges, edges[1:])]
     return reduce(DataFrame.unionAll, [index.ingest(p) for p in parts])

@@ -20,11 +20,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays.
 
-    Rows of one id count as one document; those without an id stay where no document with one is near.
+    Rows equal in id and text are one document.  Rows without an id get one from a hash of their text, above all
+    others, for this stage only.
     """
-    groups = simhash.near_duplicates(docs)
-    keep = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.col("doc_id").cast("long")
+    keyed = docs.withColumn(name, F.coalesce(own, F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)))
+    groups = simhash.near_duplicates(keyed.select(F.col(name).alias("doc_id"), "text"))
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(keep, name, "left_semi").dropDuplicates([name, "text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
