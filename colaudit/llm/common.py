@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -19,6 +20,10 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # workers that see this folder find the package there, wherever the driver was started
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in (found := spark.sparkContext.environment.get("PYTHONPATH", "")).split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{found}".strip(":")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
