@@ -13,10 +13,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / F.nullif(b, F.lit(0))).otherwise(F.lit(0.0))
 
 
-def confusion(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
-    """(n, tp, fp, tn, fn, precision, recall, f1, accuracy); empty denominators give 0."""
+def confusion(rows: DataFrame, predicted: str, actual: str, *more: Column) -> DataFrame:
+    """(n, tp, fp, tn, fn, *more, precision, recall, f1, accuracy); empty denominators give 0; one aggregate for all."""
     p, a = F.col(predicted), F.col(actual)
-    c = rows.agg(F.count("*").alias("n"), F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & ~a).alias("tn"), F.count_if(~p & a).alias("fn"))
+    c = rows.agg(F.count("*").alias("n"), F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & ~a).alias("tn"), F.count_if(~p & a).alias("fn"), *more)
     c = c.select("*", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
     return c.select("*", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"), ratio(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"))
 
@@ -24,8 +24,8 @@ def confusion(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
 def evaluate_sensitivity(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """Confusion of is_sensitive, accuracy of tiers and mean absolute error of scores."""
     j = predictions.select("qualified_name", "score", "tier", F.col("is_sensitive").alias("predicted")).join(truth.select("qualified_name", "sensitivity_score", "sensitivity_tier", F.col("is_sensitive").alias("actual")), "qualified_name")
-    more = j.agg(F.avg((F.col("tier") == F.col("sensitivity_tier")).cast("int")).alias("tier_accuracy"), F.avg(F.abs(F.col("score") - F.col("sensitivity_score"))).alias("score_mae"))
-    return confusion(j, "predicted", "actual").crossJoin(F.broadcast(more))
+    more = F.avg((F.col("tier") == F.col("sensitivity_tier")).cast("int")).alias("tier_accuracy"), F.avg(F.abs(F.col("score") - F.col("sensitivity_score"))).alias("score_mae")
+    return confusion(j, "predicted", "actual", *more)
 
 
 def average_rank(rows: DataFrame, value: str, out: str) -> DataFrame:
@@ -65,7 +65,7 @@ def evaluate_usage(usage: DataFrame, truth: DataFrame) -> DataFrame:
     order = F.create_map(*[F.lit(x) for kv in USAGE_ORDINAL.items() for x in kv])
     j = usage.select("qualified_name", "score", F.col("is_used").alias("predicted")).join(truth.select("qualified_name", F.col("expected_usage").alias("label")), "qualified_name")
     j = j.select("*", (F.col("label") != "never").alias("actual"), order[F.col("label")].cast("double").alias("ordinal"))
-    return confusion(j, "predicted", "actual").crossJoin(F.broadcast(spearman(j.where("ordinal is not null"), "score", "ordinal").select("spearman")))
+    return confusion(j, "predicted", "actual").withColumn("spearman", spearman(j.where("ordinal is not null"), "score", "ordinal").select("spearman").scalar())
 
 
 def band_means(usage: DataFrame, truth: DataFrame) -> DataFrame:

@@ -23,11 +23,11 @@ def weighted(reads: Column, writes: Column) -> Column:
 def in_window(log: DataFrame, window_days: int, now=None) -> DataFrame:
     """The entries of the last days, both ends included; ``now`` is the last entry's time unless given.
 
-    Adds the column ``_now``.  The default clock is a one-row aggregate.
+    Adds the column ``_now``.  The default clock is a scalar sub-query, run once.
     """
-    clock = log.agg(F.max("ts").alias("_now")) if now is None else log.sparkSession.range(1).select(F.lit(now).alias("_now"))
+    clock = log.agg(F.max("ts")).scalar() if now is None else F.lit(now)
     span = F.make_dt_interval(F.lit(window_days))
-    return log.crossJoin(F.broadcast(clock)).where((F.col("ts") >= F.col("_now") - span) & (F.col("ts") <= F.col("_now")))
+    return log.where((F.col("ts") >= clock - span) & (F.col("ts") <= clock)).withColumn("_now", clock)
 
 
 def attribute(log: DataFrame, columns: DataFrame | None, mode: str = "hybrid") -> DataFrame:
