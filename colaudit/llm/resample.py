@@ -13,7 +13,8 @@ as a whole and no key list leaves Spark.
 
 The target model learns from at most ``max_target`` labelled documents (the first by hash of the
 id); the raw model counts every document.  The target counts are smoothed towards the raw
-distribution, so buckets that few target documents reach say little.
+distribution, so buckets that few target documents reach say little, and each n-gram is granted a quarter of the
+relative error of a bucket's target count (at most ``SLACK``).
 
 Defined results: a null or empty text has no n-grams and importance one; null ids draw the
 same noise; rows with equal keys are kept or dropped together, so ties at the k-th key may keep more than
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import TokenHash, mix, save
 
-BUCKETS, MAX_TARGET, SMOOTH, SEED, ENVELOPE = 1 << 14, 20_000, 4.0, 1, 100.0
+BUCKETS, MAX_TARGET, SMOOTH, SEED, ENVELOPE, SLACK = 1 << 14, 20_000, 4.0, 1, 100.0, 0.05
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +57,9 @@ class Model:
         n = len(raw)
         p = (raw + 0.5) / (raw.sum() + 0.5 * n)
         q = (target + smooth * n * p) / (target.sum() + smooth * n) if target.sum() else p
-        self.ratio = np.log(q) - np.log(p)
+        # a few labelled documents show each bucket's share only roughly: what that may be off by does not count against a text
+        slack = min(SLACK, np.sqrt(n / target.sum()) / 4) if target.sum() else 0.0
+        self.ratio = np.log(q) - np.log(p) + slack
 
     def importance(self, text: str | None, memo: TokenHash) -> float:
         return float(self.ratio[ngrams(_words(text, memo), len(self.ratio))].sum())
