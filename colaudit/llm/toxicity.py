@@ -82,53 +82,48 @@ class Index:
         total = np.array([weight[v[1]] * np.array([1, v[1]]) for v in vectors]).reshape(-1, 2).sum(0)
         prior = total[1] / total[0] if total[0] else 0.0
         self.bare = (bare[1] + prior) / (bare[0] + 1) if total[0] else 0.0
-        self.n_blocks = -(-len(full) // block)
+        self.n_blocks = max(1, -(-len(full) // block))
         self.weights = [v[3] for v in full]
         self.terms = [v[2] for v in full]
-        postings: dict[int, list] = {}
-        for n, (ids, w) in enumerate(zip(self.terms, self.weights)):
-            for i, x in zip(ids.tolist(), w.tolist()):
-                postings.setdefault(i, []).append((n, x))
-        self.postings = {i: (np.array([p[0] for p in ps]), np.array([p[1] for p in ps])) for i, ps in postings.items()}
-        self.maxima = {}
-        for i, (at, w) in self.postings.items():
-            blocks, start = np.unique(at // block, return_index=True)
-            self.maxima[i] = (blocks, np.maximum.reduceat(w, start), np.append(start, len(at)))
+        size = [len(t) for t in self.terms]
+        example = np.repeat(np.arange(len(full)), size)
+        feature = np.concatenate([*self.terms, np.empty(0, np.int64)]).astype(np.int64)
+        weight_of = np.concatenate([*self.weights, np.empty(0)])
+        # the postings of a feature within a block are one row of ``tiles``, row 0 is empty
+        cell, at = np.unique(feature * self.n_blocks + example // block, return_inverse=True)
+        self.tiles = np.zeros((len(cell) + 1, block))
+        self.tiles[at + 1, example % block] = weight_of
+        self.tile_of = np.zeros((len(idf), self.n_blocks), np.int32)
+        self.tile_of.reshape(-1)[cell] = np.arange(1, len(cell) + 1)
+        self.maxima = self.tiles.max(axis=1)[self.tile_of]
         self.calibrate(weight)
 
+    def _cosines(self, ids: np.ndarray, w: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the blocks with a cosine above 0, and the cosines."""
+        found = np.tensordot(w, self.tiles[self.tile_of[ids[:, None], blocks]], 1).ravel()
+        at = np.flatnonzero(found > 0)
+        number = blocks[at // self.block] * self.block + at % self.block
+        keep = number != skip
+        return number[keep], found[at][keep]
+
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0, and the cosines, best first."""
-        bound = np.zeros(self.n_blocks)
-        used = [(i, x) for i, x in zip(ids.tolist(), w.tolist()) if i in self.maxima]
-        for i, x in used:
-            blocks, top, _ = self.maxima[i]
-            bound[blocks] += x * top
+        """The k examples of greatest cosine above 0, and the cosines, best first.
+
+        The blocks of greatest bound are scored first; then all others whose bound reaches the k-th best cosine.
+        """
+        bound = w @ self.maxima[ids]
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        low, step = 0, max(2, 2 * k // self.block)
-        while low < len(order):
-            if len(best) >= k and bound[order[low]] < best[k - 1] - 1e-12:
-                break
-            take = np.sort(order[low : low + step])
-            place = np.full(self.n_blocks, -1)
-            place[take] = np.arange(len(take))
-            score = np.zeros(len(take) * self.block)
-            for i, x in used:
-                blocks, _, start = self.maxima[i]
-                at, weight = self.postings[i]
-                for j in np.flatnonzero(place[blocks] >= 0).tolist():
-                    s = slice(start[j], start[j + 1])
-                    score[place[blocks[j]] * self.block + at[s] % self.block] += x * weight[s]
-            hit = np.flatnonzero(score > 0)
-            at, cos = take[hit // self.block] * self.block + hit % self.block, score[hit]
-            if skip >= 0:
-                at, cos = at[at != skip], cos[at != skip]
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, cos])
-            top = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[top], best[top]
-            low, step = low + step, 2 * step
-        return best_at, best
+        order = order[: np.count_nonzero(bound > 0)]
+        step = max(2, 2 * k // self.block)
+        at, cos = self._cosines(ids, w, order[:step], skip)
+        rest = order[step:]
+        if len(rest) and len(cos) >= k:
+            rest = rest[bound[rest] >= np.partition(cos, -k)[-k] - 1e-12]
+        if len(rest):
+            more = self._cosines(ids, w, rest, skip)
+            at, cos = np.concatenate([at, more[0]]), np.concatenate([cos, more[1]])
+        top = np.lexsort((at, -cos))[:k]
+        return at[top], cos[top]
 
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
         return float((cos * self.labels[at]).sum() / cos.sum()) if len(at) else -1.0
