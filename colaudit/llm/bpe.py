@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _FAN = 16  # children of a node of the segment tree
-_MEMO, _MEMO_BYTES = 400_000, 64
+_MEMO, _MEMO_BYTES = 600_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
