@@ -4,6 +4,7 @@ Values are found by pattern and validated: card and account numbers by length an
 holds, the Luhn digit, IBANs by their remainder, addresses by their bytes, dates by the calendar.
 Each is then permuted by a keyed Feistel network within the set of values of its own format: digits
 stay digits, a valid check digit stays valid, a date becomes another date in the same style.
+Secrets, keys and addresses are replaced whole, however long.
 The permutation depends on the key and the kind only, so equal values stay equal in all documents
 and with the key they can be turned back.
 
@@ -19,12 +20,14 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 KEY = b"colaudit"
 ROUNDS = 8
+LONG = 256  # characters from which on values are permuted digit by digit and not remembered
 
 
 class Feistel:
@@ -59,6 +62,18 @@ class Feistel:
             x = self._once(x, a, b, back)
         return x
 
+    def permute_digits(self, digits: list[int], sizes: list[int], back: bool = False) -> list[int]:
+        """A permutation of mixed-radix numbers, digit by digit, in time linear in their length."""
+        sizes, x, h = np.array(sizes, np.int64), np.array(digits, np.int64), len(digits) // 2
+        halves, radix = [x[:h], x[h:]], sizes.astype(np.uint8).tobytes()
+        for r in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
+            to = 1 - r % 2
+            n = sizes[h:] if to else sizes[:h]
+            seed = hashlib.blake2b(b"%d:" % r + radix + halves[1 - to].astype(np.uint8).tobytes(), key=self.key, person=self.kind).digest()
+            pad = np.frombuffer(hashlib.shake_256(seed).digest(8 * len(n)), "<u8") % n.astype(np.uint64)
+            halves[to] = (halves[to] + (-1 if back else 1) * pad.astype(np.int64)) % n
+        return np.concatenate(halves).tolist()
+
 
 _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
 _CLASS = {c: s for s in _CLASSES for c in s}
@@ -68,6 +83,13 @@ _HEX = ("0123456789abcdef", "0123456789ABCDEF")
 def _shuffle(text: str, f: Feistel, back: bool, alphabet: str | None = None) -> str:
     """Permutes the characters that have a class, each within its class; the others stay."""
     sets = [alphabet or _CLASS.get(c) for c in text]
+    if len(text) >= LONG:
+        at = [i for i, (c, s) in enumerate(zip(text, sets)) if s and c in s]
+        new = f.permute_digits([sets[i].index(text[i]) for i in at], [len(sets[i]) for i in at], back)
+        out = list(text)
+        for i, k in zip(at, new):
+            out[i] = sets[i][k]
+        return "".join(out)
     x = 0
     size = 1
     for c, s in zip(text, sets):
@@ -144,6 +166,14 @@ def _secret(text: str, f: Feistel, back: bool) -> str:
     return _shuffle(text, f, back)
 
 
+_PREFIX = r"(?:AKIA|gh[pousr]_|sk-|xox[abp]-)"
+
+
+def _key(text: str, f: Feistel, back: bool) -> str:
+    n = len(m[0]) if (m := re.match(_PREFIX, text)) else 0  # a public prefix stays, so that the way back finds the key
+    return text[:n] + _secret(text[n:], f, back)
+
+
 def _iban(text: str, f: Feistel, back: bool) -> str | None:
     raw = re.sub(r"\s", "", text)
     value = lambda s: int("".join(str(int(c, 36)) for c in s))
@@ -180,8 +210,8 @@ def _date(text: str, f: Feistel, back: bool) -> str | None:
 #: kind, pattern of the value, how to permute it; values in group "v" where the pattern has one.
 KINDS = (
     ("email", r"(?<![\w.+%-])[\w.+%-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}", _email),
-    ("secret", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]key)?|token|passwd|password|bearer)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([A-Za-z0-9_/+.~-]{8,200})", _secret),
-    ("key", r"(?<![A-Za-z0-9])(?:AKIA|gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9_-]{12,200}|(?<![A-Za-z0-9])(?=[0-9a-fA-F]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])", _secret),
+    ("secret", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]key)?|token|passwd|password|bearer)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([A-Za-z0-9_/+.~-]{8,}+)", _secret),
+    ("key", rf"(?<![A-Za-z0-9]){_PREFIX}[A-Za-z0-9_-]{{12,}}+|(?<![A-Za-z0-9])(?=[0-9a-fA-F]*[0-9])(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+)(?![A-Za-z0-9])", _key),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
     ("date", r"(?<![\d./-])(?:(?:19|20)\d\d([-/.])\d\d\1\d\d|\d\d?([-/.])\d\d?\2(?:19|20)\d\d)(?![\d]|[./-]\d)", _date),
@@ -209,11 +239,13 @@ class Pseudonyms:
     def __init__(self, key: bytes = KEY, back: bool = False):
         self.back = back
         self.find, self.kinds = _master()
-        self.worth = re.compile(r"[0-9@]|(?i:token|secret|passw|key|bearer)").search
+        self.worth = re.compile(rf"[0-9@]|(?i:token|secret|passw|key|bearer)|{_PREFIX}").search
         self.feistel = {k: Feistel(key, k) for k, *_ in KINDS}
         self.memo: dict = {}
 
     def value(self, kind: str, f, value: str) -> str | None:
+        if len(value) >= LONG:
+            return f(value, self.feistel[kind], self.back)
         if (kind, value) not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()

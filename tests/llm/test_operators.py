@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import html as html_lib
+import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -468,6 +470,43 @@ def test_pseudonyms(spark):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
 
 
+@pytest.mark.parametrize("n", [200, 255, 256, 1_000, 20_000])
+def test_long_secrets(n):
+    r = random.Random(n)
+    draw = lambda chars, k: "".join(r.choices(chars, k=k))
+    token, digits, letters = "eyJ" + draw("abcXYZ019_-.", n - 3), draw("0123456789abcdef", n), draw("abcdefgh", n)
+    p, back = pii.Pseudonyms(), pii.Pseudonyms(back=True)
+    cases = [("token=", token), ("secret: ", token), ("hash ", digits), ("hash ", digits.upper()), ("use ghp_", token.replace(".", "a")), ("use sk-", letters), ("", letters + "@example.com")]
+    for lead, v in cases:
+        old = f"{lead}{v}, end"
+        new, spans = p.apply(old)
+        m = re.fullmatch(re.escape(lead) + "(.*), end", new)
+        assert m and len(spans) == 1 and len(m[1]) == len(v) and spans[0][2] == len(lead + v)
+        # of the characters that can change, about as many stay as by chance, in each tenth of the value
+        for k in range(0, n, 100):
+            assert sum(a == b for a, b in zip(m[1][k : k + 100], v[k : k + 100])) < 60
+        assert back.apply(new)[0] == old
+    assert all(c in "0123456789abcdef" for c in p.apply("hash " + digits)[0][5:])
+    a, b = (p.apply(f"token={'ab3' * n}{x}")[0] for x in "xy")  # the ends alone differ
+    assert sum(x != y for x, y in zip(a, b)) > n
+
+
+def test_long_values_are_linear():
+    texts = ["token=" + "aB3." * 100_000, "x" + "f" * 400_000, "a1" * 200_000, "token " * 60_000, "sk-" * 100_000]
+    start = time.monotonic()
+    for t in texts:
+        assert pii.Pseudonyms(back=True).apply(pii.Pseudonyms().apply(t)[0])[0] == t
+    assert time.monotonic() - start < 20
+
+
+@pytest.mark.parametrize("sizes", [[], [10], [26, 10], [2, 3, 2, 3]])
+def test_digits_permute(sizes):
+    f = pii.Feistel(b"k", "t")
+    xs = [list(x) for x in itertools.product(*map(range, sizes))]
+    out = [f.permute_digits(x, sizes) for x in xs]
+    assert sorted(out) == xs and [f.permute_digits(y, sizes, True) for y in out] == xs
+
+
 def test_check_digits_survive():
     p = pii.Pseudonyms()
     new = p.apply("4111111111111111")[0]
