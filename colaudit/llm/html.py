@@ -1,7 +1,8 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are range-partitioned and sorted by host and URL path, so a page's neighbours in that order
-are those with the nearest paths.  Each page's text lines (its blocks) are aligned with those of
+The distinct pages of a host (by a hash of their html, each at its first URL) are range-partitioned and sorted
+by host and URL path, so a page's neighbours in that order are those with the nearest paths; the pages at
+a part's edges are sent to the part beside it too, so no text depends on where parts begin.  Each page's text lines (its blocks) are aligned with those of
 the neighbour that shares the longer path prefix, by longest common subsequence with bit vectors, and
 lines that both have are deleted: menus and notices recur, an article does not.
 
@@ -12,21 +13,25 @@ comments never stand, and a page with an article keeps nothing beside it.  Only
 to differencing alone.
 
 Defined results: null or empty html gives an empty text; a null url counts as an empty one (its pages
-are one host); identical copies are not compared with each other; the first and last page of a range
-partition have one neighbour (a page alone has none and loses no line); tags may be unclosed; pages with repeated ids are
+are one host); identical copies on a host get the result of the first in the order; the first and last page of a
+host have one neighbour (a page alone has none and loses no line); tags may be unclosed; pages with repeated ids are
 kept each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+import zlib
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget, save
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _RAW = frozenset("script style template noscript textarea title svg math iframe object canvas select".split())
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
@@ -183,13 +188,85 @@ _HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 _PATH = r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)"
 
 
+def _order(host: str, path: str, url: str | None, page_id: int | None, digest: bytes) -> tuple:
+    """Orders as Spark does: nulls first, strings by code point."""
+    return host, path, url is not None, url or "", page_id is not None, page_id or 0, digest
+
+
+def _ranges(keys: DataFrame, reps: DataFrame, parts: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """Where each part of the order begins, and the parts beside its own in which a page is a neighbour.
+
+    Only keys are dealt here, and three of each part come to the driver.
+    """
+    both = keys.select(*KEY, F.lit(False).alias("rep")).unionAll(reps.select(*KEY, F.lit(True)))
+    key = F.struct(*KEY)
+    found = both.repartitionByRange(parts, *KEY).groupBy(F.spark_partition_id().alias("part")).agg(F.min(key).alias("first"), F.min(F.when(F.col("rep"), key)).alias("low"), F.max(F.when(F.col("rep"), key)).alias("high"))
+    edges = sorted([_order(*e) if e else None for e in r[1:]] for r in found.collect())
+    beside: dict[tuple, list[int]] = {}
+    last = None
+    for part, (_, low, high) in enumerate(edges):
+        if low is None:
+            continue
+        if last is not None and edges[last][2][0] == low[0]:
+            beside.setdefault(edges[last][2], []).append(part)
+            beside.setdefault(low, []).append(last)
+        last = part
+    return [e[0] for e in edges[1:]], beside
+
+
+KEY = ["host", "path", "url", "page_id", "digest"]
+_DEALT = "part int, host string, path string, url string, page_id long, digest binary, kind int, lines binary"
+#: Kinds of dealt rows: notes that the page of this key stands for itself alone or for its copies too, a neighbour from another part, a page.
+_ALONE, _COPIED, _BESIDE, _PAGE = range(4)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _in_batches(rows, schema: pa.Schema):
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) == 500:
+            yield _batch(out, schema)
+            out = []
+    if out:
+        yield _batch(out, schema)
+
+
 def extract(pages: DataFrame, n_partitions: int | None = None) -> DataFrame:
     """pages(page_id, url, html) -> (page_id, url, text, n_shared): n_shared lines were the neighbour's too."""
+    spark = pages.sparkSession
+    parts = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    keyed = source.select("*", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)).alias("host"), F.regexp_extract(F.coalesce("url", F.lit("")), _PATH, 1).alias("path"))
-    order = ["host", "path", "url", "page_id"]
-    ranged = keyed.repartitionByRange(n_partitions, *order) if n_partitions else keyed.repartitionByRange(*order)
-    dealt = ranged.sortWithinPartitions(*order).select("page_id", "url", "host", "path", "html")
+    url = F.coalesce("url", F.lit(""))
+    digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256))
+    keyed = source.select(F.lower(F.regexp_extract(url, _HOST, 1)).alias("host"), F.regexp_extract(url, _PATH, 1).alias("path"), "url", "page_id", digest.alias("digest"), "html")
+    keys = save(keyed.select(*KEY), "keys")
+    # of equal pages of a host the first stands for all
+    first = keys.groupBy("host", "digest").agg(F.min(F.struct("path", "url", "page_id")).alias("first"), F.count("*").alias("n"))
+    reps = save(first.select("host", "first.*", "digest", F.when(F.col("n") > 1, _COPIED).otherwise(_ALONE).alias("kind")), "distinct")
+    firsts, beside = _ranges(keys, reps, parts)
+    forget(keys)
+    dealt_schema = pa.schema([("part", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("url", pa.string()), ("page_id", pa.int64()), ("digest", pa.binary()), ("kind", pa.int32()), ("lines", pa.binary())])
+    done_schema = pa.schema([("host", pa.string()), ("digest", pa.binary()), ("kind", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_shared", pa.int64())])
+
+    def deal(batches):
+        def rows():
+            for b in batches:
+                for *key, last in zip(*(c.to_pylist() for c in b.columns)):
+                    at = _order(*key)
+                    part = bisect.bisect_right(firsts, at)
+                    if isinstance(last, int):
+                        yield part, *key, last, None
+                        continue
+                    lines = zlib.compress("\n".join(f"{m:d}{t}" for t, m in blocks(last)).encode("utf-8", "surrogatepass"))
+                    yield part, *key, _PAGE, lines
+                    for other in beside.get(at, ()):
+                        yield other, *key, _BESIDE, lines
+
+        return _in_batches(rows(), dealt_schema)
 
     def prefix(a: list[str], b: list[str]) -> int:
         n = 0
@@ -199,29 +276,48 @@ def extract(pages: DataFrame, n_partitions: int | None = None) -> DataFrame:
             n += 1
         return n
 
+    def done(prev, cur, after):
+        _, host, path, lines, (kind, page_id, url, digest) = cur
+        near = [o for o in (prev, after) if o and o[1] == host]
+        other = max(near, key=lambda o: prefix(o[2], path))[3] if near else None
+        return *((host, digest) if kind == _COPIED else (None, None)), kind, page_id, url, *main_text(lines, other)
+
     def run(batches):
-        def pages():
+        def rows():
+            prev = cur = note = None
+            at = kind = None
             for b in batches:
-                for i, u, h, p, x in zip(*(c.to_pylist() for c in b.columns)):
-                    yield i, u, h, p.strip("/").split("/"), x, blocks(x)
-
-        def done(prev, cur, after):
-            near = [o for o in (prev, after) if o and o[2] == cur[2] and o[4] != cur[4]]
-            other = max(near, key=lambda o: prefix(o[3], cur[3]))[5] if near else None
-            return cur[0], cur[1], *main_text(cur[5], other)
-
-        names = ["page_id", "url", "text", "n_shared"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-        prev, cur, out = None, None, []
-        for after in pages():
-            if cur:
-                out.append(done(prev, cur, after))
-            prev, cur = cur, after
-            if len(out) == 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                out = []
-        if cur:
-            out.append(done(prev, cur, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-
-    return dealt.mapInArrow(run, "page_id long, url string, text string, n_shared long")
+                for part, host, path, url, page_id, digest, k, lines in zip(*(c.to_pylist() for c in b.columns)):
+                    if part != at:
+                        if cur and cur[4][0] != _BESIDE:
+                            yield done(prev, cur, None)
+                        prev = cur = note = None
+                        at = part
+                    key = host, path, url, page_id, digest
+                    if k in (_ALONE, _COPIED):
+                        note, kind = key, k
+                        continue
+                    if k == _BESIDE:
+                        if cur and cur[0] == key:
+                            continue
+                        kind = k
+                    elif note != key:
+                        yield host, digest, _PAGE, page_id, url, None, None
+                        continue
+                    note = None
+                    after = key, host, path.strip("/").split("/"), [(x[1:], x[0] == "1") for x in zlib.decompress(lines).decode("utf-8", "surrogatepass").split("\n") if x], (kind, page_id, url, digest)
+                    if cur and cur[4][0] != _BESIDE:
+                        yield done(prev, cur, after)
+                    prev, cur = cur, after
+            if cur and cur[4][0] != _BESIDE:
+                yield done(prev, cur, None)
+
+        return _in_batches(rows(), done_schema)
+
+    dealt = keyed.mapInArrow(deal, _DEALT).unionAll(reps.mapInArrow(deal, _DEALT))
+    ordered = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", *KEY, "kind")
+    out = save(ordered.mapInArrow(run, "host string, digest binary, kind int, page_id long, url string, text string, n_shared long"), "texts", {"spark.sql.parquet.compression.codec": "zstd"})
+    copies = out.where(F.col("kind") == _PAGE).select("host", "digest", "page_id", "url")
+    copied = out.where(F.col("kind") == _COPIED).select("host", "digest", "text", "n_shared")
+    names = ["page_id", "url", "text", "n_shared"]
+    return out.where(F.col("kind") != _PAGE).select(*names).unionAll(copies.join(copied, ["host", "digest"]).select(*names))

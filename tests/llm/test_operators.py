@@ -122,6 +122,34 @@ def test_differencing(spark):
     assert html.extract(df.limit(0)).count() == 0 and html.extract(df).count() == len(rows)
 
 
+def brute_differencing(rows):
+    """Differencing over the distinct pages of each host, in one list; (page_id, url) -> results."""
+    order = lambda i, u: (u.split("/")[2], "/" + u.split("/", 3)[3], u, i is not None, i or 0)
+    first: dict = {}
+    for i, u, h in sorted(rows, key=lambda r: order(*r[:2])):
+        first.setdefault((u.split("/")[2], h), (i, u, h))
+    line = list(first.values())
+    same = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    found = {}
+    for k, (_, u, h) in enumerate(line):
+        near = [o for o in (line[k - 1 : k] if k else []) + line[k + 1 : k + 2] if o[1].split("/")[2] == u.split("/")[2]]
+        best = max(near, key=lambda o: same(o[1].split("/")[3:], u.split("/")[3:])) if near else None
+        found[u.split("/")[2], h] = html.main_text(html.blocks(h), html.blocks(best[2]) if best else None)
+    return sorted((i is None, i or 0, u, *found[u.split("/")[2], h]) for i, u, h in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_copies_and_edges(spark, parts):
+    r = random.Random(5)
+    page = lambda k: "<body>" + "".join(f"<p>{x}</p>" for x in ["Menu", f"Section {k % 3}", f"Body {k}", "Contact"]) + "</body>"
+    rows = [(i, f"http://h.example/a/{i:02}", page(0)) for i in range(5)]  # one run of copies
+    rows += [(i, f"http://h.example/{r.choice('ab')}/{r.choice('xyz')}/{i}", page(r.randrange(12))) for i in range(5, 40)]
+    rows += [(i, f"http://{r.choice('kmn')}.example/{r.choice('ab')}/{i % 7}", page(r.randrange(6))) for i in range(40, 80)] + [(None, "http://o.example/b", page(1)), (80, "http://o.example/c", page(2)), (80, "http://o.example/c", page(2))]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), parts).collect()
+    assert sorted((x["page_id"] is None, x["page_id"] or 0, x["url"], x["text"], x["n_shared"]) for x in got) == brute_differencing(rows)
+    assert len({x["text"] for x in got if x["page_id"] in range(5)}) == 1
+
+
 def test_op1(spark, data):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
 
