@@ -9,8 +9,9 @@ lines that both have are deleted: menus and notices recur, an article does not.
 Pure differencing errs where two pages carry the same article and where a footer or advert is unique, so
 structure has the last word: blocks in an article or main element stand whatever the
 neighbour has, blocks in navigation, headers, footers, sidebars, notices, adverts, forms, scripts and
-comments never stand, and a page with an article keeps nothing beside it.  Only pages without one are left
-to differencing alone.
+comments never stand, and a page with an article keeps nothing beside it, unless the article is a small share (``TEASER``) of
+what the neighbour does not have.  There, and on pages without an article, differencing alone
+decides on the other blocks.  A page without a neighbour keeps to its article, however small.
 
 Defined results: null or empty html gives an empty text; a null url counts as an empty one (its pages
 are one host); identical copies on a host get the result of the first in the order; the first and last page of a
@@ -174,12 +175,18 @@ def shared(a: list, b: list) -> set[int]:
     return out
 
 
+#: Share of a page's unshared text below which its article elements do not stand for all of it.
+TEASER = 0.25
+
+
 def main_text(lines: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> tuple[str, int]:
     """The text that is left, and how many lines differencing deleted."""
     gone = shared([t for t, _ in lines], [t for t, _ in other]) if other else set()
     gone = {i for i in gone if not lines[i][1]}
     rest = [x for i, x in enumerate(lines) if i not in gone]
-    if any(m for _, m in rest):
+    inside = sum(len(t) for t, m in rest if m)
+    # a small article beside much text that the neighbour does not have is a teaser: differencing decides on the others
+    if inside and not (other and inside < TEASER * sum(len(t) for t, _ in rest)):
         rest = [x for x in rest if x[1]]
     return "\n".join(t for t, _ in rest), len(gone)
 

@@ -122,6 +122,17 @@ def test_differencing(spark):
     assert html.extract(df.limit(0)).count() == 0 and html.extract(df).count() == len(rows)
 
 
+def test_teasers(spark):
+    page = "<body><div>Menu</div><article><p>Read {0}</p></article><div>{1}</div><div>Contact</div></body>"
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, f"http://t.example/{i}", page.format(i, body(i))) for i in range(3)]
+    rows += [(3, "http://u.example/1", page.format(body(3), "Short 1")), (4, "http://u.example/2", page.format(body(4), "Short 2")), (5, "http://v.example/1", page.format(5, body(5)))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 2).collect()}
+    assert [got[i] for i in range(3)] == [f"Read {i}\n{body(i)}" for i in range(3)]  # the body beside a teaser stays, the menu goes
+    assert [got[i] for i in (3, 4)] == [f"Read {body(i)}" for i in (3, 4)]
+    assert got[5] == "Read 5"  # no neighbour
+
+
 def brute_differencing(rows):
     """Differencing over the distinct pages of each host, in one list; (page_id, url) -> results."""
     order = lambda i, u: (u.split("/")[2], "/" + u.split("/", 3)[3], u, i is not None, i or 0)
