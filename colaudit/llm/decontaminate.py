@@ -5,6 +5,8 @@ word under a gap does not hide a copied passage.  The seeds of all benchmark ite
 hash with the seeds at every token of every document.  Each hit fixes an item, a document and
 their alignment, along which the longest stretch with at least ``min_equal`` equal tokens is
 found; it counts from ``min_words`` words on, or the whole item if that is shorter.
+Items of fewer than eleven tokens (``SHORT``) are also cut into one piece more than words may differ, and
+each piece is looked up at its place, so no overlap with a whole item is missed.
 
 The test set is small beside the corpus but has no fixed size: it is taken in blocks of
 at most ``block_tokens`` tokens, each a bounded broadcast and a pass over the documents.
@@ -31,6 +33,7 @@ from .common import TokenHash, mix, multipliers
 
 MASKS = ("111111", "11011011", "1100110011", "10101010101", "111000111")
 MIN_WORDS, MIN_EQUAL = 12, 0.8
+SHORT = 11  # the five masks can miss items of fewer tokens
 BLOCK_TOKENS = 200_000
 _BITS = 22
 NAMES = ("doc_id", "item_id", "doc_start", "item_start", "n_span", "n_equal")
@@ -82,7 +85,7 @@ def longest(equal: np.ndarray, share: float) -> tuple[int, int]:
 class Block:
     """A bounded part of the test set, ready to be looked up; travels by broadcast."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], min_equal: float = MIN_EQUAL):
         memo = _Words()
         self.ids = [i for i, _ in items]
         self.items = [tokens(t, memo)[0] for _, t in items]
@@ -94,6 +97,17 @@ class Block:
             h, k, p = (np.concatenate(c) for c in zip(*found))
             order = np.argsort(h, kind="stable")
             self.tables.append((mask, h[order], k[order], p[order]))
+        pieces: dict[int, list] = {}
+        for k, x in enumerate(self.items):
+            if 0 < len(x) < SHORT:  # one piece more than words may differ, so one is whole
+                n = min(len(x), int(len(x) * (1 - min_equal) + 1e-9) + 1)
+                cuts = [len(x) * i // n for i in range(n + 1)]
+                for a, b in zip(cuts, cuts[1:]):
+                    pieces.setdefault(b - a, []).append((seeds(x[a:b], "1" * (b - a))[0], k, a))
+        for n, found in sorted(pieces.items()):
+            h, k, p = (np.array(c) for c in zip(*found))
+            order = np.argsort(h, kind="stable")
+            self.tables.append(("1" * n, h[order], k[order], p[order]))
 
     def bitmap(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(1 << _BITS, bool)
@@ -173,7 +187,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min
     doc_start of the text and token item_start of the item, n_span tokens, n_equal of them equal.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [_scan(source, Block(items), min_words, min_equal) for items in _blocks(benchmark, block_tokens)]
+    parts = [_scan(source, Block(items, min_equal), min_words, min_equal) for items in _blocks(benchmark, block_tokens)]
     if not parts:
         return docs.sparkSession.createDataFrame([], ", ".join(f"{n} long" for n in NAMES))
     return reduce(DataFrame.unionAll, parts)
@@ -194,5 +208,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
         return run
 
     for items in _blocks(benchmark, block_tokens):
-        docs = docs.mapInArrow(keeps(docs.sparkSession.sparkContext.broadcast(Block(items))), docs.schema)
+        docs = docs.mapInArrow(keeps(docs.sparkSession.sparkContext.broadcast(Block(items, min_equal))), docs.schema)
     return docs

@@ -589,6 +589,38 @@ def test_leaks(spark):
     assert sorted(x["doc_id"] for x in clean.collect()) == [*range(20), 40, 41]
 
 
+def brute_leaks(texts, items):
+    """All alignments of all items with all texts; (text, item) that overlap."""
+    split = lambda t: np.array([c for w in words(t) if (c := "".join(filter(str.isalnum, w.lower())))], object)
+    found = set()
+    items = [split(t) for t in items]
+    for d, t in enumerate(texts):
+        t = split(t)
+        for k, item in enumerate(items):
+            least = min(12, len(item))
+            for shift in range(least - len(item), len(t) - least + 1) if least else ():
+                a, b = max(0, -shift), min(len(item), len(t) - shift)
+                equal = (item[a:b] == t[a + shift : b + shift]).astype(bool)
+                if equal.sum() >= 0.8 * least - 1e-9:
+                    i, j = decontaminate.longest(equal, 0.8)
+                    if j - i >= least:
+                        found.add((d, k))
+    return found
+
+
+def test_short_items(spark):
+    r = random.Random(21)
+    items = [" ".join(r.choice(VOCAB) + r.choice("xy") for _ in range(n)) for n in range(1, 12) for _ in range(3)]
+    texts = [text(700 + i, 12) for i in range(10)] + ["", None, "one"]
+    for item in items:
+        w = item.split()
+        for places in ([], *itertools.combinations(range(len(w)), 1), *itertools.combinations(range(len(w)), 2)):
+            copy = " ".join("other" if i in places else x for i, x in enumerate(w))
+            texts += [f"{text(len(texts), 5)} {copy} {text(len(texts), 5)}"]
+    got = decontaminate.leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), block_tokens=60).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == brute_leaks([t or "" for t in texts], items)
+
+
 def test_longest_stretch():
     r = random.Random(13)
     for _ in range(300):
