@@ -65,14 +65,14 @@ class ReadOnlyReport:
     can_create: bool = False
     session_read_only: bool = True
     writable_tables: tuple[str, ...] = ()
-    probe_blocked: bool = True
+    probe_blocked: bool | None = None  # None: no write probe has run
 
     @property
     def ok(self) -> bool:
-        return not self.superuser and not self.can_create and self.session_read_only and not self.writable_tables and self.probe_blocked
+        return not self.superuser and not self.can_create and self.session_read_only and not self.writable_tables and self.probe_blocked is not False
 
     def summary(self) -> str:
-        return f"read only: {'yes' if self.ok else 'NO'} (superuser {self.superuser}, create {self.can_create}, session {self.session_read_only}, writable {len(self.writable_tables)}, probe blocked {self.probe_blocked})"
+        return f"read only: {'yes' if self.ok else 'NO'} (superuser {self.superuser}, create {self.can_create}, session {self.session_read_only}, writable {len(self.writable_tables)}, probe blocked {'not run' if self.probe_blocked is None else self.probe_blocked})"
 
 
 class ReadOnlyReader:

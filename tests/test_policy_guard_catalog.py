@@ -174,3 +174,8 @@ def test_command_line(spark, estate, tmp_path, capsys):
         assert cli.main([*c, "--history", f"file://{tmp_path}/h"], spark) == 0
     assert '"runs": 1' in capsys.readouterr().out
     assert cli.main(["drafts", *args, "--out", str(tmp_path / "drafts")], spark) == 0 and (tmp_path / "drafts/users__ssn.sql").exists()
+
+
+def test_a_probe_that_has_not_run_is_not_reported_as_blocked():
+    assert ReadOnlyReport().probe_blocked is None and "probe blocked not run" in ReadOnlyReport().summary()
+    assert not ReadOnlyReport(probe_blocked=False).ok and "probe blocked False" in ReadOnlyReport(probe_blocked=False).summary()
