@@ -4,16 +4,23 @@ A text is cut into matches of the pattern, each match merged on its own.  The tr
 leaves are the byte positions; a leaf holds the rank of the pair that starts there (with the
 position in the low bits, so that the least leaf is the leftmost pair of the least rank).  A
 merge changes the pair at the position, that of its left neighbour, and clears that of the right
-one: three point updates of logarithmic cost (a node has 16 children), so a match of n bytes takes n log n steps.
-Matches recur, so each task remembers the ids of a bounded number of short ones.
+one: three point updates of logarithmic cost (a node has 16 children, so a match of up to 16 bytes
+is a tree of one node), and a match of n bytes takes n log n steps.
 
-Defined results: a null text counts as empty and has no ids; special tokens are ordinary
-text; repeated rows are encoded each; an empty table gives no rows; other columns are ignored.
+Encoding and decoding are one pass (``round_trip``) or one each.  Words recur, so a Python worker
+remembers the ids of short matches, as packed integers, up to a bounded number of bytes
+(``MEMO_BYTES``); what it remembers holds for all tasks it runs.
+
+Defined results: a null text counts as empty and has no ids; special tokens are ordinary text; a very long
+text is encoded whole (a long match by the same tree, and is not remembered); repeated rows and
+null or repeated ids are encoded each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _FAN = 16  # children of a node of the segment tree
-_MEMO, _MEMO_BYTES = 600_000, 64
+_NONE = 1 << 62
+LONG = 64  # characters from which on a match is not remembered
+MEMO_BYTES = 128 << 20  # what a worker remembers, with what its dict and objects take
+_ENTRY = 190  # bytes of an entry besides its characters and ids
+_SLICE = 4 << 20  # characters encoded at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,47 +43,40 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one match."""
-    if piece in ranks:
-        return [ranks[piece]]
+    get = ranks.get
+    if (whole := get(piece)) is not None:
+        return [whole]
     n = len(piece)
-    get, none = ranks.get, 1 << 62
     shift = n.bit_length()
     low = (1 << shift) - 1
     end = list(range(1, n + 1))  # where the token that starts here ends
     prev = list(range(-1, n))
-    leaves = []
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        leaves.append(none if r is None else r << shift | i)
-    leaves.append(none)
+    found = [get(piece[i : i + 2]) for i in range(n - 1)]
+    leaves = [_NONE if r is None else r << shift | i for i, r in enumerate(found)]
+    leaves.append(_NONE)
     tree = [leaves]  # each level holds the minima of _FAN nodes of the one below
     while len(tree[-1]) > _FAN:
         below = tree[-1]
         tree.append([min(below[k : k + _FAN]) for k in range(0, len(below), _FAN)])
-    upper, top = range(1, len(tree)), tree[-1]
-
-    def put(i: int, value: int) -> None:
-        leaves[i] = value
-        for level in upper:
-            i //= _FAN
-            least = min(tree[level - 1][i * _FAN : i * _FAN + _FAN])
-            if tree[level][i] == least:
-                return
-            tree[level][i] = least
-
-    while (least := min(top)) != none:
+    top, upper = tree[-1], range(1, len(tree))
+    while (least := min(top)) != _NONE:
         i = least & low
         j = end[i]
         e = end[i] = end[j]
-        put(j, none)
-        r = None
+        leaves[j] = leaves[i] = _NONE
         if e < n:
             prev[e] = i
-            r = get(piece[i : end[e]])
-        put(i, none if r is None else r << shift | i)
+            if (r := get(piece[i : end[e]])) is not None:
+                leaves[i] = r << shift | i
         if (p := prev[i]) >= 0:
             r = get(piece[p:e])
-            put(p, none if r is None else r << shift | p)
+            leaves[p] = _NONE if r is None else r << shift | p
+        for at in (j, i, p) if upper else ():
+            for level in upper:  # up to the first node that stays as it is
+                at //= _FAN
+                if at < 0 or tree[level][at] == (new := min(tree[level - 1][at * _FAN : at * _FAN + _FAN])):
+                    break
+                tree[level][at] = new
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -80,21 +84,97 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Memo(dict):
-    """match -> ids; matches of more than a few words' length are merged anew each time."""
+class Encoder(dict):
+    """match -> its ids as packed 32-bit integers, remembered up to ``limit`` bytes."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = MEMO_BYTES):
+        import regex
 
-    def __missing__(self, match: str) -> list[int]:
-        piece = match.encode("utf-8", "surrogatepass")
-        ids = merge(piece, self.ranks)
-        if len(piece) <= _MEMO_BYTES:
-            if len(self) >= _MEMO:
+        super().__init__()
+        self.ranks, self.find, self.limit, self.held = ranks, regex.compile(pattern).findall, limit, 0
+
+    def __missing__(self, match: str) -> bytes:
+        ids = merge(match.encode("utf-8", "surrogatepass"), self.ranks)
+        packed = struct.pack(f"={len(ids)}i", *ids)
+        if len(match) < LONG:
+            size = _ENTRY + len(match) + len(packed)
+            if self.held + size > self.limit:
                 self.clear()
-            self[match] = ids
-        return ids
+                self.held = 0
+            self.held += size
+            self[match] = packed
+        return packed
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and the last's end."""
+        packed = [b"".join(map(self.__getitem__, self.find(t))) if t else b"" for t in texts]
+        return np.frombuffer(b"".join(packed), np.int32), np.cumsum([0, *map(len, packed)]) // 4
+
+
+class Decoder:
+    """Bytes of ids, by a look-up of whole arrays."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        of: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            of[rank] = token
+        self.tokens = pa.array(of, pa.large_binary())
+
+    def of(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """One binary for each stretch of ids between two ends."""
+        found = self.tokens.take(pa.array(ids))
+        if found.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        if not len(ids):
+            return pa.array([b""] * (len(ends) - 1), pa.binary())
+        _, offsets, data = found.buffers()
+        at = np.frombuffer(offsets, np.int64)[found.offset :][ends]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), data]).cast(pa.binary())
+
+
+_kept: dict[tuple, object] = {}
+
+
+def _once(key: tuple, make):
+    """What this Python worker has made before under the key; one of a kind is kept."""
+    if key not in _kept:
+        for old in [k for k in _kept if k[0] == key[0]]:
+            del _kept[old]
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``_SLICE`` bytes each."""
+    if not len(texts):
+        return
+    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(texts):
+        before = size[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(size, before + _SLICE, "right")))
+        yield low, high
+        low = high
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str, back: bool) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def run(batches):
+        encoder = _once(("encoder", path, pattern), lambda: Encoder(sent.value, pattern))
+        decoder = _once(("decoder", path), lambda: Decoder(sent.value)) if back else None
+        for b in batches:
+            texts = b.column(1)
+            for low, high in _slices(texts):
+                flat, ends = encoder.of(texts.slice(low, high - low).to_pylist())
+                cols = [b.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays([*cols, decoder.of(flat, ends)] if back else cols, ["doc_id", "ids", "decoded"][: 2 + back])
+
+    return _source(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * back)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -102,26 +182,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     path: the vocabulary, read on the driver and broadcast (a fixed size); pattern: what one match is.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    return _encoded(docs, path, pattern, False)
 
-    def run(batches):
-        import regex
-
-        find, memo = regex.compile(pattern).findall, Memo(sent.value)
-        for big in batches:
-            for low in range(0, big.num_rows, 1_000):
-                b = big.slice(low, 1_000)
-                flat, ends = [], [0]
-                for t in b.column(1).to_pylist():
-                    if t:
-                        for ids in map(memo.__getitem__, find(t)):
-                            flat += ids
-                    ends.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>")
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, ids array<int>, decoded binary): encodes, then decodes the ids, in one pass."""
+    return _encoded(docs, path, pattern, True)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -129,14 +195,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        of = [b""] * (max(sent.value.values()) + 1)
-        for token, rank in sent.value.items():
-            of[rank] = token
-        for big in batches:
-            for low in range(0, big.num_rows, 1_000):
-                b = big.slice(low, 1_000)
-                texts = [b"".join(map(of.__getitem__, ids or ())) for ids in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+        decoder = _once(("decoder", path), lambda: Decoder(sent.value))
+        for b in batches:
+            ids = b.column(1)
+            ends = np.cumsum([0, *pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, decoder.of(ids.flatten().to_numpy(zero_copy_only=False), ends)], ["doc_id", "ids", "decoded"])
 
     source = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
     return source.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

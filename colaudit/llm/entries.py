@@ -60,8 +60,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_round_trip(docs: DataFrame) -> DataFrame:
-    path = public_tokenizers.path(VOCABULARY)
-    return bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
