@@ -2,24 +2,29 @@
 
 A window is 20 consecutive words.  Its fingerprint is the least 64-bit hash among its
 five-word parts, so equal windows have equal fingerprints while consecutive windows mostly
-share one: a run holds one row for each stretch of windows with the same fingerprint, about an
-eighth of the words.  Runs are sorted by fingerprint and never changed.  A new batch
-
-1. writes its own run,
-2. merge-joins it with the historical runs (and counts it on its own) to find the
-   fingerprints that occur more than once,
-3. verifies: where such a fingerprint stands, in the batch or in history, it hashes the
-   twenty words in full from the texts (64 and 32 independent bits) and finds the first
-   document of each window; within a text the first place is known at once,
-4. drops the words under windows that start earlier elsewhere,
-5. merges the runs into one sorted run when there are more than ``fanout``.
-
-Counting is pre-aggregated and the joins are sort-merge joins that Spark can split where a
-fingerprint is very frequent; no group of windows is ever collected.
-
-Defined results: a null text has no words; texts under 20 words are kept whole; a null
-doc_id sorts before all others; rows with the same doc_id count as one place, so equal
-windows at one start in them are not repeats of each other; an empty table gives no rows; other
+share one: a *stretch* is a run of windows with one fingerprint, and there are about an eighth
+as many as words.  A stretch also has a hash of all its words, from a second, independent hash of
+each word.  A run of the index holds one row for each distinct stretch of a batch (fingerprint,
+hash, first document and place, number of windows), sorted by fingerprint, and is never changed.  A new batch
+
+1. writes its stretches, and its own run by a pre-aggregated group-by;
+2. is merge-joined with the historical runs by fingerprint;
+3. stretches equal as a whole to an earlier one are settled there: all their windows start earlier;
+4. where a fingerprint has different stretches, one of them new, or occurs twice in one stretch, the
+   windows are verified: the texts that such a hit names, in the batch or in history, are read, their
+   twenty words hashed in full by both word hashes, and the first place of each window found;
+5. the words under windows that start earlier elsewhere are removed;
+6. before the next batch, runs are merged into one sorted run if there are more than ``fanout``.
+
+Later copies of a stretch are in no run, so the index grows with the distinct text.  Words are
+compared by 64 + 64 bits, windows and stretches by 128 bits.  Counting is pre-aggregated and the joins
+are sort-merge joins that Spark can split where a fingerprint is very frequent; no group of windows is
+ever collected.
+
+Defined results: a null text has no words; texts under 20 words are kept whole; a very long text is one
+place among others, hashed in one piece; a document without an id stands before all others, under a hash of
+its text (equal texts without an id are one document); rows with the same doc_id are not
+compared with each other, and words go from each at the places where one of them has a repeat; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -32,15 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TokenHash, forget, mix, save, windows
+from .bytewords import Powers, chunks, powers
+from .common import forget, save, windows
 
-WIDTH, GRAM, FANOUT = 20, 5, 4
+WIDTH, GRAM, FANOUT, BATCHES = 20, 5, 1, 3
+FACTOR = 0xC2B2AE3D27D4EB4F  # of the polynomial over word hashes
 _LOW = -(1 << 63)
-_RUN = "fp long, id long, start int, n int, times int"
-
-
-def _tokens(text: str | None, memo: TokenHash) -> np.ndarray:
-    return memo.of((text or "").encode("utf-8", "surrogatepass").split())
+_MARK = "fp long, h long, id long, start int, n int, times int"
 
 
 def _least(h: np.ndarray, span: int) -> np.ndarray:
@@ -53,124 +56,148 @@ def _least(h: np.ndarray, span: int) -> np.ndarray:
     return h
 
 
-def stretches(tokens: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint, first window, number of windows, number of parts with that hash) of each stretch of windows with one fingerprint."""
-    if len(tokens) < width:
-        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+def stretches(tokens: np.ndarray, sizes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Stretches of windows with one fingerprint, of texts that stand one after the other.
+
+    (number of the text, fingerprint, first window among all tokens, number of windows, how many parts have that hash).
+    """
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - width + 1))
+    if not len(text):
+        return text, np.empty(0, np.uint64), text, text, text
+    # windows[i] is where the i-th window that lies in one text begins
+    first = np.cumsum(np.concatenate(([0], np.maximum(0, sizes - width + 1))))[:-1]
+    at = np.arange(len(text)) + (ends - sizes - first)[text]
     parts, span = windows(tokens, gram, 1), width - gram + 1
-    fp = _least(parts, span)
-    start = np.concatenate(([0], np.flatnonzero(fp[1:] != fp[:-1]) + 1))
-    n = np.diff(np.concatenate((start, [len(fp)])))
+    fp = _least(parts, span)[at]
+    edge = np.flatnonzero((fp[1:] != fp[:-1]) | (text[1:] != text[:-1])) + 1
+    begin = np.concatenate(([0], edge))
+    n = np.diff(np.concatenate((begin, [len(fp)])))
+    fp, start = fp[begin], at[begin]
     # text that repeats itself within a stretch has its least part more than once there
     size = n + span - 1
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    at = np.arange(size.sum()) + np.repeat(start - first, size)
-    times = np.add.reduceat((parts[at] == np.repeat(fp[start], size)).astype(np.int32), first)
-    return fp[start].view(np.int64), start.astype(np.int32), n.astype(np.int32), times.astype(np.int32)
+    low = np.concatenate(([0], np.cumsum(size)[:-1]))
+    every = np.arange(size.sum()) + np.repeat(start - low, size)
+    times = np.add.reduceat((parts[every] == np.repeat(fp, size)).astype(np.int32), low)
+    return text[begin], fp, start, n, times
 
 
-class Rolling:
-    """Two independent polynomial hashes modulo 2**64 of all windows of a text, by prefix sums."""
+def _later(text: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether a text has the same key before; rows of a text stand together and in order."""
+    out = np.ones(len(key), bool)
+    order = np.lexsort((key, text))
+    t, k = text[order], key[order]
+    new = np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])))[: len(key)]
+    out[order[new]] = False  # the sort is stable
+    return out
 
-    FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that powers can be inverted
 
-    def __init__(self, width: int):
-        self.width, self.powers = width, [np.ones(1, np.uint64) for _ in range(4)]
+def _source(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    without = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2) + F.lit(_LOW)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), without).alias("id"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
 
-    def _up_to(self, n: int) -> None:
-        if n > len(self.powers[0]):
-            n = 1 << (n - 1).bit_length()
-            for k, m in enumerate(self.FACTORS):
-                for i, f in enumerate((m, pow(m, -1, 1 << 64))):
-                    steps = np.full(n, f, np.uint64)
-                    steps[0] = 1
-                    self.powers[2 * k + i] = np.cumprod(steps, dtype=np.uint64)
 
-    def of(self, tokens: np.ndarray, k: int) -> np.ndarray:
-        """The hash of each window; k = 1 hashes the tokens anew."""
-        n = len(tokens)
-        self._up_to(n + 1)
-        if k:
-            tokens = mix(tokens ^ np.uint64(0xA0761D6478BD642F))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * self.powers[2 * k][:n], dtype=np.uint64)))
-        return mix((sums[self.width :] - sums[: -self.width]) * self.powers[2 * k + 1][: n - self.width + 1])
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, frames)
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("id"), F.col("text").cast("string").alias("text"))
+def _sorted(rows: DataFrame) -> DataFrame:
+    """A run's order; the hash beside the fingerprint deals a frequent fingerprint to several tasks."""
+    return rows.repartition("fp", F.expr("pmod(h, 16)")).sortWithinPartitions("fp", "h")
 
 
 class WindowIndex:
-    """Runs of window fingerprints of all documents seen so far, and where to read their texts."""
+    """Runs of the stretches of all documents seen so far, and where to read their texts."""
 
     def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT):
         self.spark, self.width, self.gram, self.fanout = spark, width, gram, fanout
         self.runs: list[DataFrame] = []
         self.seen: list[DataFrame] = []
 
-    def _run(self, docs: DataFrame) -> DataFrame:
+    def _marks(self, docs: DataFrame) -> DataFrame:
+        """The stretches of all texts of a batch; again: the text has an equal one before."""
         width, gram = self.width, self.gram
 
         def run(batches):
-            memo = TokenHash(11)
+            by_byte, by_word = powers(), Powers(FACTOR)
             for b in batches:
-                found = [stretches(_tokens(t, memo), width, gram) for t in b.column(1).to_pylist()]
-                ids = np.repeat(np.asarray(b.column(0)), [len(x[0]) for x in found])
-                cols = [np.concatenate([x[i] for x in found]) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(ids, pa.int64()), *map(pa.array, cols[1:])], ["fp", "id", "start", "n", "times"])
-
-        return self._sorted(_source(docs).mapInArrow(run, _RUN))
-
-    def _sorted(self, rows: DataFrame) -> DataFrame:
-        # a salt beside the fingerprint, so that one in very many texts is not one task's
-        return rows.repartition("fp", F.expr("pmod(id, 64)")).sortWithinPartitions("fp")
-
-    def _repeats(self, batch: DataFrame, run: DataFrame) -> DataFrame:
-        """(id, pos) of the batch's windows that also start earlier."""
-        history = reduce(DataFrame.unionAll, self.runs) if self.runs else None
-        own = run.groupBy("fp").agg(F.sum("times").alias("k"))
-        stretch_twice = own.where("k > 1")
-        if history is None:
-            often = stretch_twice.select("fp")
-            places, texts = run, _source(batch)
-        else:
-            past = history.select("fp").distinct()
-            often = own.join(past.withColumn("old", F.lit(True)), "fp", "left").where("k > 1 or old").select("fp")
-            places = run.unionAll(history)
-            texts = reduce(DataFrame.unionAll, map(_source, [batch, *self.seen]))
-        often = save(often, "often")
-        at = save(places.join(often, "fp").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("at")), "places")
+                ids = np.asarray(b.column(0))
+                for low, high, words in chunks(b.column(1)):
+                    (one, two), size = words.hashes(by_byte), words.sizes
+                    text, fp, start, n, times = stretches(one, size, width, gram)
+                    if not len(text):
+                        continue
+                    h = by_word.of(two, start, start + n + width - 1)
+                    again = _later(text, h)
+                    start = start - (np.cumsum(size) - size)[text]
+                    cols = fp.view(np.int64), h.view(np.int64), ids[low:high][text], start.astype(np.int32), n.astype(np.int32), times.astype(np.int32), again
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "h", "id", "start", "n", "times", "again"])
+
+        return _source(docs).select("id", "text").mapInArrow(run, f"{_MARK}, again boolean")
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        """One row for each distinct stretch, where the first document has it; k: the number of documents."""
+        found = rows.groupBy("fp", "h").agg(F.min("id").alias("first"), F.min_by("start", "id").alias("start"), F.min("n").alias("n"), F.max("times").alias("times"), F.sum("k").alias("k"))
+        return found.withColumnRenamed("first", "id")
+
+    def _windows(self, texts: DataFrame, places: DataFrame) -> DataFrame:
+        """(w, c, id, pos, again) of the windows of the given stretches; again: the text has an equal one before."""
         width = self.width
+        at = places.groupBy("id").agg(F.collect_list("start").alias("start"), F.collect_list("n").alias("n"))
 
-        def hashes(batches):
-            memo, rolling = TokenHash(11), Rolling(width)
+        def run(batches):
+            by_byte, by_word = powers(), Powers(FACTOR)
             for b in batches:
-                out: list[list] = [[], [], [], [], []]
-                for i, text, places in zip(*(c.to_pylist() for c in b.columns)):
-                    tokens = _tokens(text, memo)
-                    if len(tokens) < width:
+                ids = np.asarray(b.column(0))
+                for low, high, words in chunks(b.column(1)):
+                    both, size = words.hashes(by_byte), words.sizes
+                    lists = [b.column(c).slice(low, high - low) for c in (2, 3)]
+                    text = np.repeat(np.arange(high - low), lists[0].value_lengths().to_numpy())
+                    start, n = (np.asarray(x.flatten()) for x in lists)
+                    pos = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+                    text = np.repeat(text, n)
+                    keep = pos <= size[text] - width  # another text with this id may be shorter
+                    text, pos = text[keep], pos[keep]
+                    if not len(text):
                         continue
-                    pos = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in places]))
-                    pos = pos[pos <= len(tokens) - width]
-                    h, c = rolling.of(tokens, 0)[pos], (rolling.of(tokens, 1)[pos] >> np.uint64(32)).astype(np.uint32)
-                    # a window that starts earlier in the same text needs no other row to be a repeat
-                    again = np.ones(len(pos), bool)
-                    again[np.unique(h, return_index=True)[1]] = False
-                    for col, x in zip(out, (h.view(np.int64), c.view(np.int32), np.full(len(pos), i, np.int64), pos.astype(np.int32), again)):
-                        col.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "c", "id", "pos", "again"])
-
-        full = texts.join(at, "id").select("id", "text", "at").mapInArrow(hashes, "h long, c int, id long, pos int, again boolean")
-        full = save(full, "windows")
-        across = full.where("not again")
-        first = across.groupBy("h", "c").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "c", "first")
-        repeats = across.join(first, ["h", "c"]).where("id > first").select("id", "pos").unionAll(full.where("again").select("id", "pos"))
-        if history is not None:
-            least = _source(batch).agg(F.min("id")).first()[0]
-            repeats = repeats.where(F.col("id") >= F.lit(_LOW if least is None else least))
-        out = save(repeats.groupBy("id").agg(F.collect_list("pos").alias("at")), "repeats")
-        forget(often, at, full)
+                    order = np.lexsort((pos, text))
+                    text, pos = text[order], pos[order]
+                    new = np.concatenate(([True], (text[1:] != text[:-1]) | (pos[1:] != pos[:-1])))
+                    text, pos = text[new], pos[new]
+                    begin = (np.cumsum(size) - size)[text] + pos
+                    w, c = (by_word.of(h, begin, begin + width) for h in both)
+                    cols = w.view(np.int64), c.view(np.int64), ids[low:high][text], pos.astype(np.int32), _later(text, w)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["w", "c", "id", "pos", "again"])
+
+        return texts.join(at, "id").select("id", "text", "start", "n").mapInArrow(run, "w long, c long, id long, pos int, again boolean")
+
+    def _repeats(self, docs: DataFrame, marks: DataFrame, run: DataFrame) -> DataFrame:
+        """(id, at array<struct<start, n>>): the batch's windows that also start earlier."""
+        new, old = [run.withColumn("new", F.lit(1))], [r.withColumn("new", F.lit(0)) for r in self.runs]
+        stretches = _union(new + old)
+        shared = stretches.groupBy("fp").agg(F.count("*").alias("m"), F.max("times").alias("t"), F.max("new").alias("any"))
+        hits = save(stretches.join(shared.where("any = 1 and (m > 1 or t > 1)").select("fp"), "fp"), "hits")
+        # of equal stretches the first place stands for all
+        kinds = hits.groupBy("fp", "h").agg(F.min("id").alias("first"), F.min_by("start", "id").alias("start"), F.min("n").alias("n"), F.max("times").alias("t"), F.min("new").alias("new"), F.max("new").alias("any"))
+        kinds = save(kinds, "kinds")
+        known = kinds.where("any = 1 and new = 0").select("fp", "h", "first")
+        twice = run.where("k > 1").select("fp", "h", F.col("id").alias("first")).join(known.select("fp", "h"), ["fp", "h"], "left_anti")
+        whole = marks.where("not again").join(known.unionAll(twice), ["fp", "h"]).where("id > first").select("id", "start", "n")
+        whole = whole.unionAll(marks.where("again").select("id", "start", "n"))
+        # an old stretch against old ones was compared before: only fingerprints with a new stretch count
+        open_ = kinds.groupBy("fp").agg(F.count("*").alias("m"), F.max("t").alias("t"), F.max("new").alias("any")).where("any = 1 and (m > 1 or t > 1)")
+        places = save(kinds.join(open_.select("fp"), "fp").select(F.col("first").alias("id"), "start", "n"), "places")
+        full = save(self._windows(_union([_source(d).select("id", "text") for d in [docs, *self.seen]]), places), "windows")
+        once = full.where("not again")
+        earliest = once.groupBy("w", "c").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1").select("w", "c", "first")
+        single = once.join(earliest, ["w", "c"]).where("id > first").select("id", "pos").unionAll(full.where("again").select("id", "pos"))
+        if old:  # ids of a batch are above those of history
+            least = run.agg(F.min("id")).first()[0]
+            single = single.where(F.col("id") >= F.lit(_LOW if least is None else least))
+        both = whole.unionAll(single.select("id", F.col("pos").alias("start"), F.lit(1).alias("n")))
+        out = save(both.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("at")), "repeats")
+        forget(hits, kinds, places, full)
         return out
 
     def ingest(self, docs: DataFrame) -> DataFrame:
@@ -178,44 +205,51 @@ class WindowIndex:
 
         (doc_id, n_words, n_removed, kept_text): the kept words joined by one space.
         """
-        run = save(self._run(docs), "run")
-        repeats = self._repeats(docs, run)
-        self.runs.append(run)
-        self.seen.append(docs)
         if len(self.runs) > self.fanout:
             self.compact()
+        marks = save(self._marks(docs), "marks")
+        run = save(_sorted(self._merged(marks.where("not again").withColumn("k", F.lit(1)))), "run")
+        repeats = self._repeats(docs, marks, run)
+        forget(marks)
+        self.runs.append(run)
+        self.seen.append(docs)
         width = self.width
 
         def keep(batches):
             for b in batches:
-                out = []
-                for text, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    words = (text or "").encode("utf-8", "surrogatepass").split()
-                    if not places:
-                        out.append((len(words), 0, b" ".join(words)))
-                        continue
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    pos = np.unique(np.array(places))
-                    pos = pos[pos <= len(words) - width]
-                    edge[pos] += 1
-                    edge[pos + width] -= 1
-                    gone = np.cumsum(edge[:-1]) > 0
-                    out.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])))
-                n, removed, kept = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
-
-        left = _source(docs).join(repeats, "id", "left").select("id", "text", "at")
-        kept = left.mapInArrow(keep, "id long, n_words long, n_removed long, kept_text string")
-        return kept.select(F.expr(f"if(id = {_LOW}L, null, id)").alias("doc_id"), "n_words", "n_removed", "kept_text")
+                for low, high, words in chunks(b.column(1)):
+                    # each interval of windows covers words from its start to its end in one text
+                    places = b.column(2).slice(low, high - low)
+                    begin = np.cumsum(words.sizes) - words.sizes
+                    text = np.repeat(np.arange(high - low), places.value_lengths().fill_null(0).to_numpy())
+                    first, n = (np.asarray(places.flatten().field(i)).astype(np.int64) for i in (0, 1))
+                    stop = np.minimum(first + n + width - 1, words.sizes[text])
+                    first = np.minimum(first, stop)
+                    edge = np.zeros(len(words.start) + 1, np.int64)
+                    np.add.at(edge, begin[text] + first, 1)
+                    np.add.at(edge, begin[text] + stop, -1)
+                    left = np.cumsum(edge[:-1]) == 0
+                    every = np.repeat(np.arange(high - low), words.sizes)
+                    removed = np.bincount(every[~left], minlength=high - low)
+                    cols = [b.column(0).slice(low, high - low), pa.array(words.sizes, pa.int64()), pa.array(removed, pa.int64()), words.joined(left)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_text"])
+
+        left = _source(docs).join(repeats, "id", "left").select("doc_id", "text", "at")
+        return left.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
 
     def compact(self) -> None:
         """Merges all runs into one sorted run; the old ones go when the new one is written."""
-        merged = save(self._sorted(reduce(DataFrame.unionAll, self.runs)), "run")
+        merged = save(_sorted(self._merged(_union(self.runs))), "run")
         forget(*self.runs)
         self.runs = [merged]
 
+    def close(self) -> None:
+        """Deletes the runs; results that were returned stay readable."""
+        forget(*self.runs)
+        self.runs, self.seen = [], []
+
 
-def drop_repeats(docs: DataFrame, n_batches: int = 2, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
+def drop_repeats(docs: DataFrame, n_batches: int = BATCHES, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
     """Ingests a table in ``n_batches`` ranges of doc_id, in order, and returns all batches' results."""
     index = WindowIndex(docs.sparkSession, width, gram, fanout)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW))
@@ -223,4 +257,6 @@ def drop_repeats(docs: DataFrame, n_batches: int = 2, width: int = WIDTH, gram:
     cuts = docs.agg(F.percentile_approx(key, shares, 1_000)).first()[0] if shares else []
     edges = [_LOW, *sorted(set(cuts or ()) - {_LOW}), None]
     parts = [docs.where((key >= a) & (F.lit(True) if b is None else key < b)) for a, b in zip(edges, edges[1:])]
-    return reduce(DataFrame.unionAll, [index.ingest(p) for p in parts])
+    out = _union([index.ingest(p) for p in parts])
+    index.close()
+    return out

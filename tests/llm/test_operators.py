@@ -381,7 +381,8 @@ def brute_repeat_words(texts):
 @pytest.mark.parametrize(("batches", "fanout"), [(1, 4), (3, 4), (4, 1)])
 def test_substring(spark, batches, fanout):
     shared = text(99, 30)
-    texts = [text(i, 60) for i in range(12)] + [text(3, 60), text(20, 25) + "\n" + shared, shared + "\n" + text(21, 30), "la " * 70, "la la " * 12, text(22, 50) + " " + text(22, 50), None, "", "short"]
+    again = text(31, 22)  # comes three times in one text, with other words around it
+    texts = [text(i, 60) for i in range(12)] + [text(3, 60), f"{again} {text(32, 9)} {again} {text(33, 9)} {again} {text(32, 9)}", text(20, 25) + "\n" + shared, shared + "\n" + text(21, 30), "la " * 70, "la la " * 12, text(22, 50) + " " + text(22, 50), None, "", "short"]
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.drop_repeats(docs(spark, texts), batches, fanout=fanout).collect()}
     assert got == brute_repeat_words(list(enumerate(texts)))
 
@@ -393,7 +394,7 @@ def test_index_is_incremental(spark):
     for k in range(0, 20, 5):
         for r in index.ingest(docs(spark, texts[k : k + 5], list(range(k, k + 5)))).collect():
             got[r["doc_id"]] = (r["n_words"], r["n_removed"], r["kept_text"])
-    assert got == brute_repeat_words(list(enumerate(texts))) and len(index.runs) <= 2
+    assert got == brute_repeat_words(list(enumerate(texts))) and len(index.runs) <= 3
 
 
 def test_substring_awkward(spark):
