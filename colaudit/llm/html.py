@@ -1,22 +1,23 @@
 """Main text of web pages by nearest-URL page differencing.
 
 The distinct pages of a host (by a hash of their html, each at its first URL) are range-partitioned and sorted
-by host and URL path, so a page's neighbours in that order are those with the nearest paths; the pages at
-a part's edges are sent to the part beside it too, so no text depends on where parts begin.  Each page's text lines (its blocks) are aligned with those of
-the neighbour that shares the longer path prefix, by longest common subsequence with bit vectors, and
-lines that both have are deleted: menus and notices recur, an article does not.
-
-Pure differencing errs where two pages carry the same article and where a footer or advert is unique, so
-structure has the last word: blocks in an article or main element stand whatever the
-neighbour has, blocks in navigation, headers, footers, sidebars, notices, adverts, forms, scripts and
-comments never stand, and a page with an article keeps nothing beside it, unless the article is a small share (``TEASER``) of
-what the neighbour does not have.  There, and on pages without an article, differencing alone
-decides on the other blocks.  A page without a neighbour keeps to its article, however small.
+by host and the segments of the URL path, so a page's neighbours in that order are those with the nearest
+paths; the pages at a part's edges are sent to the part beside it too, so no text depends on where parts
+begin.  Each page's text lines (its blocks) are aligned with those of the neighbour that shares more path
+segments, by longest common subsequence with bit vectors, and lines that both have are deleted: menus and
+notices recur, an article does not.
+
+Differencing decides first, over all lines of the page.  It errs where two pages carry the same article and
+where a footer or advert is unique, so structure may object: shared blocks in an article or main element
+stand, and unshared ones in navigation, headers, footers, sidebars, notices, adverts, forms and comments fall.
+Scripts, styles and hidden markup have no lines.  A page without a neighbour keeps to its article, if it
+has one.
 
 Defined results: null or empty html gives an empty text; a null url counts as an empty one (its pages
 are one host); identical copies on a host get the result of the first in the order; the first and last page of a
-host have one neighbour (a page alone has none and loses no line); tags may be unclosed; pages with repeated ids are
-kept each; an empty table gives no rows; other columns are ignored.
+host have one neighbour (a page alone has none and loses no line); tags may be unclosed; a very long page is
+aligned whole, in memory that grows with the root of its lines; pages with null or repeated ids are kept each;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import bisect
 import html
 import re
 import zlib
-from itertools import accumulate
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,46 +47,60 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Fixed words of class, id and role that mark what is not the article.
 _NAMES = frozenset(
-    "ad ads adv advert advertisement adverts advertorial sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside cookie cookies consent gdpr notice notices banner alert popup modal overlay comment comments disqus respond replies share sharing social related recommended newsletter subscribe subscription signup login search pagination pager masthead contentinfo complementary dialog topbar toolbar skip".split()
+    "ad ads adv advert advertisement adverts advertorial sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside cookie cookies consent gdpr notice notices banner alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search pagination pager masthead contentinfo complementary dialog topbar toolbar skip".split()
 )
+#: Fixed words for readers' comments, which may themselves be article elements.
+_REMARKS = frozenset("comment comments disqus respond replies".split())
+#: Fixed words that may stand beside one of these in a longer name.
+_NEUTRAL = frozenset("site page post main top bottom left right box bar wrap wrapper container inner outer list item items link links section block widget slot unit area region text form primary secondary global mobile".split())
+_LOOSE, _FIRM = 1, 2  # dropped by a name, which an article inside overrules; dropped for good
 
 
-def _dropped(attrs: str) -> bool:
+def _dropped(attrs: str) -> int:
+    """How the names in a tag's attributes drop the element: whole names count, not parts of longer ones."""
+    out = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role") and not _NAMES.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())) - {""}
+                known = words - _NEUTRAL
+                if known and known <= _NAMES | _REMARKS:
+                    out = max(out, _LOOSE if known <= _NAMES else _FIRM)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return _FIRM
+    return out
+
+
+PLAIN, ARTICLE, DROPPED = "012"  # what structure says of a line
 
 
-def blocks(page: str | None) -> list[tuple[str, bool]]:
-    """The text blocks in page order, without those in dropped elements, and whether each is in an article."""
-    out: list[tuple[str, bool]] = []
+def blocks(page: str | None) -> list[tuple[str, str]]:
+    """The text blocks in page order and what structure says of each."""
+    out: list[tuple[str, str]] = []
     if not page:
         return out
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, dropped, main
-    drop = main = False
+    stack: list[tuple[str, int, bool]] = []  # open elements: tag, dropped, main
+    drop, main = 0, False
 
     def flush() -> None:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append((text, main))
+                out.append((text, DROPPED if drop else ARTICLE if main else PLAIN))
             held.clear()
 
     def pop(n: int) -> None:
         nonlocal drop, main
         flush()
         del stack[n:]
-        drop, main = stack[-1][1:] if stack else (False, False)
+        drop, main = stack[-1][1:] if stack else (0, False)
 
     at = 0
     while at < len(page):
         m = _TAG.search(page, at)
-        if not drop and (m is None or m.start() > at):
+        if m is None or m.start() > at:
             held.append(html.unescape(page[at : m.start() if m else len(page)]))
         if m is None:
             break
@@ -102,8 +117,7 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
         elif tag == "br":
-            if not drop:
-                held.append(" ")
+            held.append(" ")
         else:
             block, attrs = tag in _BLOCK, m[3]
             if block:
@@ -112,7 +126,10 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
                     pop(len(stack) - 1)
             if tag in _VOID or attrs.endswith("/"):
                 continue
-            gone = drop or tag in _DROP or tag == "header" and not main or bool(attrs and tag not in ("html", "body") and _dropped(attrs))
+            named = _dropped(attrs) if attrs and tag not in ("html", "body") else 0
+            gone = _FIRM if tag in _DROP or tag == "header" and not main else max(drop, named)
+            if tag in _MAIN and gone == _LOOSE:
+                gone = 0
             inside = main or tag in _MAIN
             if tag in _MAIN and not inside or gone != drop or inside != main or block and tag not in _ENDED and tag not in ("html", "body"):
                 flush()
@@ -124,26 +141,12 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
     return out
 
 
-_STORED = 1 << 27  # bits of row vectors held at once
-
-
-def _rows(a: list, b: list, keep: bool):
-    """Bit vectors of the longest-common-subsequence table: zero bits count up along b."""
-    at: dict = {}
-    for j, x in enumerate(b):
-        at[x] = at.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    v, rows = full, [full]
-    for x in a:
-        u = v & at.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-        if keep:
-            rows.append(v)
-    return rows if keep else v
-
-
 def shared(a: list, b: list) -> set[int]:
-    """Positions in a of one longest common subsequence with b."""
+    """Positions in a of one longest common subsequence with b.
+
+    A row of the table is a bit vector whose zero bits count up along b.  Every root-th row is kept, those
+    between are computed again on the way back, so a page of any length takes the same choices.
+    """
     low, n, m = 0, len(a), len(b)
     while low < min(n, m) and a[low] == b[low]:
         low += 1
@@ -153,41 +156,50 @@ def shared(a: list, b: list) -> set[int]:
     a, b = a[low:n], b[low:m]
     if not a or not b:
         return out
-    if len(a) > 1 and len(a) * len(b) > _STORED:  # halves, joined where they share most
-        half = len(a) // 2
-        left, right = _rows(a[:half], b, False), _rows(a[half:][::-1], b[::-1], False)
-        zeros = lambda v: [0, *accumulate(1 - (v >> j & 1) for j in range(len(b)))]
-        head, tail = zeros(left), zeros(right)
-        cut = max(range(len(b) + 1), key=lambda j: head[j] + tail[len(b) - j])
-        return out | {low + i for i in shared(a[:half], b[:cut])} | {low + half + i for i in shared(a[half:], b[cut:])}
-    rows = _rows(a, b, True)
-    i, j = len(a), len(b)
-    count = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
+    at: dict = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full, step = (1 << len(b)) - 1, isqrt(len(a)) + 1
+
+    def rows(v: int, start: int, stop: int) -> list[int]:
+        found = [v]
+        for x in a[start:stop]:
+            u = v & at.get(x, 0)
+            v = ((v + u) | (v - u)) & full
+            found.append(v)
+        return found
+
+    kept = [full]
+    for start in range(0, len(a), step):
+        kept.append(rows(kept[-1], start, start + step)[-1])
+    i, j, base, held = len(a), len(b), len(a) + 1, []
+
+    def count(i: int, j: int) -> int:
+        nonlocal base, held
+        if not base <= i < base + len(held):
+            base = i // step * step
+            held = rows(kept[base // step], base, base + step)
+        return j - (held[i - base] & ((1 << j) - 1)).bit_count()
+
     now = count(i, j)
     while now:
-        if count(i - 1, j) == now:
-            i -= 1
-        elif count(i, j - 1) == now:
+        if count(i, j - 1) == now:
             j -= 1
+        elif count(i - 1, j) == now:
+            i -= 1
         else:
             i, j, now = i - 1, j - 1, now - 1
             out.add(low + i)
     return out
 
 
-#: Share of a page's unshared text below which its article elements do not stand for all of it.
-TEASER = 0.25
-
-
-def main_text(lines: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> tuple[str, int]:
+def main_text(lines: list[tuple[str, str]], other: list[tuple[str, str]] | None) -> tuple[str, int]:
     """The text that is left, and how many lines differencing deleted."""
     gone = shared([t for t, _ in lines], [t for t, _ in other]) if other else set()
-    gone = {i for i in gone if not lines[i][1]}
-    rest = [x for i, x in enumerate(lines) if i not in gone]
-    inside = sum(len(t) for t, m in rest if m)
-    # a small article beside much text that the neighbour does not have is a teaser: differencing decides on the others
-    if inside and not (other and inside < TEASER * sum(len(t) for t, _ in rest)):
-        rest = [x for x in rest if x[1]]
+    gone = {i for i in gone if lines[i][1] != ARTICLE}
+    rest = [x for i, x in enumerate(lines) if i not in gone and x[1] != DROPPED]
+    if not other and any(m == ARTICLE for _, m in rest):
+        rest = [x for x in rest if x[1] == ARTICLE]
     return "\n".join(t for t, _ in rest), len(gone)
 
 
@@ -249,7 +261,7 @@ def extract(pages: DataFrame, n_partitions: int | None = None) -> DataFrame:
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     url = F.coalesce("url", F.lit(""))
     digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256))
-    keyed = source.select(F.lower(F.regexp_extract(url, _HOST, 1)).alias("host"), F.regexp_extract(url, _PATH, 1).alias("path"), "url", "page_id", digest.alias("digest"), "html")
+    keyed = source.select(F.lower(F.regexp_extract(url, _HOST, 1)).alias("host"), F.translate(F.regexp_extract(url, _PATH, 1), "/", "\x01").alias("path"), "url", "page_id", digest.alias("digest"), "html")
     keys = save(keyed.select(*KEY), "keys")
     # of equal pages of a host the first stands for all
     first = keys.groupBy("host", "digest").agg(F.min(F.struct("path", "url", "page_id")).alias("first"), F.count("*").alias("n"))
@@ -268,7 +280,7 @@ def extract(pages: DataFrame, n_partitions: int | None = None) -> DataFrame:
                     if isinstance(last, int):
                         yield part, *key, last, None
                         continue
-                    lines = zlib.compress("\n".join(f"{m:d}{t}" for t, m in blocks(last)).encode("utf-8", "surrogatepass"))
+                    lines = zlib.compress("\n".join(m + t for t, m in blocks(last)).encode("utf-8", "surrogatepass"))
                     yield part, *key, _PAGE, lines
                     for other in beside.get(at, ()):
                         yield other, *key, _BESIDE, lines
@@ -312,7 +324,7 @@ def extract(pages: DataFrame, n_partitions: int | None = None) -> DataFrame:
                         yield host, digest, _PAGE, page_id, url, None, None
                         continue
                     note = None
-                    after = key, host, path.strip("/").split("/"), [(x[1:], x[0] == "1") for x in zlib.decompress(lines).decode("utf-8", "surrogatepass").split("\n") if x], (kind, page_id, url, digest)
+                    after = key, host, path.strip("\x01").split("\x01"), [(x[1:], x[0]) for x in zlib.decompress(lines).decode("utf-8", "surrogatepass").split("\n") if x], (kind, page_id, url, digest)
                     if cur and cur[4][0] != _BESIDE:
                         yield done(prev, cur, after)
                     prev, cur = cur, after

@@ -86,9 +86,24 @@ def test_structure():
     lines = html.blocks(PAGE.format("x"))
     assert html.main_text(lines, None)[0] == "Head&line\nFirst <b> line.\nSecond line é."
     assert html.blocks(None) == html.blocks("") == []
-    assert [t for t, _ in html.blocks("plain <b>text")] == ["plain text"]
+    assert html.blocks("plain <b>text") == [("plain text", html.PLAIN)]
     assert html.blocks("<div><script>never closed <p>x</p>") == []
-    assert [t for t, _ in html.blocks("<p hidden>a<p>b<p style='display:none'>c</p>d")] == ["b", "d"]
+    assert html.main_text(html.blocks("<p hidden>a<p>b<p style='display:none'>c</p>d"), None)[0] == "b\nd"
+
+
+@pytest.mark.parametrize(
+    ("page", "left"),
+    [
+        ("<div class='has-sidebar'><article>Body</article></div>", "Body"),
+        ("<main class='content related-posts'>Body</main>", "Body"),
+        ("<div class='sidebar'>Links<article>Body</article></div>", "Body"),
+        ("<article>Body<div class='site-footer'>Foot</div></article>", "Body"),
+        ("<article>Body<section id='comments'><article class='comment'>Me too</article></section></article>", "Body"),
+        ("<article>Body<div class='leadership banners-of-war'>More</div></article>", "Body\nMore"),
+    ],
+)
+def test_names_of_wrappers(page, left):
+    assert html.main_text(html.blocks(page), None)[0] == left
 
 
 def brute_lcs(a, b):
@@ -99,12 +114,10 @@ def brute_lcs(a, b):
     return t[-1][-1]
 
 
-@pytest.mark.parametrize("stored", [1 << 27, 8])
-def test_lcs(monkeypatch, stored):
-    monkeypatch.setattr(html, "_STORED", stored)
+def test_lcs():
     r = random.Random(2)
-    for _ in range(200):
-        a, b = ([r.choice("abcd") for _ in range(r.randrange(14))] for _ in range(2))
+    for n in [14] * 200 + [150] * 5:
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(n))] for _ in range(2))
         at = sorted(html.shared(a, b))
         assert len(at) == brute_lcs(a, b)
         it = iter(b)
@@ -116,26 +129,31 @@ def test_differencing(spark):
     rows = [(i, f"http://H.example.com/a/{i}?q=1", plain.format(f"page {i}")) for i in range(6)] + [(9, "http://other.example.com/x", plain.format("alone")), (10, None, None), (11, "http://h.example.com/a/7", ""), (12, "http://z.example/1", PAGE.format("x")), (13, "http://z.example/2", PAGE.format("x")), (13, "http://z.example/2", PAGE.format("x"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash"))
     got = {r["page_id"]: r for r in html.extract(df, 1).collect()}
-    assert [got[i]["text"] for i in range(1, 5)] == [f"page {i}\nBody of page {i}" for i in range(1, 5)] and got[2]["n_shared"] == 2
+    assert [got[i]["text"] for i in range(1, 5)] == [f"page {i}\nBody of page {i}" for i in range(1, 5)] and got[2]["n_shared"] == 2  # menu and contact
     assert got[9]["text"].startswith("Menu\n") and got[10]["text"] == got[11]["text"] == ""
     assert got[12]["text"] == got[13]["text"] == "Head&line\nFirst <b> line.\nSecond line é."  # a shared article stays
     assert html.extract(df.limit(0)).count() == 0 and html.extract(df).count() == len(rows)
 
 
-def test_teasers(spark):
-    page = "<body><div>Menu</div><article><p>Read {0}</p></article><div>{1}</div><div>Contact</div></body>"
-    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
-    rows = [(i, f"http://t.example/{i}", page.format(i, body(i))) for i in range(3)]
-    rows += [(3, "http://u.example/1", page.format(body(3), "Short 1")), (4, "http://u.example/2", page.format(body(4), "Short 2")), (5, "http://v.example/1", page.format(5, body(5)))]
+def test_differencing_decides_beside_articles(spark):
+    page = "<body><div>Menu</div><nav>Home</nav><article><p>Read {0}</p><p>Same</p></article><div>{1}</div><div>Contact</div><footer>Foot {0}</footer></body>"
+    rows = [(i, f"http://t.example/{i}", page.format(i, f"More {i}")) for i in range(3)] + [(5, "http://v.example/1", page.format(5, "More"))]
+    got = {r["page_id"]: (r["text"], r["n_shared"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 2).collect()}
+    # menu, navigation and contact are shared; the shared line of the article stands, the unshared footer falls
+    assert all(got[i] == (f"Read {i}\nSame\nMore {i}", 3) for i in range(3))
+    assert got[5] == ("Read 5\nSame", 0)  # no neighbour
+
+
+def test_nearest_path_by_segments(spark):
+    page = "<body><p>Own {0}</p>{1}</body>"
+    rows = [(1, "http://n.example/a/b", page.format(1, "<p>near</p>")), (2, "http://n.example/a/b-x", page.format(2, "<p>far</p>")), (3, "http://n.example/a/b/c", page.format(3, "<p>near</p><p>far</p>"))]
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 2).collect()}
-    assert [got[i] for i in range(3)] == [f"Read {i}\n{body(i)}" for i in range(3)]  # the body beside a teaser stays, the menu goes
-    assert [got[i] for i in (3, 4)] == [f"Read {body(i)}" for i in (3, 4)]
-    assert got[5] == "Read 5"  # no neighbour
+    assert got[3] == "Own 3\nfar"
 
 
 def brute_differencing(rows):
     """Differencing over the distinct pages of each host, in one list; (page_id, url) -> results."""
-    order = lambda i, u: (u.split("/")[2], "/" + u.split("/", 3)[3], u, i is not None, i or 0)
+    order = lambda i, u: (u.split("/")[2], u.split("/")[3:], u, i is not None, i or 0)
     first: dict = {}
     for i, u, h in sorted(rows, key=lambda r: order(*r[:2])):
         first.setdefault((u.split("/")[2], h), (i, u, h))
