@@ -1,48 +1,59 @@
 """Importance resampling with hashed n-gram models.
 
-Two bags of words and word pairs, hashed to a fixed number of buckets, are modelled: the target
-(documents labelled good) and the raw text (all documents).  A document's log importance is
-the log ratio of the two models over its n-grams.  Each key is the log importance plus Gumbel noise drawn
-from a hash of the id; the documents with the k greatest keys are a sample without
-replacement in proportion to importance.  k is given or is the expected number that rejection
-sampling with the envelope constant would keep, the sum of min(1, ENVELOPE * importance): documents
-about as likely under the target as in the raw text are kept, the others hardly ever.
+Two bags of words and word pairs, hashed to buckets, are modelled: the target (documents labelled
+good) and the raw text (all documents).  A document's log importance is the log ratio of the two models
+over its n-grams, the mean times their number, ``PASSAGE`` at most: a long text counts as a passage like
+its whole, else the small error of each n-gram, times thousands of them, would outweigh any evidence.  Each key is the log importance plus Gumbel noise drawn from a hash of the id; the
+documents with the k greatest keys are a sample without replacement in proportion to importance.
+
+k is given, or is the number of documents at least as important as a share ``RATE`` of good documents is:
+the labelled good documents are dealt into two halves by a hash of their ids, one is the target, and the
+importances of the other half, which the model has not seen, tell which importance that share reaches.
 
 The k-th greatest key is found by counting keys in ever finer intervals; nothing is sorted
 as a whole and no key list leaves Spark.
 
-The target model learns from at most ``max_target`` labelled documents (the first by hash of the
-id); the raw model counts every document.  The target counts are smoothed towards the raw
-distribution, so buckets that few target documents reach say little, and each n-gram is granted a quarter of the
-relative error of a bucket's target count (at most ``SLACK``).
-
-Defined results: a null or empty text has no n-grams and importance one; null ids draw the
-same noise; rows with equal keys are kept or dropped together, so ties at the k-th key may keep more than
-k rows; without target labels all importances are one; an empty table gives no rows; other columns pass.
+The number of buckets grows with the corpus, a bucket for each ``BYTES_PER_BUCKET`` bytes rounded up to a
+power of two, from ``MIN_BUCKETS`` to ``MAX_BUCKETS`` (four million: 32 MB a worker, the bound of what is
+broadcast).  The raw model counts every document; the target model and the held-out half have at most
+``max_target`` labelled documents together, the first by hash of the id.  The target's counts are smoothed
+towards the raw distribution by ``SMOOTH`` counts a bucket, so buckets that few target documents reach
+say little.
+
+Defined results: a null or empty text has no n-grams and importance one; a very long text is scored by all
+its n-grams, scaled to a passage's number; null ids draw the same noise; rows with equal keys are kept
+or dropped together, so ties at the k-th key may keep more than k rows; without two target labels all
+importances are one and all rows are kept; an empty table gives no rows; other columns pass.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHash, mix, save
+from .bytewords import chunks, powers
+from .common import forget, mix, save
 
-BUCKETS, MAX_TARGET, SMOOTH, SEED, ENVELOPE, SLACK = 1 << 14, 20_000, 4.0, 1, 100.0, 0.05
+MIN_BUCKETS, MAX_BUCKETS, BYTES_PER_BUCKET = 1 << 12, 1 << 22, 4_096
+MAX_TARGET, SMOOTH, RATE, PASSAGE, SEED = 20_000, 256.0, 0.995, 400, 1
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _words(text: str | None, memo: TokenHash) -> np.ndarray:
-    return memo.of(text.encode("utf-8", "surrogatepass").split() if text else [])
-
-
-def ngrams(words: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Bucket numbers of the words and of the pairs of neighbours."""
-    pairs = mix(words[:-1] * _PAIR + words[1:]) if len(words) > 1 else words[:0]
-    return (np.concatenate([words, pairs]) % np.uint64(buckets)).astype(np.int64)
+def ngrams(column: pa.Array, buckets: int):
+    """(first row, last row + 1, rows, bucket numbers): the words and the pairs of neighbours of each text."""
+    by_byte = powers()
+    for low, high, words in chunks(column):
+        h = words.hashes(by_byte)[0]
+        row = np.repeat(np.arange(high - low), words.sizes)
+        same = row[1:] == row[:-1]
+        pairs = mix(h[:-1] * _PAIR + h[1:])[same]
+        found = np.concatenate([h, pairs]) % np.uint64(buckets)
+        yield low, high, np.concatenate([row, row[1:][same]]), found.astype(np.int64)
 
 
 def gumbel(doc_id: int | None, seed: int = SEED) -> float:
@@ -51,59 +62,82 @@ def gumbel(doc_id: int | None, seed: int = SEED) -> float:
 
 
 class Model:
-    """Log ratio of target and raw probability by bucket; of fixed size."""
+    """Log ratio of target and raw probability by bucket, and the good documents that it has not seen."""
 
-    def __init__(self, target: np.ndarray, raw: np.ndarray, smooth: float = SMOOTH):
+    def __init__(self, target: np.ndarray, raw: np.ndarray, held: frozenset = frozenset(), smooth: float = SMOOTH):
         n = len(raw)
         p = (raw + 0.5) / (raw.sum() + 0.5 * n)
         q = (target + smooth * n * p) / (target.sum() + smooth * n) if target.sum() else p
-        # a few labelled documents show each bucket's share only roughly: what that may be off by does not count against a text
-        slack = min(SLACK, np.sqrt(n / target.sum()) / 4) if target.sum() else 0.0
-        self.ratio = np.log(q) - np.log(p) + slack
+        self.ratio, self.held = np.log(q) - np.log(p), held
+
+    def importance(self, column: pa.Array) -> np.ndarray:
+        """The log importance of each text of a column."""
+        parts = [np.empty(0)]
+        for low, high, row, bucket in ngrams(column, len(self.ratio)):
+            n = np.bincount(row, minlength=high - low)
+            parts.append(np.bincount(row, self.ratio[bucket], high - low) * np.minimum(1, PASSAGE / np.maximum(1, n)))
+        return np.concatenate(parts)
+
 
-    def importance(self, text: str | None, memo: TokenHash) -> float:
-        return float(self.ratio[ngrams(_words(text, memo), len(self.ratio))].sum())
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, buckets: int = BUCKETS) -> Model:
+def bucket_count(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (max(1, size // BYTES_PER_BUCKET) - 1).bit_length()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, buckets: int | None = None, smooth: float = SMOOTH) -> Model:
     """docs(doc_id, text), labels(doc_id, quality): one pass over the documents counts both bags."""
+    buckets = buckets or bucket_count(docs)
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).where("doc_id is not null and q in (0, 1)")
     good = good.groupBy("doc_id").agg(F.min("q").alias("q")).where("q = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target)
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in good.select("doc_id").collect()))
+    drawn = [r[0] for r in good.select("doc_id").collect()]
+    target, held = frozenset(drawn[::2]), frozenset(drawn[1::2])  # they come in the order of their hashes
+    if not held:
+        target = held
+    sent = docs.sparkSession.sparkContext.broadcast(target)
 
     def count(batches):
-        memo, chosen = TokenHash(21), sent.value
+        chosen = np.array(sorted(sent.value), np.int64)
         bags = np.zeros((2, buckets), np.int64)
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = np.bincount(ngrams(_words(t, memo), buckets), minlength=buckets)
-                bags[0] += n
-                if i in chosen:
-                    bags[1] += n
+            ids = b.column(0)
+            marked = np.isin(ids.fill_null(0).to_numpy(), chosen) & ids.is_valid().to_numpy(zero_copy_only=False)
+            for low, high, row, bucket in ngrams(b.column(1), buckets):
+                np.add.at(bags[0], bucket, 1)
+                np.add.at(bags[1], bucket[marked[low:high][row]], 1)
         at = np.flatnonzero(bags[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bags[0][at]), pa.array(bags[1][at])], ["bucket", "raw", "target"])
+        for k in range(0, len(at), 100_000):
+            part = at[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(bags[0][part]), pa.array(bags[1][part])], ["bucket", "raw", "target"])
+
+    counted = _source(docs).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    bags = np.zeros((2, buckets))
+    for k, name in enumerate(("raw", "target")):
+        bags[k, counted["bucket"].to_numpy()] = counted[name].to_numpy()
+    return Model(bags[1], bags[0], held, smooth)
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = source.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    for i, r, t in rows:
-        raw[i], target[i] = r, t
-    return Model(target, raw)
+
+def _keys(column_of_ids: pa.Array, importance: np.ndarray, seed: int) -> np.ndarray:
+    return importance + np.array([gumbel(i, seed) for i in column_of_ids.to_pylist()], float)
 
 
 def importances(docs: DataFrame, model: Model, seed: int = SEED) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, log_importance, key)."""
+    """docs(doc_id, text) -> (doc_id, log_importance, key, held): held marks the good documents that the model has not seen."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        memo, model = TokenHash(21), sent.value
+        model = sent.value
+        held = np.array(sorted(model.held), np.int64)
         for b in batches:
-            w = np.array([model.importance(t, memo) for t in b.column(1).to_pylist()], float)
-            noise = np.array([gumbel(i, seed) for i in b.column(0).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(w + noise)], ["doc_id", "log_importance", "key"])
+            ids = b.column(0)
+            w = model.importance(b.column(1))
+            unseen = np.isin(ids.fill_null(0).to_numpy(), held) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(w), pa.array(_keys(ids, w, seed)), pa.array(unseen)], ["doc_id", "log_importance", "key", "held"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, log_importance double, key double")
+    return _source(docs).mapInArrow(run, "doc_id long, log_importance double, key double, held boolean")
 
 
 def kth_greatest(values: DataFrame, column: str, k: int, parts: int = 4096) -> float:
@@ -129,30 +163,38 @@ def kth_greatest(values: DataFrame, column: str, k: int, parts: int = 4096) -> f
     return low
 
 
-def threshold(scored: DataFrame, k: int | None = None) -> float:
-    """The least key that is kept."""
-    if k is None:
-        k = scored.agg(F.sum(F.least(F.lit(1.0), ENVELOPE * F.exp(F.least(F.lit(0.0), "log_importance"))))).first()[0] or 0
-    return kth_greatest(scored, "key", int(round(k)))
+def sample_size(scored: DataFrame, rate: float = RATE) -> int:
+    """How many documents are as important as a share ``rate`` of the held-out good ones is."""
+    unseen = sorted(r[0] for r in scored.where("held").select("log_importance").collect())  # max_target at most
+    if not unseen:
+        return scored.count()
+    least = unseen[math.floor((1 - rate) * len(unseen))]
+    return scored.where(F.col("log_importance") >= F.lit(least)).count()
+
+
+def _scored(docs: DataFrame, labels: DataFrame, k: int | None, max_target: int, smooth: float, rate: float) -> tuple[Model, DataFrame, float]:
+    model = fit(docs, labels, max_target, None, smooth)
+    scored = save(importances(docs, model), "importances")
+    return model, scored, kth_greatest(scored, "key", sample_size(scored, rate) if k is None else k)
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_target: int = MAX_TARGET) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_target: int = MAX_TARGET, smooth: float = SMOOTH, rate: float = RATE) -> DataFrame:
     """(doc_id, log_importance, key, kept) of every document."""
-    scored = save(importances(docs, fit(docs, labels, max_target)), "importances")
-    return scored.withColumn("kept", F.col("key") >= F.lit(threshold(scored, k)))
+    _, scored, least = _scored(docs, labels, k, max_target, smooth, rate)
+    return scored.select("doc_id", "log_importance", "key", (F.col("key") >= F.lit(least)).alias("kept"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_target: int = MAX_TARGET) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_target: int = MAX_TARGET, smooth: float = SMOOTH, rate: float = RATE) -> DataFrame:
     """The kept documents, all columns as they are; keys are computed again beside each row, without a join."""
-    model = fit(docs, labels, max_target)
-    least = threshold(save(importances(docs, model), "importances"), k)
+    model, scored, least = _scored(docs, labels, k, max_target, smooth, rate)
+    forget(scored)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     i, t = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches):
-        memo, model = TokenHash(21), sent.value
+        model = sent.value
         for b in batches:
-            keys = (model.importance(x, memo) + gumbel(d, SEED) for d, x in zip(b.column(i).to_pylist(), b.column(t).to_pylist()))
-            yield b.filter(pa.array([key >= least for key in keys], pa.bool_()))
+            keys = _keys(b.column(i), model.importance(b.column(t).cast(pa.string())), SEED)
+            yield b.filter(pa.array(keys >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html as html_lib
 import itertools
+import math
 import random
 import re
 import time
@@ -12,6 +13,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -227,30 +229,48 @@ def junk(seed):
     return " ".join(f"{w}$$$ ###" for w in text(seed, 80).split())
 
 
-def test_resampling(spark):
-    texts = [text(i, 80) if i % 5 else junk(i) for i in range(200)]
-    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(0, 200, 3)] + [(None, 1), (5000, 1), (7, None)], "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in resample.resample(docs(spark, texts), labels).collect()}
-    assert all(got[i]["kept"] == bool(i % 5) for i in range(200))
-    few = [r for r in resample.resample(docs(spark, texts), labels, k=17).collect() if r["kept"]]
+def grams(t, buckets):
+    return [int(b) for _, _, _, found in resample.ngrams(pa.array([t], pa.string()), buckets) for b in found]
+
+
+def brute_resampling(texts, labels, buckets, smooth, rate):
+    """doc_id -> (log importance, key, kept), by plain loops."""
+    good = [i for i in labels if labels[i] == 1]  # in the order of their hashes
+    target, held = good[::2], good[1::2]
+    bags = [Counter(grams(t, buckets)) for t in texts]
+    raw, aim = sum(bags, Counter()), sum((bags[i] for i in target), Counter())
+    n, m = sum(raw.values()), sum(aim.values())
+    p = {b: (raw[b] + 0.5) / (n + 0.5 * buckets) for b in raw}
+    ratio = {b: math.log((aim[b] + smooth * buckets * p[b]) / (m + smooth * buckets)) - math.log(p[b]) for b in raw}
+    log = [sum(ratio[b] * c for b, c in bag.items()) * min(1, resample.PASSAGE / max(1, sum(bag.values()))) for bag in bags]
+    key = [x + resample.gumbel(i) for i, x in enumerate(log)]
+    least = sorted(log[i] for i in held)[int((1 - rate) * len(held))]
+    k = sum(x >= least - 1e-9 for x in log)
+    return {i: (log[i], key[i], key[i] >= sorted(key)[-k]) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize(("smooth", "rate"), [(256.0, 0.995), (1.0, 0.9)])
+def test_resampling(spark, smooth, rate):
+    texts = [text(i, 400 if i % 7 == 1 else 80) if i % 5 else junk(i) for i in range(200)]
+    rows = [(i, int(i % 5 > 0)) for i in range(0, 200, 3)]
+    labels = spark.createDataFrame(rows + [(None, 1), (7, None)], "doc_id long, quality int")
+    order = [r[0] for r in spark.createDataFrame(rows, "doc_id long, q int").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    d = docs(spark, texts)
+    got = {r["doc_id"]: r for r in resample.resample(d, labels, smooth=smooth, rate=rate).collect()}
+    want = brute_resampling(texts, {i: dict(rows)[i] for i in order}, resample.bucket_count(d), smooth, rate)
+    for i in range(200):
+        assert abs(got[i]["log_importance"] - want[i][0]) < 1e-6 and abs(got[i]["key"] - want[i][1]) < 1e-6 and got[i]["kept"] == want[i][2]
+    few = [r for r in resample.resample(d, labels, k=17, smooth=smooth).collect() if r["kept"]]
     assert {r["doc_id"] for r in few} == {i for i, _ in sorted(got.items(), key=lambda x: -x[1]["key"])[:17]}
-    kept = resample.sample(docs(spark, texts).withColumn("key", F.lit(1)), labels)
+    kept = resample.sample(d.withColumn("key", F.lit(1)), labels, smooth=smooth, rate=rate)
     assert kept.columns[-1] == "key" and {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i]["kept"]}
+    if smooth == 1.0:  # junk and text are far apart
+        assert not any(got[i]["kept"] for i in range(0, 200, 5)) and sum(got[i]["kept"] for i in range(200)) > 130
 
 
-def test_importance_is_the_log_ratio(spark):
-    texts = [text(i, 30) for i in range(12)]
-    labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
-    model = resample.fit(docs(spark, texts), labels, buckets=64)
-    from colaudit.llm.common import TokenHash
-
-    bags = [Counter(resample.ngrams(resample._words(t, TokenHash(21)), 64).tolist()) for t in texts]
-    raw, target = sum(bags, Counter()), sum(bags[:4], Counter())
-    n, m = sum(raw.values()), sum(target.values())
-    for b in range(64):
-        p = (raw[b] + 0.5) / (n + 32)
-        q = (target[b] + 4 * 64 * p) / (m + 4 * 64)
-        assert abs(model.ratio[b] - (np.log(q) - np.log(p)) - min(0.05, np.sqrt(64 / m) / 4)) < 1e-9
+def test_buckets_grow_with_the_corpus(spark):
+    sizes = [resample.bucket_count(docs(spark, ["x" * 50_000] * n)) for n in (1, 600, 1_200)]
+    assert sizes[0] == resample.MIN_BUCKETS and sizes[1] < sizes[2]
 
 
 @pytest.mark.parametrize("k", [1, 2, 50, 99, 100, 101, 0])
