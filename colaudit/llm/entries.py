@@ -68,8 +68,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key that the session names; the registered query and the pipeline fall back to a sample key, which protects nothing."""
+    return spark.conf.get("spark.colaudit.pii.key", "sample key, not a secret").encode()
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("n_replaced", F.size("pii_spans").cast("long"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark)).withColumn("n_replaced", F.size("pii_spans").cast("long"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

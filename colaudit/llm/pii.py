@@ -6,9 +6,11 @@ Each is then permuted by a keyed Feistel network within the set of values of its
 stay digits, a valid check digit stays valid, a date becomes another date in the same style.
 Secrets, keys and addresses are replaced whole, however long.
 The permutation depends on the key and the kind only, so equal values stay equal in all documents
-and with the key they can be turned back.
+and with the caller's key they can be turned back.  Numbers of fewer than twelve digits without a mark of
+their kind (a leading +, brackets, the dashes of a social security number) are left alone.
 
-Defined results: a null text stays null, an empty one empty; where patterns overlap the
+Defined results: a null text stays null, an empty one empty; a very long text is read in one piece, in time
+linear in its length; nothing depends on doc_id, so null and repeated ids pass; where patterns overlap the
 earlier match, then the kind listed first, wins; repeated rows give equal results; an empty
 table gives no rows; other columns pass unchanged.
 """
@@ -25,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-KEY = b"colaudit"
 ROUNDS = 8
 LONG = 256  # characters from which on values are permuted digit by digit and not remembered
 
@@ -198,10 +199,10 @@ def _date(text: str, f: Feistel, back: bool) -> str | None:
     if s1 != s2 or not 0 <= day < _DAYS:
         return None
     walk = day
-    while True:  # day/month order must be read back the same way
+    while True:  # days that could be months stay among each other, so every style gives the same date and is read back
         walk = f.permute(walk, _DAYS, back)
         new = _FIRST + datetime.timedelta(walk)
-        if order != "dmy" or s1 != "/" or new.day > 12:
+        if (new.day > 12) == (v["d"] > 12):
             break
     w = {"y": f"{new.year:04}", "m": f"{new.month:02}", "d": f"{new.day:02}"}
     return s1.join(w[k] for k in order)
@@ -217,7 +218,7 @@ KINDS = (
     ("date", r"(?<![\d./-])(?:(?:19|20)\d\d([-/.])\d\d\1\d\d|\d\d?([-/.])\d\d?\2(?:19|20)\d\d)(?![\d]|[./-]\d)", _date),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", _phone),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _number),
-    ("number", r"(?<![\w.-])\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?(?![\w-])|(?<!\w)\d{9,19}(?!\w)", _number),
+    ("number", r"(?<![\w.-])\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?(?![\w-])|(?<!\w)\d{12,19}(?!\w)", _number),
 )
 
 
@@ -236,7 +237,9 @@ def _master() -> tuple[re.Pattern, list[tuple[str, int, object]]]:
 class Pseudonyms:
     """Replaces values in texts; ``back`` turns its own results back."""
 
-    def __init__(self, key: bytes = KEY, back: bool = False):
+    def __init__(self, key: bytes, back: bool = False):
+        if not key:
+            raise ValueError("pseudonyms need a key")
         self.back = back
         self.find, self.kinds = _master()
         self.worth = re.compile(rf"[0-9@]|(?i:token|secret|passw|key|bearer)|{_PREFIX}").search
@@ -273,9 +276,10 @@ class Pseudonyms:
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False, spans: str | None = "pii_spans") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, back: bool = False, spans: str | None = "pii_spans") -> DataFrame:
     """docs with ``text`` rewritten, all other columns as they are.
 
+    key: the caller's secret; who has it can turn the values back, so it belongs in a secret store.
     spans: the name of an added column array<struct<kind, start, end>> of places in the old text; None adds none.
     """
     at = docs.columns.index("text")

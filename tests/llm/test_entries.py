@@ -49,7 +49,7 @@ def test_pipeline(spark, data):
     left = {i for i in left if parts.get(i, i) == i}
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     left -= {r["doc_id"] for r in decontaminate.leaks(d, bench).collect()}
-    p = pii.Pseudonyms()
+    p = pii.Pseudonyms(entries.pii_key(spark))
     assert {r["doc_id"]: r["text"] for r in out} == {i: p.apply(docs[i])[0] for i in left}
     assert all(r["n_tokens"] == len(r["ids"]) for r in out) and 0 < len(out) < len(docs)
 

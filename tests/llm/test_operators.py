@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import html as html_lib
 import itertools
@@ -537,14 +538,14 @@ PRIVATE = ["anna.smith@mail.example.com", "4111 1111 1111 1111", "98079157628044
 
 def test_pseudonyms(spark):
     texts = [f"Say {v}, then {v}; end" for v in PRIVATE] + ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "Version 3.0 of 1999, page 12, 4.0 and 2024.", None, ""]
-    out = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, texts)).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, texts), b"k").collect()}
     for i, v in enumerate(PRIVATE):
         m = re.fullmatch(r"Say (.*), then (.*); end", out[i]["text"])
         assert m and m[1] == m[2] != v and re.sub("[a-z]", "a", re.sub(r"\d", "9", m[1])) == re.sub("[a-z]", "a", re.sub(r"\d", "9", v)) or v == PRIVATE[4]
     n = len(PRIVATE)
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', out[n]["text"]) and "04dbebab" not in out[n]["text"]
     assert out[n + 1]["text"] == texts[n + 1] and out[n + 2]["text"] is None and out[n + 3]["text"] == ""
-    back = pii.pseudonymise(spark.createDataFrame([(r["doc_id"], r["text"]) for r in out.values()], "doc_id long, text string"), back=True)
+    back = pii.pseudonymise(spark.createDataFrame([(r["doc_id"], r["text"]) for r in out.values()], "doc_id long, text string"), b"k", back=True)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
 
 
@@ -553,7 +554,7 @@ def test_long_secrets(n):
     r = random.Random(n)
     draw = lambda chars, k: "".join(r.choices(chars, k=k))
     token, digits, letters = "eyJ" + draw("abcXYZ019_-.", n - 3), draw("0123456789abcdef", n), draw("abcdefgh", n)
-    p, back = pii.Pseudonyms(), pii.Pseudonyms(back=True)
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
     cases = [("token=", token), ("secret: ", token), ("hash ", digits), ("hash ", digits.upper()), ("use ghp_", token.replace(".", "a")), ("use sk-", letters), ("", letters + "@example.com")]
     for lead, v in cases:
         old = f"{lead}{v}, end"
@@ -573,7 +574,7 @@ def test_long_values_are_linear():
     texts = ["token=" + "aB3." * 100_000, "x" + "f" * 400_000, "a1" * 200_000, "token " * 60_000, "sk-" * 100_000]
     start = time.monotonic()
     for t in texts:
-        assert pii.Pseudonyms(back=True).apply(pii.Pseudonyms().apply(t)[0])[0] == t
+        assert pii.Pseudonyms(b"k", back=True).apply(pii.Pseudonyms(b"k").apply(t)[0])[0] == t
     assert time.monotonic() - start < 20
 
 
@@ -586,7 +587,7 @@ def test_digits_permute(sizes):
 
 
 def test_check_digits_survive():
-    p = pii.Pseudonyms()
+    p = pii.Pseudonyms(b"k")
     new = p.apply("4111111111111111")[0]
     assert pii.luhn(new[:-1]) == int(new[-1])
     bad = p.apply("4111111111111112")[0]
@@ -594,13 +595,25 @@ def test_check_digits_survive():
 
 
 def test_keys_differ():
+    with pytest.raises(ValueError):
+        pii.Pseudonyms(b"")
     assert pii.Pseudonyms(b"a").apply("9807915762804490")[0] != pii.Pseudonyms(b"b").apply("9807915762804490")[0]
 
 
 def test_pii_awkward(spark):
     d = awkward(spark).withColumn("text", F.when(F.col("doc_id") == 7, F.concat(F.repeat(F.lit("9"), 100_000), F.repeat(F.lit("a."), 50_000))).otherwise(F.col("text")))
-    got = pii.pseudonymise(d, spans=None)
-    assert got.columns == d.columns and got.count() == d.count() and pii.pseudonymise(d.limit(0)).count() == 0
+    got = pii.pseudonymise(d, b"k", spans=None)
+    assert got.columns == d.columns and got.count() == d.count() and pii.pseudonymise(d.limit(0), b"k").count() == 0
+
+
+@pytest.mark.parametrize(("y", "m", "d"), [(1999, 12, 31), (2001, 2, 28), (1987, 5, 6), (2012, 11, 12), (2050, 1, 13)])
+def test_a_date_has_one_pseudonym_in_all_styles(y, m, d):
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    us = f"{m:02}/{d:02}/{y}"
+    styles = {f"{y}-{m:02}-{d:02}": "%Y-%m-%d", f"{d:02}.{m:02}.{y}": "%d.%m.%Y", us: "%m/%d/%Y"} | ({f"{d:02}/{m:02}/{y}": "%d/%m/%Y"} if d > 12 else {})
+    found = {t: p.apply(f"on {t} it")[0][3:-3] for t in styles}
+    assert len({datetime.datetime.strptime(found[t], f) for t, f in styles.items()}) == 1
+    assert all(back.apply(f"on {x} it")[0] == f"on {t} it" for t, x in found.items())
 
 
 # --- 10 decontamination ---------------------------------------------------------------------------
