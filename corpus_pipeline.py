@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colaudit.llm import decontaminate, pii, resample, simhash
 from colaudit.llm.common import shared_dir, table
-from colaudit.llm.entries import bpe_round_trip
+from colaudit.llm.entries import bpe_round_trip, pii_key
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced in the texts."""
-    return pii.pseudonymise(docs, spans=None)
+    return pii.pseudonymise(docs, pii_key(spark), spans=None)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
