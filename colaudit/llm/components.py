@@ -41,4 +41,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
+    out = save(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots), "components")
+    forget(now)
+    return out

@@ -8,11 +8,13 @@ least the sum of the differences of the parts' counts, so tile pairs whose range
 further apart than the radius are skipped; all others are compared exactly with numpy
 exclusive-or and bit counts.  Of the links found a task keeps a spanning forest (no
 component is lost, no group is written out as all its pairs), and the forests are joined by
-large-star and small-star steps on Spark.
+large-star and small-star steps on Spark.  Fingerprints are the nodes; each component is then named
+by its smallest doc_id.
 
-Defined results: a null text counts as empty; a text without words has fingerprint zero,
-linked like any other; rows with a repeated doc_id are kept as they are; an empty table
-gives no rows; other columns are ignored.
+Defined results: a null text counts as empty; a text without words has fingerprint zero, linked like any
+other; a very long text is hashed whole, in pieces; rows with a repeated doc_id are kept as they are; rows
+without a doc_id link and are linked like others, and a component of such rows alone has no id; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .common import forget, save
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-TILE_ROWS = 16_384  # fingerprints in a stored tile (16 bytes each)
+TILE_ROWS = 16_384  # fingerprints in a stored tile (8 bytes each)
 _INNER = 1_024  # rows of a compared block: 8 MB of exclusive-ors at a time
 _CHUNK = 65_536
 
@@ -83,21 +85,21 @@ def _counts(fps: np.ndarray) -> np.ndarray:
 
 
 def tiles(classes: DataFrame, n_rows: int, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """classes(fp, rep) -> (tile, lo, hi, fps, reps), sorted by counts and packed."""
+    """classes(fp) -> (tile, lo, hi, fps), sorted by counts and packed."""
     keys = [F.expr(f"bit_count({x})") for x in ("fp", _HALVES[0], _QUARTERS[0], _QUARTERS[2])]
     names = ["k0", "k1", "k2", "k3", "fp"]
-    keyed = classes.select("fp", "rep", *[k.alias(n) for k, n in zip(keys, names)])
-    dealt = keyed.repartitionByRange(max(1, -(-n_rows // tile_rows)), *names).sortWithinPartitions(*names).select("fp", "rep")
+    keyed = classes.select("fp", *[k.alias(n) for k, n in zip(keys, names)])
+    dealt = keyed.repartitionByRange(max(1, -(-n_rows // tile_rows)), *names).sortWithinPartitions(*names).select("fp")
 
     def pack(batches):
         part = TaskContext.get().partitionId()
         held, n, k = [], 0, 0
 
         def out(held, k):
-            fps, reps = (np.concatenate([np.asarray(b.column(i)) for b in held]) for i in (0, 1))
+            fps = np.concatenate([np.asarray(b.column(0)) for b in held])
             c = _counts(fps.view(np.uint64))
-            cols = [[part * 1_000_000 + k], [c.min(0).tolist()], [c.max(0).tolist()], [fps.tobytes()], [reps.tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()))], ["tile", "lo", "hi", "fps", "reps"])
+            cols = [[part * 1_000_000 + k], [c.min(0).tolist()], [c.max(0).tolist()], [fps.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()))], ["tile", "lo", "hi", "fps"])
 
         for b in batches:
             while b.num_rows:
@@ -110,7 +112,7 @@ def tiles(classes: DataFrame, n_rows: int, tile_rows: int = TILE_ROWS) -> DataFr
         if n:
             yield out(held, k)
 
-    return dealt.mapInArrow(pack, "tile long, lo array<int>, hi array<int>, fps binary, reps binary")
+    return dealt.mapInArrow(pack, "tile long, lo array<int>, hi array<int>, fps binary")
 
 
 def _near(lo_a, hi_a, lo_b, hi_b, radius):
@@ -143,10 +145,9 @@ class Forest:
             self.label = to[self.label]
 
 
-def compare(fps_a, reps_a, fps_b, reps_b, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (u, v) between representatives: a spanning forest of all pairs within the radius."""
+def compare(fps_a: np.ndarray, fps_b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) between fingerprints: a spanning forest of all pairs within the radius."""
     fps = fps_a if same else np.concatenate([fps_a, fps_b])
-    reps = reps_a if same else np.concatenate([reps_a, reps_b])
     forest, shift = Forest(len(fps)), 0 if same else len(fps_a)
     cuts_a, cuts_b = range(0, len(fps_a), _INNER), range(0, len(fps_b), _INNER)
     boxes = [(c.min(0), c.max(0)) for c in (_counts(fps_b[j : j + _INNER]) for j in cuts_b)]
@@ -162,11 +163,11 @@ def compare(fps_a, reps_a, fps_b, reps_b, same: bool, radius: int) -> tuple[np.n
             if len(x):
                 forest.join(x + i, y + j + shift)
     moved = np.flatnonzero(forest.label != np.arange(len(fps)))
-    return reps[moved], reps[forest.label[moved]]
+    return fps[moved].view(np.int64), fps[forest.label[moved]].view(np.int64)
 
 
 def links(classes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """classes(fp, rep), fp distinct -> links (u, v) between reps whose fps differ in <= radius bits."""
+    """classes(fp), fp distinct -> links (u, v) between fps that differ in <= radius bits."""
     packed = save(tiles(classes, classes.count(), tile_rows), "tiles")
     side = lambda s: packed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("tile", "lo", "hi")])
     a = side("a").withColumn("k", F.explode(F.expr("sequence(lo_a[0], hi_a[0])")))
@@ -175,13 +176,13 @@ def links(classes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     fits = " and ".join(f"{' + '.join(gap.format(i) for i in level)} <= {radius}" for level in _LEVELS)
     first = f"k = greatest(lo_a[0], greatest(0, lo_b[0] - {radius}))"  # each pair at one k only
     pairs = a.join(b, "k").where(f"tile_a <= tile_b and {first} and {fits}").select("tile_a", "tile_b")
-    data = lambda s: packed.select(F.col("tile").alias(f"tile_{s}"), F.col("fps").alias(f"fps_{s}"), F.col("reps").alias(f"reps_{s}"))
-    loaded = pairs.join(data("a"), "tile_a").join(data("b"), "tile_b").select("tile_a", "tile_b", "fps_a", "reps_a", "fps_b", "reps_b")
+    data = lambda s: packed.select(F.col("tile").alias(f"tile_{s}"), F.col("fps").alias(f"fps_{s}"))
+    loaded = pairs.join(data("a"), "tile_a").join(data("b"), "tile_b").select("tile_a", "tile_b", "fps_a", "fps_b")
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                u, v = compare(*(np.frombuffer(r[c], np.uint64 if c[0] == "f" else np.int64) for c in ("fps_a", "reps_a", "fps_b", "reps_b")), r["tile_a"] == r["tile_b"], radius)
+                u, v = compare(*(np.frombuffer(r[c], np.uint64) for c in ("fps_a", "fps_b")), r["tile_a"] == r["tile_b"], radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
@@ -193,8 +194,12 @@ def links(classes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp, component_id): one row per row of docs."""
     fps = save(fingerprints(docs), "fingerprints")
-    classes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
+    classes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     found = links(classes, radius, tile_rows)
     parts = connected_components(found)
-    of = classes.join(parts, classes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    named = classes.join(parts, classes.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    # a component may have very many fingerprints: its name is joined back, no list of them is built
+    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of = save(named.join(names, "component").select("fp", "component_id"), "names")
+    forget(classes, found, parts)
     return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")

@@ -379,20 +379,35 @@ def test_tiles_skip_nothing(spark):
     fps = r.integers(0, 2**63, 3000, dtype=np.uint64)
     near = fps[:300] ^ (np.uint64(1) << r.integers(0, 63, 300).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 63, 300).astype(np.uint64))
     every = np.unique(np.concatenate([fps, near])).view(np.int64)
-    rows = spark.createDataFrame([(int(f), i) for i, f in enumerate(every)], "fp long, rep long")
+    rows = spark.createDataFrame([(int(f),) for f in every], "fp long")
     found = simhash.links(rows, tile_rows=200).collect()
     u = every.view(np.uint64)
     want = [(i, j) for i in range(len(u)) for j in np.flatnonzero(np.bitwise_count(u[:i] ^ u[i]) <= 4).tolist()]
-    assert brute_components([(x["u"], x["v"]) for x in found]) == brute_components(want)
+    at = {int(f): i for i, f in enumerate(every)}
+    assert brute_components([(at[x["u"]], at[x["v"]]) for x in found]) == brute_components(want)
 
 
 def test_dense_groups_give_a_forest():
     u = np.arange(3000, dtype=np.uint64) % np.uint64(16) | (np.arange(3000, dtype=np.uint64) << np.uint64(40) & np.uint64(0xF << 40))
     u = np.unique(u)
-    a, b = simhash.compare(u, np.arange(len(u)), u, np.arange(len(u)), True, 4)
+    a, b = simhash.compare(u, u, True, 4)
     assert len(a) < len(u)
 
 
+def test_rows_without_an_id_link_others(spark):
+    words = text(1, 400).split()
+    chain, fps = [words], [brute_fingerprint(" ".join(words))]
+    for k in range(0, 400, 2):  # a chain of texts whose ends are further apart than neighbours
+        nxt = [*chain[-1][:k], f"q{k}", *chain[-1][k + 1 :]]
+        chain.append(nxt)
+        fps.append(brute_fingerprint(" ".join(nxt)))
+    d = lambda i, j: (fps[i] ^ fps[j]).bit_count()
+    a, b, c = next((a, b, c) for a in range(len(fps)) for b in range(a + 1, len(fps)) if d(a, b) <= 4 for c in range(b + 1, len(fps)) if d(b, c) <= 4 < d(a, c))
+    texts = [" ".join(chain[i]) for i in (a, b, c)]
+    got = simhash.near_duplicates(spark.createDataFrame([(8, texts[0]), (None, texts[1]), (5, texts[2]), (None, "alone and apart")], "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"] or 0, x["component_id"]) for x in got if x["component_id"]) == [(0, 5), (5, 5), (8, 5)] and len(got) == 4
+
+
 def test_simhash_awkward(spark):
     d = awkward(spark)
     got = simhash.near_duplicates(d)
