@@ -1,22 +1,23 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features are the words of a text and their prefixes of four to seven letters.  The vocabulary is
-the features that separate the labels best (chi-square) among a bounded sample of labelled
-documents; document frequencies are counted over all documents.  The examples are ordered by their
-heaviest feature and cut into blocks; for each feature the index keeps its postings and
-the greatest weight in each block.  A query adds up these maxima to an upper bound of each
-block's cosines and scores blocks in falling order of bound until no bound exceeds the k-th best
-cosine: the k neighbours are exact.  Votes weighted by cosine are turned into a probability by a
-monotone fit on leave-one-out votes of the examples, weighted back to the classes' shares.
-
-Bounds (parameters): ``max_examples`` labelled rows per class, the first by hash of their id;
-``max_features``.  Index and vocabulary are broadcast and have these sizes at most.
+Features are the words of a text and their prefixes of four to seven letters.  The vocabulary is every
+feature that separates the labels significantly (chi-square at one in a hundred, three examples at least,
+more often in toxic ones) among a bounded sample of labelled documents; it has no other bound.  Document
+frequencies are counted over all documents.  The examples are ordered by their heaviest feature and cut into
+blocks; for each feature the index keeps its postings and the greatest weight in each block.  A query adds
+up these maxima to an upper bound of each block's cosines, scores the blocks of greatest bound, and then all
+others whose bound reaches the k-th best cosine so far: the k neighbours are exact.  Votes weighted by cosine
+are turned into a probability by a monotone fit on leave-one-out votes of the examples, equal votes
+pooled first, weighted back to the classes' shares.
+
+Bound (parameter): ``max_examples`` labelled rows per class, the first by hash of their id; index and
+vocabulary are broadcast and their size follows from these rows' texts alone.
 
 Defined results: a null or empty text, or one without a feature, gets the share of toxic
-examples among those without features; labels that are null or whose id is null are ignored, a document
-with contradictory labels counts as toxic; ties among neighbours go to the example that comes first in
-the index; repeated rows score alike; without usable labels all scores are 0; an empty
-table gives no rows; other columns are ignored.
+examples among those without features; a very long text is scored by all its words; labels that are null or
+whose id is null are ignored, documents without an id are scored like others; a document with contradictory
+labels counts as toxic; ties among neighbours go to the example that comes first in the index; repeated rows
+score alike; without usable labels all scores are 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_EXAMPLES, MAX_FEATURES, NEIGHBOURS, BLOCK = 2_000, 2_000, 25, 32
+MAX_EXAMPLES, NEIGHBOURS, BLOCK = 2_000, 25, 32
+LEAST_CHI, LEAST_EXAMPLES = 6.635, 3  # one in a hundred by chance, with one degree of freedom
 _PREFIXES = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -132,14 +134,15 @@ class Index:
         """Pools adjacent violators of the leave-one-out votes."""
         votes = np.array([self.vote(*self.nearest(i, w, k, n)) for n, (i, w) in enumerate(zip(self.terms, self.weights))])
         keep = votes >= 0
+        each = weight[self.labels[keep].astype(int)]
+        level, at = np.unique(votes[keep], return_inverse=True)
+        sums = np.column_stack([np.bincount(at, w, len(level)) for w in (each, each * self.labels[keep], each * votes[keep])])
         pools: list[list[float]] = []  # weight, weighted sum of labels, of votes
-        for n in np.argsort(votes, kind="stable"):
-            if keep[n]:
-                s = weight[int(self.labels[n])]
-                pools.append([s, s * self.labels[n], s * votes[n]])
-                while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
-                    last = pools.pop()
-                    pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+        for row in sums.tolist():
+            pools.append(row)
+            while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+                last = pools.pop()
+                pools[-1] = [a + b for a, b in zip(pools[-1], last)]
         self.x = np.array([p[2] / p[0] for p in pools])
         self.y = np.array([(p[1] + 0.02) / (p[0] + 1) for p in pools])
 
@@ -158,7 +161,7 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> tuple[dict[str, int], Index]:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[dict[str, int], Index]:
     """docs(doc_id, text), labels(doc_id, toxic) -> vocabulary and index."""
     source = _source(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -185,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     chi = F.expr(f"{n1 + n0} * power(double(a) * {d} - double(b) * {c}, 2) / (double({n1}) * {n0} * (a + b) * greatest(1, {c} + {d}))")
     seen = examples.mapInArrow(features, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # features of toxic texts only: what marks the others would tie them to each other, not apart from these
-    kept = seen.withColumn("chi", chi).where(f"a + b >= 3 and chi > 6.6 and a * {n0} > 2 * b * {n1}").orderBy(F.desc("chi"), "feature").limit(max_features).collect()
+    kept = seen.withColumn("chi", chi).where(f"a + b >= {LEAST_EXAMPLES} and chi >= {LEAST_CHI} and a * {n0} > 2 * b * {n1}").orderBy("feature").collect()
     vocabulary = {r["feature"]: i for i, r in enumerate(kept)}
     sent = spark.sparkContext.broadcast(vocabulary)
 

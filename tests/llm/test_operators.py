@@ -310,6 +310,16 @@ def test_toxicity(spark, toxic):
     assert hit["evidence"][0]["label"] == 1 and all(a["cosine"] >= b["cosine"] - 1e-12 for a, b in zip(hit["evidence"], hit["evidence"][1:]))
 
 
+@pytest.mark.parametrize("labels", [(0, 0, 0, 1, 1), (1, 1, 0, 0, 0), (0, 1, 0, 1, 0)])
+def test_equal_votes_are_pooled(labels):
+    index = toxicity.Index.__new__(toxicity.Index)
+    index.labels, index.terms, index.weights = np.array(labels, float), [None] * 5, [None] * 5
+    index.nearest = lambda *a: (np.array([0]), np.array([1.0]))
+    index.vote = lambda at, cos: 0.5
+    index.calibrate(np.array([1.0, 1.0]))
+    assert index.x.tolist() == [0.5] and abs(index.y[0] - 2.02 / 6) < 1e-12
+
+
 def test_held_out_labels_are_not_used(spark, toxic):
     d, labels = toxic
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
