@@ -35,7 +35,7 @@ def main() -> None:
         took[name] = round(statistics.median(times), 4)
     entries = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     spark.stop()
-    print(json.dumps({"metric": "sum of median seconds of the headline queries", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "log_entries_per_sec": round(entries / took["usage_score_tier"])}))
+    print(json.dumps({"metric": "sum of median seconds of the headline queries", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "log_entries_per_sec": round(entries / took["lineage_statements"])}))
 
 
 if __name__ == "__main__":

@@ -147,11 +147,15 @@ def lineage(spark: SparkSession, sql: str, catalog: Catalog | None = None) -> di
     return {"reads": sorted(reads), "writes": sorted(writes), "wildcards": sorted(wild), "unresolved": unknown, "parsed_ok": True, "method": "parser"}
 
 
-def lineage_table(statements: DataFrame, catalog: Catalog | None = None, chunk: int = 1_000) -> DataFrame:
-    """statements(sql) -> LINEAGE, one row per distinct template; at most ``chunk`` of them are on the driver at once."""
+def lineage_table(statements: DataFrame, catalog: Catalog | None = None, chunk: int = 1_000, templated: bool = False) -> DataFrame:
+    """statements(sql) -> LINEAGE, one row per distinct template.
+
+    Templates pass through the driver's parser ``chunk`` at a time and their lineage stays in the plan, so their
+    number, not that of the statements, is what must be moderate.  templated: sql holds templates already.
+    """
     spark = statements.sparkSession
     names = [c.split()[0] for c in LINEAGE.split(", ")]
-    distinct = statements.select(template_of(F.col("sql")).alias("sql")).where("sql <> ''").distinct()
+    distinct = statements.select((F.col("sql") if templated else template_of(F.col("sql"))).alias("sql")).where("sql <> ''").distinct()
     out, held = spark.createDataFrame([], LINEAGE), []
 
     def flush():

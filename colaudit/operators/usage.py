@@ -30,6 +30,17 @@ def in_window(log: DataFrame, window_days: int, now=None) -> DataFrame:
     return log.where((F.col("ts") >= clock - span) & (F.col("ts") <= clock)).withColumn("_now", clock)
 
 
+def compact(log: DataFrame) -> DataFrame:
+    """Entries of one day that differ in parameters and time only as one row: n of them, from ``ts_first`` to ``ts``.
+
+    ``sql`` becomes the statement's template.  All aggregates of ``accumulate`` stay the same, over far fewer rows.
+    """
+    keys = ["sql", "service", "template", "declared_reads", "declared_writes", "_now"]
+    t = log.withColumn("sql", ln.template_of(F.coalesce("sql", F.lit(""))))
+    grouped = t.groupBy(*[k for k in keys if k in t.columns], F.to_date("ts").alias("_day"))
+    return grouped.agg(F.count("*").alias("n"), F.min("ts").alias("ts_first"), F.max("ts").alias("ts")).drop("_day")
+
+
 def attribute(log: DataFrame, columns: DataFrame | None, mode: str = "hybrid") -> DataFrame:
     """log -> log with (reads, writes, attribution): from the statement, the declared lists, or both."""
     if mode not in ("sql", "declared", "hybrid"):
@@ -39,11 +50,13 @@ def attribute(log: DataFrame, columns: DataFrame | None, mode: str = "hybrid") -
     declared = (F.size(r) + F.size(w)) > 0
     if mode == "declared":
         return log.select("*", F.array_distinct(r).alias("reads"), F.array_distinct(w).alias("writes"), F.when(declared, "declared").otherwise("none").alias("attribution"))
-    found = ln.lineage_table(log.select("sql"), ln.catalog_of(columns) if columns is not None else None)
+    templates = log.select("sql") if "ts_first" in log.columns else log.select(ln.template_of("sql").alias("sql"))
+    found = ln.lineage_table(templates, ln.catalog_of(columns) if columns is not None else None, templated=True)
     if columns is not None:
         found = ln.expand_wildcards(found, columns)
     found = found.select(F.col("sql").alias("_template"), F.col("reads").alias("_r"), F.col("writes").alias("_w"), F.col("parsed_ok").alias("_ok"))
-    joined = log.withColumn("_template", ln.template_of(F.coalesce("sql", F.lit("")))).join(found, "_template", "left")
+    template = F.col("sql") if "ts_first" in log.columns else ln.template_of(F.coalesce("sql", F.lit("")))
+    joined = log.withColumn("_template", template).join(found, "_template", "left")
     ok = F.coalesce("_ok", F.lit(False))
     pick = lambda parsed, given: F.when(ok, F.array_union(parsed, given) if mode == "hybrid" else parsed).otherwise(F.array_distinct(given))
     how = F.when(ok, "parsed").when(declared, "declared").otherwise("none")
@@ -57,16 +70,21 @@ def touches(attributed: DataFrame) -> DataFrame:
 
 
 def accumulate(t: DataFrame, keys: tuple[str, ...] = ("qualified_name",)) -> DataFrame:
-    """Counts, times, days, services and templates per column; each is a mergeable aggregate."""
-    by_service = t.where("service <> ''").groupBy(*keys, "service").agg(F.count("*").alias("n"))
+    """Counts, times, days, services and templates per column; each is a mergeable aggregate.
+
+    Rows of ``compact`` count ``n`` times, from ``ts_first`` to ``ts``.
+    """
+    n, first = (F.col("n"), F.col("ts_first")) if "ts_first" in t.columns else (F.lit(1), F.col("ts"))
+    times = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    by_service = t.where("service <> ''").groupBy(*keys, "service").agg(F.sum(n).alias("n"))
     services = by_service.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "service"))).alias("s"))
     services = services.select(*keys, F.map_from_entries(F.transform("s", lambda x: F.struct(x["service"], -x["n"]))).alias("access_by_service"))
     main = t.groupBy(*keys).agg(
-        F.count_if(~F.col("is_write")).alias("read_count"), F.count_if("is_write").alias("write_count"),
+        times(~F.col("is_write")).alias("read_count"), times(F.col("is_write")).alias("write_count"),
         F.max(F.when(~F.col("is_write"), F.col("ts"))).alias("last_read_at"), F.max(F.when(F.col("is_write"), F.col("ts"))).alias("last_write_at"),
-        F.min("ts").alias("first_access_at"), F.max("ts").alias("last_access_at"), F.count_distinct(F.to_date("ts")).alias("distinct_days"),
+        F.min(first).alias("first_access_at"), F.max("ts").alias("last_access_at"), F.count_distinct(F.to_date("ts")).alias("distinct_days"),
         F.array_sort(F.collect_set(F.when(F.col("template") != "", F.col("template")))).alias("query_templates"),
-        F.count_if(F.col("attribution") == "parsed").alias("from_sql"), F.count_if(F.col("attribution") == "declared").alias("from_declared"),
+        times(F.col("attribution") == "parsed").alias("from_sql"), times(F.col("attribution") == "declared").alias("from_declared"),
     )
     return main.join(services, list(keys), "left")
 
@@ -105,7 +123,7 @@ def score(counts: DataFrame, half_life_days: float, now: Column) -> DataFrame:
 
 def analyze(log: DataFrame, columns: DataFrame | None = None, window_days: int = 90, now=None, mode: str = "hybrid", half_life_days: float | None = None) -> DataFrame:
     """The usage relation U: every known column and every column the log names."""
-    recent = attribute(in_window(log, window_days, now), columns, mode)
+    recent = attribute(compact(in_window(log, window_days, now)), columns, mode)
     acc = accumulate(touches(recent))
     clock = recent.agg(F.max("_now")).first()[0] if now is None else now
     if columns is not None:
@@ -124,4 +142,6 @@ def analyze(log: DataFrame, columns: DataFrame | None = None, window_days: int =
 
 def run_counters(recent: DataFrame) -> DataFrame:
     """How many entries were in the window and how they were attributed."""
-    return recent.agg(F.count("*").alias("n_in_window"), *[F.count_if(F.col("attribution") == a).alias(f"n_{a}") for a in ("parsed", "declared", "none")])
+    n = F.col("n") if "ts_first" in recent.columns else F.lit(1)
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    return recent.agg(total(F.lit(True)).alias("n_in_window"), *[total(F.col("attribution") == a).alias(f"n_{a}") for a in ("parsed", "declared", "none")])

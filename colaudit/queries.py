@@ -19,7 +19,7 @@ from .functions.rules import EMBEDDED_RULES, HARMLESS_RULES, NAME_RULES, SIGNATU
 from .functions.text import entropy, found_in, normalize_name, places
 from .operators import evaluation, guard, history, lineage, policy_text, remediation, retention, scoring, sensitivity, usage
 from .operators.ml import TIERS
-from .sources import catalog
+from .sources import catalog, querylog
 from .sources.policy import RetentionPolicy
 from .streaming import usage as stream
 
@@ -45,6 +45,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where all run on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "file://" + tempfile.mkdtemp(prefix="colaudit-")).rstrip("/")
+
+
 def _r(c, name: str | None = None):
     return F.round(c, 6).alias(name or (c if isinstance(c, str) else ""))
 
@@ -146,8 +154,7 @@ def usage_rollup(spark, d):
 
 @query(f"SELECT user_id AS entity, ts::DATE AS day, count(*) FILTER (NOT {_W}) AS read_count, count(*) FILTER ({_W}) AS write_count, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY ALL")
 def usage_stream_partials(spark, d):
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="colaudit-")
-    path = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
     events = _t(spark, d, "events")
     source = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
     rows = source.select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").isin("purchase", "signup").alias("is_write"))
@@ -527,7 +534,7 @@ def _columns(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_LINEAGE_SQL}, e AS (SELECT event_type, ts FROM events WHERE ts BETWEEN (SELECT max(ts) FROM events) - INTERVAL 14 DAY AND (SELECT max(ts) FROM events))
 SELECT qualified_name, count(*) FILTER (NOT is_write) AS read_count, count(*) FILTER (is_write) AS write_count, count(DISTINCT event_type) AS n_services FROM e JOIN l USING (event_type) GROUP BY 1""")
 def lineage_statements(spark, d):
-    recent = usage.attribute(usage.in_window(_log(spark, d), 14), _columns(spark, d), "sql")
+    recent = usage.attribute(usage.compact(usage.in_window(_log(spark, d), 14)), _columns(spark, d), "sql")
     acc = usage.accumulate(usage.touches(recent))
     return acc.select("qualified_name", "read_count", "write_count", F.size("access_by_service").cast("long").alias("n_services"))
 
@@ -553,6 +560,94 @@ def guard_statements(spark, d):
     return log.groupBy(guard.first_keyword(F.col("sql")).alias("keyword"), guard.is_read(F.col("sql")).alias("is_read")).agg(F.count("*").alias("n"))
 
 
+_COLUMNS_SQL = "c AS (SELECT table_name || '.' || column_name AS qualified_name, table_name AS t FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'part'))"
+_DECLARED_SQL = "p(event_type, qualified_name) AS (VALUES " + ", ".join(f"('{e}', '{c}')" for e in ("view", "click") for c in (_LINEAGE[e][0] + _LINEAGE[e][1])[:2]) + ")"
+
+
+def _analyze_sql(touches: str) -> str:
+    """touches: a relation a(qualified_name, event_type, ts, is_write, kind) of the window's accesses."""
+    return f"""WITH {_LINEAGE_SQL}, {_DECLARED_SQL}, {_COLUMNS_SQL},
+e AS (SELECT event_type, ts FROM events WHERE ts BETWEEN (SELECT max(ts) FROM events) - INTERVAL 14 DAY AND (SELECT max(ts) FROM events)),
+a AS ({touches}),
+g AS (SELECT qualified_name, count(*) FILTER (NOT is_write) AS read_count, count(*) FILTER (is_write) AS write_count, count(*) AS total_count, count(DISTINCT ts::DATE) AS distinct_days, count(DISTINCT event_type) AS distinct_services,
+  min(ts) AS first_access_at, max(ts) AS last_access_at, max(ts) FILTER (NOT is_write) AS last_read_at, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS templates, min(kind) AS attribution FROM a GROUP BY 1)
+SELECT qualified_name, split_part(qualified_name, '.', 1) AS "table", split_part(qualified_name, '.', 2) AS "column", coalesce(read_count, 0) + 0.25 * coalesce(write_count, 0) > 0 AS is_used, coalesce(read_count, 0) AS read_count, coalesce(write_count, 0) AS write_count,
+  coalesce(total_count, 0) AS total_count, coalesce(distinct_days, 0) AS distinct_days, coalesce(distinct_services, 0) AS distinct_services, first_access_at, last_access_at, last_read_at, coalesce(templates, '') AS templates, coalesce(attribution, 'none') AS attribution
+FROM c LEFT JOIN g USING (qualified_name)"""
+
+
+def _analyzed(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    found = usage.analyze(_log(spark, d), _columns(spark, d), 14, mode=mode)
+    names = ("qualified_name", "table", "column", "is_used", "read_count", "write_count", "total_count", "distinct_days")
+    return found.select(*names, F.col("distinct_services").cast("long").alias("distinct_services"), "first_access_at", "last_access_at", "last_read_at", F.coalesce(F.array_join("query_templates", ","), F.lit("")).alias("templates"), "attribution")
+
+
+@query(_analyze_sql("SELECT qualified_name, event_type, ts, is_write, 'parsed' AS kind FROM e JOIN l USING (event_type)"))
+def usage_analyze_sql(spark, d):
+    return _analyzed(spark, d, "sql")
+
+
+@query(_analyze_sql("SELECT qualified_name, event_type, ts, false AS is_write, 'declared' AS kind FROM e JOIN p USING (event_type)"))
+def usage_analyze_declared(spark, d):
+    return _analyzed(spark, d, "declared")
+
+
+# the declared columns of these statements are among the parsed ones, so the union is the parsed set
+@query(_analyze_sql("SELECT qualified_name, event_type, ts, is_write, 'parsed' AS kind FROM e JOIN l USING (event_type)"))
+def usage_analyze_hybrid(spark, d):
+    return _analyzed(spark, d, "hybrid")
+
+
+@query("""WITH e AS (SELECT event_type FROM events WHERE ts BETWEEN (SELECT max(ts) FROM events) - INTERVAL 14 DAY AND (SELECT max(ts) FROM events))
+SELECT count(*) AS n_in_window, 0::BIGINT AS n_parsed, count(*) FILTER (event_type IN ('view', 'click')) AS n_declared, count(*) FILTER (event_type NOT IN ('view', 'click')) AS n_none FROM e""")
+def usage_run_counters(spark, d):
+    return usage.run_counters(usage.attribute(usage.compact(usage.in_window(_log(spark, d), 14)), None, "declared"))
+
+
+def _log_file(spark: SparkSession, d: str, kind: str) -> str:
+    """The query log written as one of the formats that the readers take, in the shared folder."""
+    lists = ["declared_reads", "declared_writes"]
+    log = _log(spark, d).withColumns({"ts": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "rows": F.col("rows").cast("string"), "operation": F.lit("select")})
+    log = log.withColumnsRenamed(dict(zip(lists, ("columns_read", "columns_written"))))
+    path = f"{_scratch(spark)}/log-{uuid.uuid4().hex}.{kind}"
+    if kind == "csv":
+        log.withColumns({c: F.array_join(c, "|") for c in ("columns_read", "columns_written")}).write.option("header", True).option("escape", '"').csv(path)
+    else:
+        log.write.json(path)
+    return path
+
+
+_READ_SQL = f"""WITH {_DECLARED_SQL}, n AS (SELECT event_type, count(*) AS k FROM p GROUP BY 1)
+SELECT event_type AS service, count(*) AS n, count(DISTINCT event_id) AS n_ids, min(ts) AS first_at, max(ts) AS last_at, sum(coalesce(k, 0))::BIGINT AS n_declared, count(*) AS n_rows FROM events LEFT JOIN n USING (event_type) GROUP BY 1"""
+
+
+def _read_back(log: DataFrame) -> DataFrame:
+    return log.where("operation = 'SELECT' and sql <> ''").groupBy("service").agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("n_ids"), F.min("ts").cast("timestamp_ntz").alias("first_at"), F.max("ts").cast("timestamp_ntz").alias("last_at"), F.sum(F.size("declared_reads")).alias("n_declared"), F.sum("rows").alias("n_rows"))
+
+
+@query(_READ_SQL)
+def querylog_jsonl(spark, d):
+    return _read_back(querylog.read(spark, _log_file(spark, d, "jsonl")))
+
+
+@query(_READ_SQL)
+def querylog_csv(spark, d):
+    return _read_back(querylog.read(spark, _log_file(spark, d, "csv")))
+
+
+@query(f"""{_N}, named AS (SELECT *, 'customer.c' || entity AS qualified_name FROM n)
+SELECT row_number() OVER (ORDER BY {_VO}, score DESC, qualified_name) AS rank, qualified_name, 'customer' AS "table", 'c' || entity AS "column", score, is_flagged, verdict, sensitivity >= 0.5 AS sensitive_met, round(1 - "usage", 4) AS usage_factor, round(retention, 4) AS staleness, 2::BIGINT AS n_reasons FROM named""")
+def score_all_report(spark, d):
+    name = F.concat(F.lit("customer.c"), F.col("entity").cast("string")).alias("qualified_name")
+    s, u, r = (x.select(name, *[c for c in x.columns if c != "entity"]) for x in _signals(spark, d))
+    none = F.lit(None)
+    found = scoring.score_all(s.withColumn("pii_type", none.cast("string")), u, r.withColumn("days_overdue", none.cast("int")).withColumn("policy_days", none.cast("int")))
+    return found.select(
+        F.col("rank").cast("long").alias("rank"), "qualified_name", "table", "column", "score", "is_flagged", "verdict", F.col("breakdown.sensitivity.met").alias("sensitive_met"),
+        F.round("breakdown.usage.factor", 4).alias("usage_factor"), F.col("breakdown.staleness.score").alias("staleness"), F.size("reasons").cast("long").alias("n_reasons"),
+    )
+
+
 # --- written policies ----------------------------------------------------------------------------
 
 

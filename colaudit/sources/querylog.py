@@ -52,6 +52,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """The labelled catalogue: one row per column with tier, score, type and expected usage."""
-    schema = "`table` string, `column` string, sensitivity_tier string, sensitivity_score double, pii_type string, expected_usage string, seeded_stale_rows boolean, rationale string"
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)  # the header names the columns
+    kinds = {"table": "string", "column": "string", "sensitivity_tier": "string", "sensitivity_score": "double", "pii_type": "string", "expected_usage": "string", "seeded_stale_rows": "boolean", "rationale": "string"}
+    rows = raw.select(*[(F.col(c).try_cast(k) if c in raw.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()])
     return rows.select(F.concat_ws(".", "table", "column").alias("qualified_name"), "*", F.col("sensitivity_tier").isin("high", "medium").alias("is_sensitive"))
