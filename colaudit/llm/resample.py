@@ -13,9 +13,9 @@ importances of the other half, which the model has not seen, tell which importan
 The k-th greatest key is found by counting keys in ever finer intervals; nothing is sorted
 as a whole and no key list leaves Spark.
 
-The number of buckets grows with the corpus, a bucket for each ``BYTES_PER_BUCKET`` bytes rounded up to a
-power of two, from ``MIN_BUCKETS`` to ``MAX_BUCKETS`` (four million: 32 MB a worker, the bound of what is
-broadcast).  The raw model counts every document; the target model and the held-out half have at most
+The number of buckets grows with the corpus as its vocabulary does, with the root of its size: ``SPREAD`` times
+the root of its bytes, from ``MIN_BUCKETS`` to ``MAX_BUCKETS`` (four million: 32 MB a worker, the bound of
+what is broadcast).  The raw model counts every document; the target model and the held-out half have at most
 ``max_target`` labelled documents together, the first by hash of the id.  The target's counts are smoothed
 towards the raw distribution by ``SMOOTH`` counts a bucket, so buckets that few target documents reach
 say little.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .bytewords import chunks, powers
 from .common import forget, mix, save
 
-MIN_BUCKETS, MAX_BUCKETS, BYTES_PER_BUCKET = 1 << 12, 1 << 22, 4_096
+MIN_BUCKETS, MAX_BUCKETS, SPREAD = 1 << 12, 1 << 22, 2
 MAX_TARGET, SMOOTH, RATE, PASSAGE, SEED = 20_000, 256.0, 0.995, 400, 1
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,7 +85,7 @@ def _source(docs: DataFrame) -> DataFrame:
 
 def bucket_count(docs: DataFrame) -> int:
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (max(1, size // BYTES_PER_BUCKET) - 1).bit_length()))
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, SPREAD * math.isqrt(size)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, buckets: int | None = None, smooth: float = SMOOTH) -> Model:
