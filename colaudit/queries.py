@@ -354,7 +354,7 @@ def feat_entropy(spark, d):
 
 
 def _signals(spark: SparkSession, d: str, days: int = 730, now: datetime.datetime = NOW):
-    s = _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("entity"), F.round(F.col("c_acctbal") / 10000, 4).alias("score"))
+    s = _t(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.round(F.greatest(F.col("c_acctbal"), F.lit(0)) / 10000, 4).alias("score"))
     return s, _usage(spark, d).select("entity", "score", "read_count"), _stale(spark, d, F.lit(days), now).select("entity", "score")
 
 
@@ -375,7 +375,7 @@ def _n_sql(days: int, now: str = _NOW, p: str = "") -> str:
   CASE WHEN sensitivity < 0.5 THEN 'not_a_risk' WHEN "usage" > 0.2 THEN 'keep' WHEN retention < 0.5 THEN 'review' ELSE 'flag_for_deletion' END AS verdict FROM {p}j)"""
 
 
-_SENS = _USAGE + ",\nsens AS (SELECT c_custkey AS entity, round(c_acctbal / 10000, 4) AS score FROM customer WHERE c_acctbal > 0)"
+_SENS = _USAGE + ",\nsens AS (SELECT c_custkey AS entity, round(greatest(c_acctbal, 0) / 10000, 4) AS score FROM customer)"
 _N = f"WITH {_SENS},\n{_n_sql(730)}"
 _VO = "CASE verdict WHEN 'flag_for_deletion' THEN 1 WHEN 'review' THEN 2 WHEN 'keep' THEN 3 ELSE 4 END"
 _OUT = ("entity", "sensitivity", "usage", "retention", "score", "is_flagged", "verdict")
