@@ -62,25 +62,37 @@ CATALOGUE = [
 ]
 # --- end of fixed values ------------------------------------------------------------------------
 
-#: template, operation, weight, when it runs, service, statement, columns read, columns written
-TEMPLATES = [
-    ("user_login", "SELECT", 4200, "recent", "auth", "SELECT id, password_hash, is_active FROM users WHERE email = $1", "users.id users.password_hash users.is_active users.email", ""),
-    ("user_login_touch", "UPDATE", 4000, "recent", "auth", "UPDATE users SET last_login_at = $1, last_login_ip = $2, updated_at = $1 WHERE id = $3", "users.id", "users.last_login_at users.last_login_ip users.updated_at"),
-    ("app_bootstrap_prefs", "SELECT", 3600, "uniform", "app", "SELECT theme_preference, locale, is_active FROM users WHERE id = $1", "users.theme_preference users.locale users.is_active users.id", ""),
-    ("load_user_profile", "SELECT", 2600, "uniform", "app", "SELECT full_name, email, created_at FROM users WHERE id = $1", "users.full_name users.email users.created_at users.id", ""),
-    ("list_user_orders", "SELECT", 2400, "uniform", "shop", "SELECT id, status, total_amount, currency FROM orders WHERE user_id = $1 ORDER BY created_at DESC", "orders.id orders.status orders.total_amount orders.currency orders.user_id orders.created_at", ""),
-    ("order_detail", "SELECT", 1300, "uniform", "shop", "SELECT id, status, shipping_address, card_last4, card_brand, updated_at FROM orders WHERE id = $1", "orders.id orders.status orders.shipping_address orders.card_last4 orders.card_brand orders.updated_at", ""),
-    ("checkout_create_order", "INSERT", 950, "growing", "shop", "INSERT INTO orders (user_id, status, total_amount, currency, shipping_address, card_last4, promo_code) VALUES ($1, 'new', $2, $3, $4, $5, $6)", "", "orders.user_id orders.status orders.total_amount orders.currency orders.shipping_address orders.card_last4 orders.promo_code"),
-    ("support_ticket_list", "SELECT", 720, "uniform", "support", "SELECT id, subject, priority, status FROM support_tickets WHERE status <> 'closed' ORDER BY created_at", "support_tickets.id support_tickets.subject support_tickets.priority support_tickets.status support_tickets.created_at", ""),
-    ("support_ticket_view", "SELECT", 640, "uniform", "support", "SELECT t.subject, t.body, t.category, t.assigned_agent, u.email FROM support_tickets t JOIN users u ON u.id = t.user_id WHERE t.id = $1", "support_tickets.subject support_tickets.body support_tickets.category support_tickets.assigned_agent users.email users.id support_tickets.user_id support_tickets.id", ""),
-    ("fraud_check", "SELECT", 300, "uniform", "risk", "SELECT o.ip_address, u.last_login_ip FROM orders o JOIN users u ON u.id = o.user_id WHERE o.id = $1", "orders.ip_address users.last_login_ip users.id orders.user_id orders.id", ""),
-    ("security_login_ip_audit", "SELECT", 110, "weekly", "security", "SELECT id, last_login_ip FROM users WHERE last_login_at > now() - interval '7 days'", "users.id users.last_login_ip users.last_login_at", ""),
-    ("marketing_segment_export", "SELECT", 70, "weekly", "marketing", "SELECT email, full_name FROM users WHERE marketing_consent AND account_status = 'active'", "users.email users.full_name users.marketing_consent users.account_status", ""),
-    ("age_verification", "SELECT", 45, "uniform", "shop", "SELECT date_of_birth FROM users WHERE id = $1", "users.date_of_birth users.id", ""),
-    ("billing_dispute_lookup", "SELECT", 14, "uniform", "support", "SELECT billing_address, card_last4 FROM orders WHERE id = $1", "orders.billing_address orders.card_last4 orders.id", ""),
-    ("quarterly_demographics_report", "SELECT", 9, "quarterly", "reports", "SELECT gender, count(*) FROM users GROUP BY 1", "users.gender", ""),
-    ("annual_ssn_compliance_export", "SELECT", 3, "single_old", "reports", "SELECT id, ssn, phone FROM users", "users.id users.ssn users.phone", ""),
-]
+#: Entries per read of a table's columns of one usage label, and how they lie in time.
+BANDS = {"high": (4_000, "growing"), "medium": (400, "uniform"), "low": (40, "weekly"), "rare": (4, "late")}
+
+
+def statements() -> list[tuple]:
+    """(template, operation, weight, shape, service, statement, columns read, columns written), made from the labels.
+
+    For each table and label one read by key and one write of that label's columns, inserts for the most used; for each
+    foreign key one join.  A table has half the traffic of the one before it; columns labelled never are in no statement.
+    """
+    out = []
+    tables = list(dict.fromkeys(t for t, *_ in CATALOGUE))
+    for i, t in enumerate(tables):
+        of = lambda band: [c for x, c, *_, use in CATALOGUE if x == t and use == band]  # noqa: B023, E731
+        full = lambda cs: [f"{t}.{c}" for c in cs]  # noqa: B023, E731
+        key = next(c for x, c, _, _, k, *_ in CATALOGUE if x == t and k == "PK")
+        for band, (weight, shape) in BANDS.items():
+            cols, weight = of(band), max(1, weight >> i)
+            if not cols:
+                continue
+            seen = list(dict.fromkeys([*cols, key]))
+            out.append((f"{t}_{band}_read", "SELECT", weight, shape, t, f"SELECT {', '.join(cols)} FROM {t} WHERE {key} = $1", full(seen), []))
+            if band == "high":
+                out.append((f"{t}_insert", "INSERT", weight // 4, shape, t, f"INSERT INTO {t} ({', '.join(cols)}) VALUES ({', '.join(f'${n + 1}' for n in range(len(cols)))})", [], full(cols)))
+            elif band == "medium":
+                out.append((f"{t}_{band}_write", "UPDATE", weight // 4, shape, t, f"UPDATE {t} SET {', '.join(f'{c} = ${n + 2}' for n, c in enumerate(cols))} WHERE {key} = $1", full([key]), full(cols)))
+        for c, k in [(c, k) for x, c, _, _, k, *_ in CATALOGUE if x == t and k.startswith("FK")]:
+            far, far_key = k[3:].split(".")
+            shown = of("high")[-1]
+            out.append((f"{t}_with_{far}", "SELECT", 200 >> i, "uniform", "desk", f"SELECT a.{shown}, b.email FROM {t} a JOIN {far} b ON b.{far_key} = a.{c} WHERE a.{key} = $1", [f"{t}.{x}" for x in dict.fromkeys((shown, c, key))] + [f"{far}.{far_key}", f"{far}.email"], []))
+    return out
 
 
 def _h(seed: int, what: str, n: int) -> Column:
@@ -163,21 +175,20 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def query_log(spark: SparkSession, n: int = 30_000, days: int = 90, seed: int = 42, now: datetime = datetime(2026, 9, 8)) -> DataFrame:
-    """n entries of the templates by weight, in the schema of the log readers."""
+    """n entries of the statements by weight, in the schema of the log readers."""
     names = ["template", "operation", "low", "high", "shape", "service", "sql", "declared_reads", "declared_writes"]
     rows, low = [], 0
-    for t, op, w, shape, service, sql, reads, writes in TEMPLATES:
-        rows.append((t, op, low, low + w, shape, service, sql, reads.split(), writes.split()))
+    for t, op, w, shape, service, sql, reads, writes in statements():
+        rows.append((t, op, low, low + w, shape, service, sql, reads, writes))
         low += w
     known = F.array(*[F.struct(*[(F.array(*[F.lit(x) for x in v]).cast("array<string>") if isinstance(v, list) else F.lit(v)).alias(k) for k, v in zip(names, r)]) for r in rows])
     e = spark.range(n).withColumn("_w", _h(seed, "template", low))
     e = e.withColumn("t", F.filter(known, lambda t: (t["low"] <= F.col("_w")) & (F.col("_w") < t["high"]))[0])
     u = _h(seed, "time", 1_000_000) / 1_000_000
     age = (
-        F.when(F.col("t.shape").isin("recent", "growing"), days * u * u)
+        F.when(F.col("t.shape") == "growing", days * u * u)
         .when(F.col("t.shape") == "weekly", F.floor(u * days / 7) * 7 + 0.5)
-        .when(F.col("t.shape") == "quarterly", F.when(u < 0.5, F.lit(2.0)).otherwise(F.lit(days - 5.0)))
-        .when(F.col("t.shape") == "single_old", F.lit(days - 10.0))
+        .when(F.col("t.shape") == "late", days * (0.5 + 0.5 * u))
         .otherwise(days * u)
     )
     ts = F.timestamp_micros(F.unix_micros(F.lit(now).cast("timestamp")) - (age * 86_400e6).cast("long"))
