@@ -114,3 +114,8 @@ def diff(base: DataFrame, head: DataFrame, moved: float = MOVED) -> DataFrame:
         F.when(both & (F.abs(F.col("h_score") - F.col("b_score")) >= moved - 5e-5), "score_moved"),
     ))
     return j.select("qualified_name", F.explode(changes).alias("change"), F.col("h_verdict").alias("verdict"), F.col("b_verdict").alias("verdict_was"), F.col("h_score").alias("score"), F.round(F.col("h_score") - F.col("b_score"), 4).alias("score_delta"))
+
+
+def most_moved(changes: DataFrame) -> DataFrame:
+    """The moved scores of a diff, the largest change first."""
+    return changes.where("change = 'score_moved'").orderBy(F.desc(F.abs("score_delta")), "qualified_name")

@@ -14,11 +14,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions.rules import EMBEDDED_RULES, HARMLESS_RULES, NAME_RULES, SIGNATURES, VALUE_RULES
 from .functions.text import entropy, found_in, normalize_name, places
-from .operators import evaluation, guard, history, lineage, policy_text, remediation, retention, scoring, sensitivity, usage
+from .operators import evaluation, features, guard, history, lineage, policy_text, remediation, retention, scoring, sensitivity, usage
 from .operators.ml import TIERS
+from .schemas import COLUMNS
 from .sources import catalog, querylog
 from .sources.policy import RetentionPolicy
 from .streaming import usage as stream
@@ -350,6 +352,70 @@ def feat_entropy(spark, d):
     return _t(spark, d, "part").select("p_partkey", _r(entropy(F.col("p_name")), "entropy"))
 
 
+#: What the samples of a made-up column hold, by event_id % 6.
+_KINDS = {0: "'1995-03-0' || event_id % 9", 1: "'user' || event_id || '@mail.example'", 2: "'10.0.' || event_id % 7 || '.' || event_id % 5", 3: "'plain words'", 4: "'write to box' || event_id || '@mail.example soon'", 5: "'number 123-45-6789 was given'"}
+_KIND_SQL = "CASE event_id % 6 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _KINDS.items()) + " END"
+
+
+# the expected rule follows from the kind and its share among eight samples, not from the patterns
+@query("""WITH e AS (SELECT event_id, event_id % 6 AS kind, least(8, event_id % 9) / 8.0 AS share FROM events),
+r AS (SELECT event_id, CASE WHEN kind = 0 AND share >= 0.6 THEN 'iso_date' WHEN kind = 0 AND share >= 0.3 THEN 'phone_in_text' WHEN kind = 1 AND share >= 0.6 THEN 'email' WHEN kind IN (1, 4) AND share >= 0.3 THEN 'email_in_text'
+  WHEN kind = 2 AND share >= 0.6 THEN 'ipv4' WHEN kind = 5 AND share >= 0.3 THEN 'ssn_in_text' END AS rule FROM e),
+w(rule, pii_type, score) AS (VALUES ('iso_date', 'identity', 0.35), ('phone_in_text', 'contact', 0.35), ('email', 'contact', 0.85), ('email_in_text', 'contact', 0.5), ('ipv4', 'network_id', 0.7), ('ssn_in_text', 'government_id', 0.55))
+SELECT event_id, rule, pii_type, coalesce(score, 0)::DOUBLE AS score, coalesce(score, 0) >= 0.5 AS is_sensitive, (CASE WHEN score >= 0.7 THEN 0.85 WHEN score > 0 THEN 0.65 ELSE 0.8 END)::DOUBLE AS confidence FROM r LEFT JOIN w USING (rule)""")
+def sens_value_evidence(spark, d):
+    hit = F.expr(_KIND_SQL)
+    samples = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i < F.col("event_id") % 9, hit).otherwise("nothing here"))
+    no = F.lit(False)
+    c = _t(spark, d, "events").select(F.col("event_id").cast("string").alias("qualified_name"), F.lit("events").alias("table"), F.lit("zz9").alias("name"), F.lit("string").alias("generic_type"), no.alias("is_primary_key"), no.alias("is_foreign_key"), no.alias("is_temporal"), samples.alias("sample_values"))
+    rule = F.regexp_extract(F.coalesce(F.get(F.filter("matched_rules", lambda r: r.startswith("value:")), F.lit(0)), F.lit("")), "value:(.*)", 1)
+    return sensitivity.classify(c).select(F.col("qualified_name").cast("long").alias("event_id"), F.nullif(rule, F.lit("")).alias("rule"), "pii_type", "score", "is_sensitive", "confidence")
+
+
+@query(f"""WITH {_NORM}, {_FINAL}, j AS (SELECT score, {_STIER} AS tier, score >= 0.5 AS p, k % 4 = 1 AS a, (k % 10) / 10.0 AS truth, CASE WHEN k % 2 = 0 THEN 'high' ELSE 'none' END AS truth_tier FROM s),
+agg AS (SELECT count(*) AS n, count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn, avg((tier = truth_tier)::INT) AS tier_accuracy, avg(abs(score - truth)) AS mae FROM j)
+SELECT n, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(tier_accuracy, 6) AS tier_accuracy, round(mae, 6) AS score_mae FROM agg""")
+def sens_evaluation(spark, d):
+    k = F.col("c_nationkey")
+    truth = _t(spark, d, "customer").select(F.concat(F.lit("customer."), F.col("c_custkey").cast("string")).alias("qualified_name"), ((k % 10) / 10).alias("sensitivity_score"), F.when(k % 2 == 0, "high").otherwise("none").alias("sensitivity_tier"), (k % 4 == 1).alias("is_sensitive"))
+    e = evaluation.evaluate_sensitivity(sensitivity.classify(_described(spark, d)), truth)
+    return e.select("n", "tp", "fp", "fn", *[_r(c) for c in ("precision", "recall", "tier_accuracy", "score_mae")])
+
+
+_LABEL = "CASE c_nationkey % 5 WHEN 0 THEN 'never' WHEN 1 THEN 'rare' WHEN 2 THEN 'low' WHEN 3 THEN 'medium' ELSE 'high' END"
+
+
+def _usage_labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    u = _usage(spark, d).select(F.col("entity").cast("string").alias("qualified_name"), "score", (F.col("score") > 0).alias("is_used"))
+    return u, _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("qualified_name"), F.expr(_LABEL).alias("expected_usage"))
+
+
+@query(f"""WITH {_USAGE}, j AS (SELECT score, score > 0 AS p, c_nationkey % 5 AS o FROM u JOIN customer ON c_custkey = entity),
+r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rx, rank() OVER (ORDER BY o) + (count(*) OVER (PARTITION BY o) - 1) / 2.0 AS ry FROM j)
+SELECT count(*) AS n, count(*) FILTER (p AND o > 0) AS tp, count(*) FILTER (p AND o = 0) AS fp, count(*) FILTER (NOT p AND o = 0) AS tn, count(*) FILTER (NOT p AND o > 0) AS fn, round(corr(rx, ry), 6) AS spearman FROM r""")
+def usage_evaluation(spark, d):
+    return evaluation.evaluate_usage(*_usage_labels(spark, d)).select("n", "tp", "fp", "tn", "fn", _r("spearman"))
+
+
+@query(f"WITH {_USAGE} SELECT {_LABEL} AS label, round(avg(score), 6) AS mean_score, count(*) AS n FROM u JOIN customer ON c_custkey = entity GROUP BY 1")
+def usage_band_means(spark, d):
+    return evaluation.band_means(*_usage_labels(spark, d)).select("label", _r("mean_score"), "n")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name AS v1, p_brand AS v2, p_size::VARCHAR AS v3, p_type || '_' || p_size AS name FROM part),
+v AS (SELECT p_partkey, name, unnest([v1, v2, v3]) AS v FROM p),
+f AS (SELECT p_partkey, avg(length(v)) AS val_len_mean, max(length(v)) AS val_len_max, stddev_pop(length(v)) AS val_len_std, avg((length(v) - length(regexp_replace(v, '[0-9]', '', 'g'))) / length(v)) AS val_digit_ratio,
+  avg(contains(v, ' ')::INT) AS val_space_frac, avg(len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> ''))) AS val_words_mean, avg(regexp_matches(v, '^-?\\d+(\\.\\d+)?$')::INT) AS sig_numeric, max(name) AS name FROM v GROUP BY 1)
+SELECT p_partkey, length(name)::DOUBLE AS name_len, len(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: w <> ''))::DOUBLE AS name_tokens, regexp_matches(name, '[0-9]')::INT::DOUBLE AS name_has_digit,
+  round(val_len_mean, 6) AS val_len_mean, val_len_max::DOUBLE AS val_len_max, round(val_len_std, 6) AS val_len_std, round(val_digit_ratio, 6) AS val_digit_ratio, round(val_space_frac, 6) AS val_space_frac, round(val_words_mean, 6) AS val_words_mean, round(sig_numeric, 6) AS sig_numeric FROM f""")
+def feat_columns(spark, d):
+    p = _t(spark, d, "part")
+    given = {"qualified_name": F.col("p_partkey").cast("string"), "name": F.concat_ws("_", "p_type", F.col("p_size").cast("string")), "generic_type": F.lit("string"), "sample_values": F.array("p_name", "p_brand", F.col("p_size").cast("string"))}
+    rows = p.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(COLUMNS)])
+    rounded = [_r(c) for c in ("val_len_mean", "val_len_std", "val_digit_ratio", "val_space_frac", "val_words_mean", "sig_numeric")]
+    return features.featurize(rows).select(F.col("qualified_name").cast("long").alias("p_partkey"), "name_len", "name_tokens", "name_has_digit", "val_len_max", *rounded)
+
+
 # --- scoring -------------------------------------------------------------------------------------
 
 
@@ -425,6 +491,12 @@ def history_diff(spark, d):
     return out.withColumnRenamed("qualified_name", "entity")
 
 
+@query(f"{_DIFF} SELECT entity, score, round(score - bs, 4) AS score_delta FROM k WHERE both_there AND abs(score - bs) >= 0.05 - 5e-5 ORDER BY abs(round(score - bs, 4)) DESC, entity::VARCHAR LIMIT 25")
+def history_most_moved(spark, d):
+    runs = [_run(spark, d, i).withColumn("qualified_name", F.col("qualified_name").cast("string")) for i in (0, 2)]
+    return history.most_moved(history.diff(*runs)).limit(25).select(F.col("qualified_name").cast("long").alias("entity"), "score", "score_delta")
+
+
 @query(f"{_DIFF} SELECT entity FROM k WHERE now_flagged AND NOT was")
 def history_newly_flagged_anti(spark, d):
     flagged = [_run(spark, d, i).where("is_flagged").select(F.col("qualified_name").alias("entity")) for i in (0, 2)]

@@ -37,3 +37,26 @@ def test_prediction_blend_and_store(spark, trained, tmp_path):
     assert sorted(map(str, again.collect())) == sorted(map(str, learned.collect()))
     with pytest.raises(ValueError):
         ml.hybrid(rules, learned, mode="x")
+
+
+def test_comparison_and_usage_variants(spark, trained, tmp_path, monkeypatch):
+    corpus = ml.synthetic_columns(spark, 54, seed=9).cache()
+    rules, learned = sensitivity.classify(corpus).cache(), ml.predict(trained[0], corpus).cache()
+    truth = rules.select("qualified_name", F.col("score").alias("sensitivity_score"), F.col("tier").alias("sensitivity_tier"), "is_sensitive")
+    c = {r["method"]: r for r in ml.compare(rules, learned, truth).collect()}
+    assert set(c) == {"rules", "model", "hybrid"} and c["rules"]["f1"] == 1.0 and c["rules"]["score_mae"] == 0.0 and c["model"]["n"] == 54
+    wrong = learned.join(truth.select("qualified_name", F.col("is_sensitive").alias("a")), "qualified_name").where("is_sensitive <> a")
+    found = ml.disagreements(rules, learned, truth)
+    assert sorted(r[0] for r in found.select("qualified_name").collect()) == sorted(r[0] for r in wrong.select("qualified_name").collect())
+    path = f"file://{tmp_path}/kept"
+    monkeypatch.setattr(ml, "train", lambda spark, *a, include_usage=False, **k: trained)
+    v = {r["include_usage"]: r for r in ml.compare_usage_variants(spark).collect()}
+    assert set(v) == {False, True} and v[True]["n"] > 50 and v[True]["recall"] >= 0.9
+    assert [len(ml.load_or_train(spark, path).stages) for _ in range(2)] == [len(trained[0].stages)] * 2
+    for df in (corpus, rules, learned):
+        df.unpersist()
+
+
+def test_training_with_usage(spark):
+    r = ml.held_out(ml.train(spark, n_synth=135, include_usage=True)[1]).first()
+    assert r["n"] > 25 and r["recall"] >= 0.8
