@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, pii, quality, resample, simhash, substring, toxicity
+from . import bpe, chat, decontaminate, divergence, html, infill, pii, quality, resample, simhash, substring, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -81,7 +81,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_importance_resampling, op4_toxicity, op5_simhash, op6_substring_dedup, op7_chat_formatting, op8_byte_bpe, op9_pii, op10_decontamination)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.transform(table(spark, sf_dir, "documents"))
+    back = infill.restore(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_importance_resampling, op4_toxicity, op5_simhash, op6_substring_dedup, op7_chat_formatting, op8_byte_bpe, op9_pii, op10_decontamination, op12_source_divergence, op13_fill_in_middle)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -147,4 +157,59 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLES = {"op2_quality_rules": _OP2, "op6_substring_dedup": _OP6, "op7_chat_formatting": _OP7}
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), word AS (
+  SELECT r, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM word GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), grp AS (
+  SELECT DISTINCT lang, source FROM d
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), n AS (
+  SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY ALL
+), cell AS (
+  SELECT grp.lang, grp.source, kept.term, coalesce(n.n, 0) AS n
+  FROM grp JOIN kept USING (lang) LEFT JOIN n ON n.lang = grp.lang AND n.source = grp.source AND n.term = kept.term
+), p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM cell JOIN v USING (lang)
+), whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM cell GROUP BY lang, term) JOIN v USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), term AS (
+  SELECT p.lang, p.source, p.term AS item, (((p.p - q) * (p.p - q)) // q)::BIGINT AS value FROM p JOIN whole USING (lang, term) WHERE n > 0 AND p.p > q
+)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pair
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM term) WHERE rank <= 200
+"""
+
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), c AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM c
+), o AS (
+  SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM f
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM o
+"""
+
+ORACLES = {"op2_quality_rules": _OP2, "op6_substring_dedup": _OP6, "op7_chat_formatting": _OP7, "op12_source_divergence": _OP12, "op13_fill_in_middle": _OP13}

@@ -32,8 +32,10 @@ def test_query_equals_sql(spark, duck, data, name):
 
 
 def test_all_queries_have_integer_ids(spark, data):
-    assert len(entries.QUERIES) == 10
-    for f in entries.QUERIES.values():
+    assert [int(k[2:].split("_")[0]) for k in entries.QUERIES] == list(range(1, 14))
+    for name, f in entries.QUERIES.items():
+        if name == "op12_source_divergence":  # its rows are groups and terms
+            continue
         df = f(spark, data)
         assert df.dtypes[0][1] == "bigint"
 
