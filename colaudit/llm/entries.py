@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, divergence, html, infill, pii, quality, resample, simhash, substring, toxicity
+from . import bpe, chat, decontaminate, divergence, html, infill, lshforest, pii, quality, resample, simhash, substring, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -81,6 +81,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -91,7 +95,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_importance_resampling, op4_toxicity, op5_simhash, op6_substring_dedup, op7_chat_formatting, op8_byte_bpe, op9_pii, op10_decontamination, op12_source_divergence, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_importance_resampling, op4_toxicity, op5_simhash, op6_substring_dedup, op7_chat_formatting, op8_byte_bpe, op9_pii, op10_decontamination, op11_lsh_forest, op12_source_divergence, op13_fill_in_middle)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 

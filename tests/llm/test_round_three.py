@@ -1,4 +1,4 @@
-"""Source divergence and fill-in-the-middle: brute force, containers, awkward rows."""
+"""LSH forest, source divergence and fill-in-the-middle: brute force, containers, awkward rows."""
 
 from __future__ import annotations
 
@@ -9,9 +9,98 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators import awkward, docs, text
+from test_operators import awkward, brute_components, docs, text, words
+
+from colaudit.llm import divergence, infill, lshforest
+
+# --- 11 LSH forest -------------------------------------------------------------------------------
+
+
+def brute_set(t):
+    w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(t)]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_near(rows, percent=85):
+    """[(doc_id, n_shingles, component_id)] by comparing all pairs."""
+    sets = [brute_set(t) for _, t in rows]
+    by = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            by[x].append(k)
+    edges = []
+    for k, s in enumerate(sets):
+        near = Counter(j for x in s for j in by[x] if j < k)
+        edges += [(j, k) for j, n in near.items() if 100 * n >= percent * (len(s) + len(sets[j]) - n)]
+    parts = brute_components(edges)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        c = parts.get(k, k)
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    return sorted(((i, len(s), least[parts.get(k, k)]) for k, ((i, _), s) in enumerate(zip(rows, sets))), key=str)
+
+
+def edited(r, t, n):
+    w = t.split(" ")
+    for _ in range(n):
+        w[r.randrange(len(w))] = f"w{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def planted():
+    r = random.Random(4)
+    make = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    out = [make(r.randrange(1, 200)) for _ in range(60)]
+    base = make(300)
+    out += [edited(r, base, 4) for _ in range(150)] + [base]  # about 0.87 of the base, 0.77 of each other
+    chain = make(400)
+    for _ in range(40):
+        chain = edited(r, chain, r.choice((3, 6, 7, 8)))
+        out.append(chain)
+    for t in [make(r.randrange(6, 400)) for _ in range(60)]:
+        out += [edited(r, t, max(1, len(t.split()) * r.randrange(1, 6) // 100)) for _ in range(r.randrange(1, 4))] + [t] * r.randrange(1, 3)
+    out += ["A b c d e f g", "a B C d e f g h", "one two", "ONE two", "one two three", "", "  "]
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("near", "tile"), [(lshforest.NEAR, lshforest.TILE), (1, 3)])
+def test_forest_equals_brute_force(spark, near, tile):
+    rows = list(enumerate(planted()))
+    d = docs(spark, [t for _, t in rows]).repartition(5)
+    out = lshforest.near_duplicates(d, near=near, tile=tile).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in out), key=str) == brute_near(rows)
+    assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in out)
+
+
+def test_signatures_estimate_similarity():
+    r = np.random.default_rng(3)
+    for common in (900, 600, 100):
+        a, b = np.split(r.integers(0, 1 << 64, 2 * (1000 - common), dtype=np.uint64), 2)
+        both = r.integers(0, 1 << 64, common, dtype=np.uint64)
+        x, y = (lshforest.signatures(np.sort(np.concatenate((both, z))), np.zeros(1, int), 140)[0] for z in (a, b))
+        true = common / (2000 - common)
+        assert abs((x == y).mean() - true) < 5 * (true * (1 - true) / 140) ** 0.5 + 0.01
+
+
+def test_labels_keep_the_order_of_values():
+    sig = np.random.default_rng(1).integers(0, 256, (200, 140)).astype(np.uint8)
+    lab = lshforest.labels(sig)
+    for t in (0, 13, 27):
+        at = (t * lshforest.LEAST + np.arange(lshforest.DEPTH)) % 140
+        assert sorted(range(200), key=lambda k: lab[k, t]) == sorted(range(200), key=lambda k: tuple(sig[k, at]))
+
+
+def test_forest_of_awkward_rows(spark):
+    d = awkward(spark)
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    out = lshforest.near_duplicates(d).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in out), key=str) == brute_near([(i, t) for i, t in rows])
+    assert lshforest.near_duplicates(d.limit(0)).count() == 0
+    # an id that stands at two texts links both
+    two = docs(spark, [text(1, 80), text(2, 80), text(1, 80), text(2, 80) + " more", text(3, 50)], [5, 5, 7, 8, 9])
+    assert {(x["doc_id"], x["component_id"]) for x in lshforest.near_duplicates(two).collect()} == {(5, 5), (7, 5), (8, 5), (9, 9)}
 
-from colaudit.llm import divergence, infill
 
 # --- 12 source divergence ------------------------------------------------------------------------
 
