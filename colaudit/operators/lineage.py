@@ -1,175 +1,151 @@
-"""Columns that SQL statements read and write, from Spark's own parser.
+"""Columns that SQL statements read and write.
 
-Statements are first reduced to templates (literals and parameters become markers) on the executors and made
-distinct; only the distinct templates, which the code of an application fixes, come to the driver's parser, a
-bounded chunk at a time, and their lineage is joined back.
+Statements are first reduced to templates (literals and parameters become markers) and made distinct.  A state machine
+(``statements``) lists on the executors what each template mentions; the names are then resolved by a join with the
+catalogue: candidates are rows of (statement, name, level of the query, table), owners are counted, and the innermost
+query that has one owner wins.  No template and no catalogue passes through the driver.
 """
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import LINEAGE
+from .statements import mentions
 
 Catalog = dict[str, list[str]]
+_CANDIDATE = "struct<table:string,alias:string,derived:boolean>"
+_REF = f"struct<kind:string,qualifier:string,name:string,levels:array<array<{_CANDIDATE}>>>"
+_TEXTS = "array<string>"
 
 
 def template_of(sql: Column) -> Column:
-    """Literals, numbers and $1 markers as ?, white space as one space."""
-    t = F.regexp_replace(sql, r"'(?:[^']|'')*'", "?")
+    """Comments dropped, literals, numbers and $1 markers as ?, white space as one space."""
+    text = r"'[^']*+(?:''[^']*+)*+'|\$(?<tag>(?:[A-Za-z_]\w*+)?)\$(?s:.*?)\$\k<tag>\$"
+    t = F.regexp_replace(sql, rf"({text})|--[^\n]*+|/\*(?s:.*?)\*/", "$1 ")
+    t = F.regexp_replace(t, text, "?")
     t = F.regexp_replace(t, r"\$\d+|%s|%\(\w+\)s|(?<![\w.])\d+(?:\.\d+)?(?!\w)", "?")
     t = F.regexp_replace(t, r"\(\s*\?(?:\s*,\s*\?)+\s*\)", "(?)")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def catalog_of(columns: DataFrame) -> Catalog:
-    """table -> column names; the target's schema, which the driver holds anyway."""
-    return {r["table"]: r["names"] for r in columns.groupBy("table").agg(F.array_sort(F.collect_set("name")).alias("names")).collect()}
-
-
-def _parts(text: str | None) -> list[str]:
-    return [p.strip().strip("`") for p in (text or "").strip("[]").split(",") if p.strip()]
-
-
-class _Statement:
-    """What one parsed plan mentions; names are kept with their scope, a list of table lists from the inside out."""
-
-    def __init__(self, nodes: list):
-        self.tables: list[str] = []
-        self.aliases: dict[str, str] = {}
-        self.ctes: set[str] = set()
-        self.reads: list[tuple[list[str], list[list[str]]]] = []
-        self.stars: list[tuple[list[str], list[list[str]]]] = []
-        self.writes: list[list[str]] = []
-        self.insert: tuple[str, list[str]] | None = None
-        self._list(nodes, [[]])
-
-    def _list(self, nodes: list, scope: list[list[str]]) -> None:
-        skip = -1
-        for i, n in enumerate(nodes):
-            if not isinstance(n, dict):
-                if isinstance(n, list):
-                    self._list(n, scope)
-                continue
-            kind = n.get("class", "").rpartition(".")[2]
-            if kind == "Assignment":
-                skip = i + 1  # the key, next in pre-order, is written
-            if kind == "UnresolvedAttribute":
-                if i == skip:
-                    self.writes.append(_parts(n["nameParts"]))
-                else:
-                    self.reads.append((_parts(n["nameParts"]), scope))
-            elif kind == "UnresolvedStar":
-                self.stars.append((_parts(n.get("target")), scope))
-            elif kind == "UnresolvedRelation":
-                name = _parts(n["multipartIdentifier"])[-1]
-                self.tables.append(name)
-                scope[0].append(name)
-                self.aliases.setdefault(name, name)
-                before = nodes[i - 1] if i else None
-                if isinstance(before, dict) and before.get("class", "").endswith(".SubqueryAlias"):
-                    self.aliases[before["identifier"]["name"]] = name
-            elif kind == "InsertIntoStatement":
-                columns = n.get("userSpecifiedCols")
-                self.insert = (_parts(n["table"][0]["multipartIdentifier"])[-1], _parts(columns if isinstance(columns, str) else ""))
-                continue  # its source follows in this list
-            elif kind == "UnresolvedWith":
-                self.ctes |= {r["_1"] for r in n["cteRelations"]}
-                for r in n["cteRelations"]:
-                    self._list(r["_2"], [[], *scope])
-                continue
-            for key, value in n.items():
-                if isinstance(value, list) and key != "nameParts":
-                    self._list(value, [[], *scope] if key == "plan" else scope)
-
-
-_INSERT = re.compile(r"insert\s+into\s+([\w.\"`]+)\s*\(([^)]*)\)", re.I)
-
-
-def lineage(spark: SparkSession, sql: str, catalog: Catalog | None = None) -> dict:
-    """reads, writes, wildcards, unresolved, parsed_ok and method of one statement; it never raises."""
-    empty = {"reads": [], "writes": [], "wildcards": [], "unresolved": [], "parsed_ok": False, "method": "none"}
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r"\$\d+", "?", sql))
-        found = _Statement(json.loads(plan.toJSON()))
-        if not found.tables and not found.insert:
-            raise ValueError("no table")
-    except Exception:  # any statement that cannot be parsed falls back to its column list
-        m = _INSERT.search(sql or "")
-        if not m:
-            return empty
-        table = m[1].replace('"', "").replace("`", "").rpartition(".")[2]
-        names = [c.strip().strip('"`') for c in m[2].split(",") if c.strip()]
-        return empty | {"writes": sorted({f"{table}.{c}" for c in names}), "parsed_ok": True, "method": "insert-regex"}
-    reads, writes, wild, unknown = set(), set(), set(), []
-
-    def place(parts: list[str], out: set, scope: list[list[str]]) -> None:
-        column = parts[-1]
-        if len(parts) > 1:
-            table = found.aliases.get(parts[-2], parts[-2])
-            if table in found.ctes or catalog is not None and table not in catalog:
-                unknown.append(".".join(parts))
-            else:
-                out.add(f"{table}.{column}")
-            return
-        for among in scope:  # the innermost query that has one owner of the name
-            tables = list(dict.fromkeys(among))
-            owners = [t for t in tables if catalog and column in catalog.get(t, ())]
-            if len(owners) == 1 or len(tables) == 1 and tables[0] not in found.ctes and not (catalog and tables[0] in catalog):
-                out.add(f"{(owners or tables)[0]}.{column}")
-                return
-            if owners:
-                break
-        unknown.append(column)
-
-    for parts, scope in found.reads:
-        place(parts, reads, scope)
-    for parts in found.writes:
-        place(parts, writes, [found.tables[:1]])
-    for star, scope in found.stars:
-        for t in [found.aliases.get(star[-1], star[-1])] if star else dict.fromkeys(scope[0]):
-            if t in found.ctes:
-                continue
-            if catalog and t in catalog:
-                reads |= {f"{t}.{c}" for c in catalog[t]}
-            else:
-                wild.add(f"{t}.*")
-    if found.insert:
-        table, names = found.insert
-        if names:
-            writes |= {f"{table}.{c}" for c in names}
-        else:
-            wild.add(f"{table}.*")  # without a column list all of the table's columns are meant
-    return {"reads": sorted(reads), "writes": sorted(writes), "wildcards": sorted(wild), "unresolved": unknown, "parsed_ok": True, "method": "parser"}
-
-
-def lineage_table(statements: DataFrame, catalog: Catalog | None = None, chunk: int = 1_000, templated: bool = False) -> DataFrame:
+def references(sql: str) -> tuple[str, list[tuple[str, str, str, list]]]:
+    """(method, references) of a statement: each with the tables it may belong to, by level from the inside out.
+
+    A qualified name has the tables of that alias in the innermost query that knows it; at no level, the table so named.
+    """
+    method, found = mentions(sql)
+    tables: dict[int, list[tuple[str, str, bool]]] = {}
+    for kind, scopes, alias, name in found:
+        if kind in ("table", "derived") and (row := (name, alias, kind == "derived")) not in tables.setdefault(scopes[0], []):
+            tables[scopes[0]].append(row)
+    out = []
+    for kind, scopes, qualifier, name in found:
+        if kind in ("write", "all"):
+            table = qualifier if kind == "write" else name
+            out.append((kind, "", name, [[(table, table, False)]]))
+        elif kind in ("read", "both", "star"):
+            levels = [tables.get(s, []) for s in scopes]
+            if qualifier:
+                wanted = qualifier.lower()
+                hits = [[t for t in level if wanted == t[1].lower()] or [t for t in level if wanted == t[0].lower()] for level in levels]
+                levels = [next((h[:1] for h in hits if h), [(qualifier, qualifier, False)])]
+            elif kind != "read":
+                levels = levels[:1]
+            out.append((kind, qualifier, name, levels))
+    return method, list(dict.fromkeys((k, q, n, tuple(map(tuple, levels))) for k, q, n, levels in out))
+
+
+def parsed(templates: DataFrame) -> DataFrame:
+    """templates(sql, …) -> (sql, method, refs), a row for each row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        ref = pa.struct([("kind", pa.string()), ("qualifier", pa.string()), ("name", pa.string()), ("levels", pa.list_(pa.list_(pa.struct([("table", pa.string()), ("alias", pa.string()), ("derived", pa.bool_())]))))])
+        for b in batches:
+            sql = b.column(0)
+            done = [references(s) for s in sql.to_pylist()]
+            refs = [[{"kind": k, "qualifier": q, "name": n, "levels": [[dict(zip(("table", "alias", "derived"), t)) for t in level] for level in levels]} for k, q, n, levels in r] for _, r in done]
+            yield pa.RecordBatch.from_arrays([sql, pa.array([m for m, _ in done], pa.string()), pa.array(refs, pa.list_(ref))], ["sql", "method", "refs"])
+
+    return templates.mapInArrow(run, f"sql string, method string, refs array<{_REF}>")
+
+
+def _known(spark: SparkSession, catalog: Catalog | DataFrame | None) -> DataFrame | None:
+    """(_key, _table, _names): a row for each table, with the spelling of its columns by lower case."""
+    if catalog is None:
+        return None
+    if isinstance(catalog, dict):
+        catalog = spark.createDataFrame([(t, c) for t, names in catalog.items() for c in names], "`table` string, name string")
+    names = F.map_from_entries(F.collect_set(F.struct(F.lower("name").alias("k"), F.col("name").alias("v"))))
+    return catalog.select("table", "name").dropDuplicates(["table", "name"]).groupBy(F.lower("table").alias("_key")).agg(F.min("table").alias("_table"), names.alias("_names"))
+
+
+def resolve(statements: DataFrame, catalog: Catalog | DataFrame | None) -> DataFrame:
+    """(sql, method, refs) -> LINEAGE, by a join of the candidates with the catalogue."""
+    known = _known(statements.sparkSession, catalog)
+    x = statements.select("sql", F.posexplode("refs").alias("ref", "r")).select("sql", "ref", "r.kind", "r.qualifier", "r.name", F.posexplode_outer("r.levels").alias("level", "tables"))
+    x = x.select("sql", "ref", "kind", "qualifier", "name", "level", F.explode_outer("tables").alias("t")).select("*", "t.table", "t.derived").drop("t")
+    if known is None:
+        x = x.withColumns({"_table": F.lit(None).cast("string"), "_names": F.lit(None).cast("map<string,string>")})
+    else:
+        x = x.join(known, F.lower("table") == F.col("_key"), "left")
+    base = F.coalesce(~F.col("derived"), F.lit(False))
+    listed = base & F.col("_table").isNotNull()
+    owned = F.when(listed, F.element_at("_names", F.lower("name")))
+    spelled = F.concat_ws(".", F.coalesce("_table", "table"), F.coalesce(owned, "name"))
+    free = base if known is None else F.lit(False)  # without a catalogue the only table of a query has the column
+    per_level = x.groupBy("sql", "ref", "kind", "qualifier", "name", "level").agg(
+        F.collect_set(F.when(owned.isNotNull(), spelled)).alias("owners"),
+        F.collect_set(F.when(free, spelled)).alias("open"),
+        F.count("table").alias("n"),
+        F.max("table").alias("one"),
+        F.flatten(F.collect_list(F.when(listed, F.transform(F.map_values("_names"), lambda c: F.concat_ws(".", "_table", c))))).alias("columns"),
+        F.collect_set(F.when(base & F.col("_table").isNull(), F.concat(F.col("table"), F.lit(".*")))).alias("stars"),
+        F.max(F.when(base, spelled)).alias("written"),
+    )
+    # what a level says of a name: one owner, more than one (it stays open there), or nothing
+    lone = (F.size("open") == 1) & (F.col("n") == 1)
+    says = F.when(F.size("owners") == 1, F.col("owners")[0]).when(F.size("owners") > 1, F.lit("")).when(lone, F.col("open")[0]).when(F.lit(known is None) & (F.col("n") > 0), F.lit(""))
+    best = per_level.withColumn("says", says).groupBy("sql", "ref", "kind", "qualifier", "name").agg(
+        F.min_by("says", F.when(F.col("says").isNotNull(), F.col("level"))).alias("says"),
+        F.max(F.when(F.col("level") == 0, F.col("one"))).alias("one"),
+        *[F.flatten(F.collect_list(F.when(F.col("level") == 0, F.col(c)))).alias(c) for c in ("owners", "open", "columns", "stars")],
+        F.max("written").alias("written"),
+    )
+    none = F.array().cast(_TEXTS)
+    hit = F.nullif("says", F.lit(""))
+    named = F.when(F.col("qualifier") == "", F.col("name")).otherwise(F.concat_ws(".", F.coalesce("one", "qualifier"), "name"))
+    reads = F.when(F.col("kind") == "read", F.when(hit.isNotNull(), F.array(hit)).otherwise(none)).when(F.col("kind") == "both", F.when(F.size("owners") > 0, F.col("owners")).otherwise(F.col("open"))).when(F.col("kind") == "star", F.col("columns")).otherwise(none)
+    writes = F.when(F.col("kind") == "write", F.array("written")).otherwise(none)
+    wild = F.when(F.col("kind") == "star", F.col("stars")).when(F.col("kind") == "all", F.array(F.concat("one", F.lit(".*")))).otherwise(none)
+    unknown = F.when((F.col("kind") == "read") & hit.isNull(), F.array(named)).otherwise(none)
+    lists = {"reads": reads, "writes": writes, "wildcards": wild, "unresolved": unknown}
+    done = best.groupBy("sql").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(v)))).alias(k) for k, v in lists.items()])
+    out = statements.select("sql", "method").join(done, "sql", "left")
+    full = {k: F.coalesce(F.col(k), none) for k in lists}
+    some = F.size(F.concat(full["reads"], full["writes"], full["wildcards"])) > 0
+    ok = F.when(F.col("method") == "none", False).when(F.col("method") == "delete", True).otherwise(some)
+    how = F.when(~ok, "none").when(F.col("method") == "insert-regex", F.col("method")).otherwise("parser")
+    return out.select("sql", *[v.alias(k) for k, v in full.items()], ok.alias("parsed_ok"), how.alias("method"))
+
+
+def lineage_table(statements: DataFrame, catalog: Catalog | DataFrame | None = None, templated: bool = False) -> DataFrame:
     """statements(sql) -> LINEAGE, one row per distinct template.
 
-    Templates pass through the driver's parser ``chunk`` at a time and their lineage stays in the plan, so their
-    number, not that of the statements, is what must be moderate.  templated: sql holds templates already.
+    catalog: rows (table, name) or a dict; without it, a name belongs to the only table of its query.  templated: sql
+    holds templates already.
     """
-    spark = statements.sparkSession
-    names = [c.split()[0] for c in LINEAGE.split(", ")]
     distinct = statements.select((F.col("sql") if templated else template_of(F.col("sql"))).alias("sql")).where("sql <> ''").distinct()
-    out, held = spark.createDataFrame([], LINEAGE), []
+    return resolve(parsed(distinct), catalog)
 
-    def flush():
-        nonlocal out, held
-        if held:
-            out = out.unionAll(spark.createDataFrame(held, LINEAGE))
-            held = []
 
-    for (sql,) in distinct.toLocalIterator():
-        held.append(tuple(({"sql": sql} | lineage(spark, sql, catalog))[n] for n in names))
-        if len(held) == chunk:
-            flush()
-    flush()
-    return out
+def lineage(spark: SparkSession, sql: str, catalog: Catalog | DataFrame | None = None) -> dict:
+    """reads, writes, wildcards, unresolved, parsed_ok and method of one statement; it never raises."""
+    row = resolve(parsed(spark.createDataFrame([(sql or "",)], "sql string")), catalog).first()
+    return {c.split()[0]: row[c.split()[0]] for c in LINEAGE.split(", ")[1:]}
 
 
 def expand_wildcards(table: DataFrame, columns: DataFrame) -> DataFrame:
@@ -177,6 +153,6 @@ def expand_wildcards(table: DataFrame, columns: DataFrame) -> DataFrame:
     known = columns.groupBy(F.concat("table", F.lit(".*")).alias("w")).agg(F.collect_set("qualified_name").alias("names"))
     found = table.select("sql", F.explode("wildcards").alias("w")).join(known, "w", "left")
     found = found.groupBy("sql").agg(F.flatten(F.collect_list("names")).alias("more"), F.array_compact(F.collect_list(F.when(F.col("names").isNull(), F.col("w")))).alias("left_over"))
-    none = F.array().cast("array<string>")
+    none = F.array().cast(_TEXTS)
     joined = table.join(found, "sql", "left")
     return joined.select("sql", F.array_sort(F.array_union("reads", F.coalesce("more", none))).alias("reads"), "writes", F.coalesce("left_over", none).alias("wildcards"), "unresolved", "parsed_ok", "method")

@@ -51,7 +51,7 @@ def attribute(log: DataFrame, columns: DataFrame | None, mode: str = "hybrid") -
     if mode == "declared":
         return log.select("*", F.array_distinct(r).alias("reads"), F.array_distinct(w).alias("writes"), F.when(declared, "declared").otherwise("none").alias("attribution"))
     templates = log.select("sql") if "ts_first" in log.columns else log.select(ln.template_of("sql").alias("sql"))
-    found = ln.lineage_table(templates, ln.catalog_of(columns) if columns is not None else None, templated=True)
+    found = ln.lineage_table(templates, columns, templated=True)
     if columns is not None:
         found = ln.expand_wildcards(found, columns)
     found = found.select(F.col("sql").alias("_template"), F.col("reads").alias("_r"), F.col("writes").alias("_w"), F.col("parsed_ok").alias("_ok"))

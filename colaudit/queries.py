@@ -618,7 +618,7 @@ c AS (SELECT count(*) AS n_statements, sum(len(list_intersect(got, want)))::BIGI
 SELECT n_statements, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c""")
 def lineage_eval_micro(spark, d):
     log = _log(spark, d)
-    found = lineage.lineage_table(log.select("sql"), lineage.catalog_of(_columns(spark, d)))
+    found = lineage.lineage_table(log.select("sql"), _columns(spark, d))
     want = F.create_map(*[x for k, (r, w) in _LINEAGE.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in sorted(set(r[:2]) | set(w))]))])[F.col("service")]
     declared = log.select(lineage.template_of(F.col("sql")).alias("sql"), want.alias("reads"), F.array().cast("array<string>").alias("writes"))
     c = evaluation.evaluate_lineage(found, declared)

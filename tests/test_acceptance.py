@@ -39,7 +39,7 @@ def test_usage_gates(spark, audit):
 
 def test_lineage_gates(spark, audit):
     log = fixtures.query_log(spark, 3_000)
-    found = lineage.lineage_table(log.select("sql"), lineage.catalog_of(audit.columns))
+    found = lineage.lineage_table(log.select("sql"), audit.columns)
     declared = log.select(lineage.template_of(F.col("sql")).alias("sql"), F.col("declared_reads").alias("reads"), F.col("declared_writes").alias("writes"))
     e = evaluation.evaluate_lineage(found, declared).first()
     assert e["precision"] >= 0.9 and e["recall"] >= 0.85 and e["n_statements"] >= 14
