@@ -3,10 +3,13 @@
 Events carry (conv_id, seq, op, role, text, ref).  Ordered by seq within a conversation they are folded:
 
 - ``message`` starts the next message, with role and text;
-- ``delta`` appends text to the current message, or to message number ``ref`` (from 0);
+- ``delta`` appends text to the current message, or to message number ``ref`` (from 0, dropped ones count);
 - ``edit`` replaces that message's text;
 - ``regenerate`` starts that message's text anew and drops all later messages begun before it.
 
+The current message is the one begun last, or regenerated since then: what is streamed after a ``regenerate`` goes to
+the regenerated message until the next one begins.
+
 The fold is a running count, a group-by of (conversation, message) and a running minimum over what follows;
 then each message is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``.  In roles and texts ``\\``
 becomes ``\\\\`` and ``<|`` becomes ``<\\|``, so no text can hold a control string and the
@@ -14,7 +17,7 @@ escape can be undone; a line break in a role becomes ``\\n``.  ``loss_spans`` ar
 the assistant texts in the formatted string.  A conversation's rows meet in one row, its own output.
 
 Defined results: null texts and roles are empty; a null op is ``message``; events before the first message
-and with a ref to no message are ignored; events with equal seq are ordered by op, role and text, equal
+and with a ref to no message are ignored; a very long text is one value of its row, never cut; events with equal seq are ordered by op, role and text, equal
 ones are all applied; null conversation ids are one conversation; an empty table gives no rows; other columns are ignored.
 """
 
@@ -59,7 +62,9 @@ def fold(events: DataFrame) -> DataFrame:
     run = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = e.withColumn("m", F.count_if(F.col("op") == "message").over(run) - 1)
     starts = F.col("op") == "message"
-    e = e.withColumn("to", F.when(starts, F.col("m")).otherwise(F.coalesce("ref", "m"))).where("`to` between 0 and m")
+    now = F.when(starts, F.col("m")).when((F.col("op") == "regenerate") & F.col("ref").between(0, F.col("m")), F.col("ref"))
+    e = e.withColumn("now", F.last(now, True).over(run))
+    e = e.withColumn("to", F.when(starts, F.col("m")).otherwise(F.coalesce("ref", "now"))).where("`to` between 0 and m")
     rest = Window.partitionBy("conv_id").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
     e = e.withColumn("cut", F.min(F.when(F.col("op") == "regenerate", F.col("to"))).over(rest))
     base = F.col("op").isin("message", "edit", "regenerate")

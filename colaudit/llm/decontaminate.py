@@ -6,7 +6,8 @@ hash with the seeds at every token of every document.  Each hit fixes an item, a
 their alignment, along which the longest stretch with at least ``min_equal`` equal tokens is
 found; it counts from ``min_words`` words on, or the whole item if that is shorter.
 Items of fewer than eleven tokens (``SHORT``) are also cut into one piece more than words may differ, and
-each piece is looked up at its place, so no overlap with a whole item is missed.
+each piece is looked up at its place, so no overlap with a whole item is missed.  An item of fewer than five tokens
+(``WHOLE``), such as "Yes", stands in any text; it counts only where it is the whole text.
 
 The test set is small beside the corpus but has no fixed size: it is taken in blocks of
 at most ``block_tokens`` tokens, each a bounded broadcast and a pass over the documents.
@@ -14,7 +15,7 @@ at most ``block_tokens`` tokens, each a bounded broadcast and a pass over the do
 Tokens are the words between ASCII white space, lower-cased, without characters that are neither
 letters nor digits; a word of other characters only is passed over.
 
-Defined results: null or empty texts and items have no hits; items or documents with
+Defined results: of equally long overlaps the first found stands; a very long text is read whole; null or empty texts and items have no hits; items or documents with
 repeated ids count each row; a null id is returned as null; empty tables give no rows; other
 columns are ignored.
 """
@@ -34,6 +35,7 @@ from .common import TokenHash, mix, multipliers
 MASKS = ("111111", "11011011", "1100110011", "10101010101", "111000111")
 MIN_WORDS, MIN_EQUAL = 12, 0.8
 SHORT = 11  # the five masks can miss items of fewer tokens
+WHOLE = 5  # items of fewer tokens must be the whole text
 BLOCK_TOKENS = 200_000
 _BITS = 22
 NAMES = ("doc_id", "item_id", "doc_start", "item_start", "n_span", "n_equal")
@@ -144,6 +146,8 @@ def _overlaps(texts: list, block: Block, bitmaps: list, memo: _Words, min_words:
             begin, end = max(0, -shift), min(len(item), len(h) - shift)
             equal = item[begin:end] == h[begin + shift : end + shift]
             s, e = longest(equal, min_equal)
+            if len(item) < WHOLE and not (len(h) == len(item) == e - s):
+                continue
             if e - s >= min(min_words, len(item)) and e - s > best.get((low + d, k), (0,) * 4)[2]:
                 best[low + d, k] = (int(at[begin + shift + s]), begin + s, e - s, int(equal[s:e].sum()))
     return best

@@ -1,13 +1,14 @@
 """Format-preserving pseudonyms for personal data and secrets.
 
 Values are found by pattern and validated: card and account numbers by length and, where it
-holds, the Luhn digit, IBANs by their remainder, addresses by their bytes, dates by the calendar.
+holds, the Luhn digit, IBANs by their country's length and their remainder, addresses by their bytes, dates by the calendar.
 Each is then permuted by a keyed Feistel network within the set of values of its own format: digits
 stay digits, a valid check digit stays valid, a date becomes another date in the same style.
 Secrets, keys and addresses are replaced whole, however long.
 The permutation depends on the key and the kind only, so equal values stay equal in all documents
 and with the caller's key they can be turned back.  Numbers of fewer than twelve digits without a mark of
-their kind (a leading +, brackets, the dashes of a social security number) are left alone.
+their kind (a leading +, brackets, the dashes of a social security number) are left alone, and so are local
+phone numbers and dates before 1900.
 
 Defined results: a null text stays null, an empty one empty; a very long text is read in one piece, in time
 linear in its length; nothing depends on doc_id, so null and repeated ids pass; where patterns overlap the
@@ -19,12 +20,14 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 8
@@ -79,11 +82,12 @@ class Feistel:
 _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
 _CLASS = {c: s for s in _CLASSES for c in s}
 _HEX = ("0123456789abcdef", "0123456789ABCDEF")
+_HEX_CLASS = {c: s for s in ("0123456789", "abcdef", "ABCDEF") for c in s}
 
 
-def _shuffle(text: str, f: Feistel, back: bool, alphabet: str | None = None) -> str:
+def _shuffle(text: str, f: Feistel, back: bool, alphabet: str | None = None, classes: dict[str, str] = _CLASS) -> str:
     """Permutes the characters that have a class, each within its class; the others stay."""
-    sets = [alphabet or _CLASS.get(c) for c in text]
+    sets = [alphabet or classes.get(c) for c in text]
     if len(text) >= LONG:
         at = [i for i, (c, s) in enumerate(zip(text, sets)) if s and c in s]
         new = f.permute_digits([sets[i].index(text[i]) for i in at], [len(sets[i]) for i in at], back)
@@ -175,14 +179,53 @@ def _key(text: str, f: Feistel, back: bool) -> str:
     return text[:n] + _secret(text[n:], f, back)
 
 
-def _iban(text: str, f: Feistel, back: bool) -> str | None:
-    raw = re.sub(r"\s", "", text)
-    value = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(raw) <= 34 or value(raw[4:] + raw[:4]) % 97 != 1:
-        return None
+#: The length of an account number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30,
+    "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _valid_iban(raw: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1
+
+
+def _iban_end(text: str) -> int:
+    """Where the account number at the start of the text ends (0: there is none); words in capitals may follow it.
+
+    A known country fixes the length; else the longest valid number that ends at a space or the end counts.
+    """
+    ends = [i + 1 for i, c in enumerate(text) if c != " "]
+    stops = [n for n in range(15, min(len(ends), 34) + 1) if n == len(ends) or text[ends[n - 1]] == " "]
+    n = IBAN_LENGTHS.get(text[:2])
+    for k in [n] if n else reversed(stops):
+        if k in stops and _valid_iban(text[: ends[k - 1]].replace(" ", "")):
+            return ends[k - 1]
+    return 0
+
+
+def _iban(text: str, f: Feistel, back: bool) -> str:
+    raw = text.replace(" ", "")
     body = _shuffle(raw[4:], f, back)
-    new = iter(raw[:2] + str(98 - value(body + raw[:2] + "00") % 97).zfill(2) + body)
-    return "".join(c if c.isspace() else next(new) for c in text)
+    check = 98 - int("".join(str(int(c, 36)) for c in body + raw[:2] + "00")) % 97
+    new = iter(raw[:2] + str(check).zfill(2) + body)
+    return "".join(c if c == " " else next(new) for c in text)
+
+
+def _ipv6(text: str, f: Feistel, back: bool) -> str | None:
+    """Digits and letters of the groups, each within its class; shorter forms than two groups are no one's address."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return _shuffle(text, f, back, classes=_HEX_CLASS) if len([g for g in text.split(":") if g]) > 1 and re.search("[0-9]", text) else None
+
+
+def _mac(text: str, f: Feistel, back: bool) -> str:
+    return _shuffle(text, f, back, classes=_HEX_CLASS)
 
 
 _FIRST, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
@@ -211,14 +254,16 @@ def _date(text: str, f: Feistel, back: bool) -> str | None:
 #: kind, pattern of the value, how to permute it; values in group "v" where the pattern has one.
 KINDS = (
     ("email", r"(?<![\w.+%-])[\w.+%-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}", _email),
-    ("secret", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]key)?|token|passwd|password|bearer)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([A-Za-z0-9_/+.~-]{8,}+)", _secret),
+    ("secret", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]key)?|token|passwd|password|bearer)\b[\"']?\s{0,3}(?:[=:]|is\s(?=\s{0,2}[\"']?[A-Za-z_/+.~-]*[0-9]))\s{0,3}[\"']?)([A-Za-z0-9_/+.~-]{8,}+)", _secret),
     ("key", rf"(?<![A-Za-z0-9]){_PREFIX}[A-Za-z0-9_-]{{12,}}+|(?<![A-Za-z0-9])(?=[0-9a-fA-F]*[0-9])(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+)(?![A-Za-z0-9])", _key),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}+", _iban),
+    ("mac", r"(?<![\w:-])[0-9A-Fa-f]{2}([:-])[0-9A-Fa-f]{2}(?:\1[0-9A-Fa-f]{2}){4}(?![\w:-])", _mac),
+    ("ipv6", r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{4,39}+(?![\w:])", _ipv6),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
     ("date", r"(?<![\d./-])(?:(?:19|20)\d\d([-/.])\d\d\1\d\d|\d\d?([-/.])\d\d?\2(?:19|20)\d\d)(?![\d]|[./-]\d)", _date),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", _phone),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _number),
-    ("number", r"(?<![\w.-])\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?(?![\w-])|(?<!\w)\d{12,19}(?!\w)", _number),
+    ("number", r"(?<![\w.-])\d{4}[ -]\d{6}[ -]\d{5}(?![\w-])|(?<![\w.-])\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?(?![\w-])|(?<!\w)\d{12,19}(?!\w)", _number),
 )
 
 
@@ -242,7 +287,7 @@ class Pseudonyms:
             raise ValueError("pseudonyms need a key")
         self.back = back
         self.find, self.kinds = _master()
-        self.worth = re.compile(rf"[0-9@]|(?i:token|secret|passw|key|bearer)|{_PREFIX}").search
+        self.worth = re.compile(rf"[0-9@]|[A-Fa-f]{{2}}[:-][A-Fa-f]{{2}}[:-]|(?i:token|secret|passw|key|bearer)|{_PREFIX}").search
         self.feistel = {k: Feistel(key, k) for k, *_ in KINDS}
         self.memo: dict = {}
 
@@ -262,14 +307,17 @@ class Pseudonyms:
         out, spans, last, at = [], [], 0, 0
         while m := self.find.search(text, at):
             kind, _, f, g = next(k for k in self.kinds if m[k[1]] is not None)
-            new = self.value(kind, f, m[g])
-            at = m.end()
+            end = m.end(g)
+            if kind == "iban":
+                end = m.start() + _iban_end(m[g]) if not text[end : end + 1].isalnum() or " " in m[g] else m.start()
+            new = self.value(kind, f, text[m.start(g) : end]) if end > m.start() else None
+            at = end if kind == "iban" else m.end()
             if new is None:  # not valid as this kind: look again from its next character
                 at = m.start() + 1
                 continue
             out += [text[last : m.start(g)], new]
-            last = m.end(g)
-            spans.append((kind, m.start(g), m.end(g)))
+            last = end
+            spans.append((kind, m.start(g), end))
         return "".join([*out, text[last:]]), spans
 
 
@@ -280,8 +328,11 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False, spans: str | N
     """docs with ``text`` rewritten, all other columns as they are.
 
     key: the caller's secret; who has it can turn the values back, so it belongs in a secret store.
-    spans: the name of an added column array<struct<kind, start, end>> of places in the old text; None adds none.
+    spans: the name of an added column array<struct<kind, start, end>> of places in the old text, instead of one
+    that is there under that name; None adds none.
     """
+    if spans:
+        docs = docs.drop(*[F.col(f"`{c}`") for c in docs.columns if c.lower() == spans.lower()])
     at = docs.columns.index("text")
     docs = docs.withColumn("text", docs["text"].cast("string")) if dict(docs.dtypes)["text"] != "string" else docs
     schema = T.StructType([*docs.schema.fields, *([T.StructField(spans, SPANS)] if spans else [])])

@@ -2,8 +2,9 @@
 
 Two bags of words and word pairs, hashed to buckets, are modelled: the target (documents labelled
 good) and the raw text (all documents).  A document's log importance is the log ratio of the two models
-over its n-grams, the mean times their number, ``PASSAGE`` at most: a long text counts as a passage like
-its whole, else the small error of each n-gram, times thousands of them, would outweigh any evidence.  Each key is the log importance plus Gumbel noise drawn from a hash of the id; the
+over its n-grams, the mean times their number, ``passage`` at most (None: times their number).  That is the ratio of
+a passage of so many n-grams drawn from the text: n-grams of one text are not independent, and the small error of
+each, times thousands of them, would outweigh any evidence.  Each key is the log importance plus Gumbel noise drawn from a hash of the id; the
 documents with the k greatest keys are a sample without replacement in proportion to importance.
 
 k is given, or is the number of documents at least as important as a share ``RATE`` of good documents is:
@@ -64,18 +65,19 @@ def gumbel(doc_id: int | None, seed: int = SEED) -> float:
 class Model:
     """Log ratio of target and raw probability by bucket, and the good documents that it has not seen."""
 
-    def __init__(self, target: np.ndarray, raw: np.ndarray, held: frozenset = frozenset(), smooth: float = SMOOTH):
+    def __init__(self, target: np.ndarray, raw: np.ndarray, held: frozenset = frozenset(), smooth: float = SMOOTH, passage: int | None = PASSAGE):
         n = len(raw)
         p = (raw + 0.5) / (raw.sum() + 0.5 * n)
         q = (target + smooth * n * p) / (target.sum() + smooth * n) if target.sum() else p
-        self.ratio, self.held = np.log(q) - np.log(p), held
+        self.ratio, self.held, self.passage = np.log(q) - np.log(p), held, passage
 
     def importance(self, column: pa.Array) -> np.ndarray:
         """The log importance of each text of a column."""
         parts = [np.empty(0)]
         for low, high, row, bucket in ngrams(column, len(self.ratio)):
             n = np.bincount(row, minlength=high - low)
-            parts.append(np.bincount(row, self.ratio[bucket], high - low) * np.minimum(1, PASSAGE / np.maximum(1, n)))
+            whole = np.bincount(row, self.ratio[bucket], high - low)
+            parts.append(whole if self.passage is None else whole * np.minimum(1, self.passage / np.maximum(1, n)))
         return np.concatenate(parts)
 
 
@@ -88,11 +90,14 @@ def bucket_count(docs: DataFrame) -> int:
     return min(MAX_BUCKETS, max(MIN_BUCKETS, SPREAD * math.isqrt(size)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, buckets: int | None = None, smooth: float = SMOOTH) -> Model:
-    """docs(doc_id, text), labels(doc_id, quality): one pass over the documents counts both bags."""
+def fit(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, buckets: int | None = None, smooth: float = SMOOTH, passage: int | None = PASSAGE, split: int = 0) -> Model:
+    """docs(doc_id, text), labels(doc_id, quality): one pass over the documents counts both bags.
+
+    split: another number deals the good documents into other halves.
+    """
     buckets = buckets or bucket_count(docs)
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).where("doc_id is not null and q in (0, 1)")
-    good = good.groupBy("doc_id").agg(F.min("q").alias("q")).where("q = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target)
+    good = good.groupBy("doc_id").agg(F.min("q").alias("q")).where("q = 1").orderBy(F.xxhash64("doc_id", F.lit(split)) if split else F.xxhash64("doc_id"), "doc_id").limit(max_target)
     drawn = [r[0] for r in good.select("doc_id").collect()]
     target, held = frozenset(drawn[::2]), frozenset(drawn[1::2])  # they come in the order of their hashes
     if not held:
@@ -117,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, bucket
     bags = np.zeros((2, buckets))
     for k, name in enumerate(("raw", "target")):
         bags[k, counted["bucket"].to_numpy()] = counted[name].to_numpy()
-    return Model(bags[1], bags[0], held, smooth)
+    return Model(bags[1], bags[0], held, smooth, passage)
 
 
 def _keys(column_of_ids: pa.Array, importance: np.ndarray, seed: int) -> np.ndarray:
@@ -172,21 +177,21 @@ def sample_size(scored: DataFrame, rate: float = RATE) -> int:
     return scored.where(F.col("log_importance") >= F.lit(least)).count()
 
 
-def _scored(docs: DataFrame, labels: DataFrame, k: int | None, max_target: int, smooth: float, rate: float) -> tuple[Model, DataFrame, float]:
-    model = fit(docs, labels, max_target, None, smooth)
+def _scored(docs: DataFrame, labels: DataFrame, k: int | None, max_target: int, smooth: float, rate: float, passage: int | None, split: int) -> tuple[Model, DataFrame, float]:
+    model = fit(docs, labels, max_target, None, smooth, passage, split)
     scored = save(importances(docs, model), "importances")
     return model, scored, kth_greatest(scored, "key", sample_size(scored, rate) if k is None else k)
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_target: int = MAX_TARGET, smooth: float = SMOOTH, rate: float = RATE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_target: int = MAX_TARGET, smooth: float = SMOOTH, rate: float = RATE, passage: int | None = PASSAGE, split: int = 0) -> DataFrame:
     """(doc_id, log_importance, key, kept) of every document."""
-    _, scored, least = _scored(docs, labels, k, max_target, smooth, rate)
+    _, scored, least = _scored(docs, labels, k, max_target, smooth, rate, passage, split)
     return scored.select("doc_id", "log_importance", "key", (F.col("key") >= F.lit(least)).alias("kept"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_target: int = MAX_TARGET, smooth: float = SMOOTH, rate: float = RATE) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_target: int = MAX_TARGET, smooth: float = SMOOTH, rate: float = RATE, passage: int | None = PASSAGE, split: int = 0) -> DataFrame:
     """The kept documents, all columns as they are; keys are computed again beside each row, without a join."""
-    model, scored, least = _scored(docs, labels, k, max_target, smooth, rate)
+    model, scored, least = _scored(docs, labels, k, max_target, smooth, rate, passage, split)
     forget(scored)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     i, t = docs.columns.index("doc_id"), docs.columns.index("text")

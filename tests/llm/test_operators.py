@@ -490,6 +490,38 @@ def test_fold(spark):
     assert got[3] == ([("user", "")], []) and 4 not in got
 
 
+def brute_fold(rows):
+    """The final messages by a loop over the events in order."""
+    begun, dropped, now = [], set(), None
+    for op, role, t, ref in rows:
+        if op == "message":
+            begun.append([role or "", t or ""])
+            now = len(begun) - 1
+            continue
+        to = now if ref is None else ref
+        if to is None or not 0 <= to < len(begun):
+            continue
+        begun[to][1] = begun[to][1] + (t or "") if op == "delta" else t or ""
+        if op == "regenerate":
+            dropped |= set(range(to + 1, len(begun)))
+            now = to
+    return [tuple(m) for k, m in enumerate(begun) if k not in dropped]
+
+
+def test_fold_equals_a_loop(spark):
+    r = random.Random(17)
+    logs = {}
+    for c in range(200):
+        ops = r.choices(["message", "delta", "edit", "regenerate"], [4, 4, 1, 2], k=r.randrange(1, 14))
+        logs[c] = [(op, r.choice(("user", "assistant")) if op == "message" else None, r.choice(("a", "bb", None, "é")), None if op == "message" or r.random() < 0.6 else r.randrange(-1, 5)) for op in ops]
+    logs[500] = [("message", "user", "q", None), ("message", "assistant", "bad", None), ("message", "user", "later", None), ("regenerate", None, "go", 1), ("delta", None, "od", None)]
+    rows = [(c, k, *e) for c, log in logs.items() for k, e in enumerate(log)]
+    got = shown(spark, rows)
+    for c, log in logs.items():
+        assert (got[c][0] if c in got else []) == brute_fold(log), log
+    assert got[500][0] == [("user", "q"), ("assistant", "good")]
+
+
 def test_escapes_are_reversible(spark):
     r = random.Random(8)
     parts = ["<|", "|>", "\\", "<", "|", "im_end", chat.END, chat.START, "\n", "n", "é", "\U0001f600", "<\\|", " "]
@@ -625,6 +657,35 @@ def test_keys_differ():
     assert pii.Pseudonyms(b"a").apply("9807915762804490")[0] != pii.Pseudonyms(b"b").apply("9807915762804490")[0]
 
 
+@pytest.mark.parametrize(
+    ("before", "value", "after"),
+    [
+        ("pay to ", "ES9121000418450200051332", " EUR now"), ("pay to ", "ES91 2100 0418 4502 0005 1332", " EUR"), ("", "BE68 5390 0754 7034", " PAID"), ("x ", "DE89370400440532013000", ""),
+        ("NO ", "NO93 8601 1117 947", " AND MORE WORDS"), ("amex ", "3782 822463 10005", "."), ("ip ", "2001:db8:85a3::8a2e:370:7334", ", ok"), ("ip ", "FE80:0:0:0:202:B3FF:FE1E:8329", " ok"),
+        ("hw ", "00:1A:2b:3C:4d:5E", " end"), ("hw ", "aa-bb-cc-dd-ee-ff", " end"), ("password is ", "hunter22x", ", she said"), ("token is '", "abc123defg", "'"), ("api_key = ", "Zx81kkpqrs", ""),
+    ],
+)
+def test_values_are_found_whole(before, value, after):
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    new, spans = p.apply(before + value + after)
+    assert [(a, b) for _, a, b in spans] == [(len(before), len(before) + len(value))]
+    assert new.startswith(before) and new.endswith(after) and len(new) == len(before + value + after)
+    kept = sum(a == b for a, b in zip(new[len(before) :], value) if a.isalnum())
+    assert kept <= 2 + sum(map(str.isalnum, value)) // 2 and back.apply(new)[0] == before + value + after
+
+
+@pytest.mark.parametrize("t", ["ES9121000418450200051333 EUR", "at 12:30:45 or ::1", "the password is required", "std::vector 1", "AB12 FOO BAR BAZ QUX QUUX", "a:b:c 1", "token is validated", "Section 12:3:4 of it"])
+def test_prose_stays(t):
+    assert pii.Pseudonyms(b"k").apply(t) == (t, [])
+
+
+def test_spans_replace_a_column_of_that_name(spark):
+    d = docs(spark, ["call +49 30 1234567", None]).withColumn("PII_spans", F.lit("clash"))
+    rows = pii.pseudonymise(d, b"k").collect()
+    assert [r.__fields__ for r in rows] == [["doc_id", "text", "lang", "source", "n_chars", "pii_spans"]] * 2
+    assert [len(r["pii_spans"]) for r in rows] == [1, 0]
+
+
 def test_pii_awkward(spark):
     d = awkward(spark).withColumn("text", F.when(F.col("doc_id") == 7, F.concat(F.repeat(F.lit("9"), 100_000), F.repeat(F.lit("a."), 50_000))).otherwise(F.col("text")))
     got = pii.pseudonymise(d, b"k", spans=None)
@@ -680,7 +741,7 @@ def brute_leaks(texts, items):
                 equal = (item[a:b] == t[a + shift : b + shift]).astype(bool)
                 if equal.sum() >= 0.8 * least - 1e-9:
                     i, j = decontaminate.longest(equal, 0.8)
-                    if j - i >= least:
+                    if j - i >= least and (len(item) >= 5 or len(t) == len(item)):
                         found.add((d, k))
     return found
 
@@ -698,6 +759,30 @@ def test_short_items(spark):
     assert {(x["doc_id"], x["item_id"]) for x in got} == brute_leaks([t or "" for t in texts], items)
 
 
+def test_items_of_a_few_words_must_be_the_whole_text(spark):
+    items = [(1, "Yes"), (2, "Is it so?"), (3, "one two three four"), (4, "one two three four five")]
+    texts = ["yes", "Yes, it is", "is it so", "so is it so or not", "one two three four", "zero one two three four five six", "YES!", "Is it"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(docs(spark, texts), bench).collect()} == {(0, 1), (2, 2), (4, 3), (5, 4), (6, 1)}
+    left = decontaminate.without_leaks(docs(spark, texts), bench)
+    assert {r["doc_id"] for r in left.collect()} >= {1, 3, 7}
+
+
+@pytest.mark.parametrize("n", [12, 16, 25, 40])
+def test_recall_of_long_overlaps(n):
+    """Passages of n tokens of which a fifth is changed at random places."""
+    r = random.Random(n)
+    item = [f"w{r.randrange(10**9)}" for _ in range(n)]
+    block, memo, found = decontaminate.Block([(1, " ".join(item))]), decontaminate._Words(), 0
+    bitmaps = [block.bitmap(keys) for _, keys, _, _ in block.tables]
+    texts = []
+    for _ in range(1000):
+        places = set(r.sample(range(n), n // 5))
+        texts.append(" ".join(["before"] * 7 + ["other" if i in places else w for i, w in enumerate(item)] + ["after"] * 5))
+    found = len(decontaminate._overlaps(texts, block, bitmaps, memo, 12, 0.8))
+    assert found >= 990
+
+
 def test_longest_stretch():
     r = random.Random(13)
     for _ in range(300):
