@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 #: Fixed order of usage labels.
 USAGE_ORDINAL = {"never": 0, "rare": 1, "low": 2, "medium": 3, "high": 4}
 
@@ -29,10 +31,9 @@ def evaluate_sensitivity(predictions: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """1-based rank of ``value``, ties averaged; running totals over the distinct values."""
-    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    before = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select("_v", (F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2).alias(out))
+    """1-based rank of ``value``, ties averaged; totals run over the distinct values."""
+    counts = running(rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "_v", "_c")
+    ranked = counts.select("_v", (F.col("_before") + (F.col("_c") + 1) / 2).alias(out))
     return rows.join(ranked, rows[value].eqNullSafe(ranked["_v"])).drop("_v")
 
 
@@ -47,8 +48,7 @@ def log_bands(counts: DataFrame) -> DataFrame:
     """counts(reads, writes) -> (weighted, band): never, else the quartile of reads + 0.2 writes among those in use."""
     c = counts.withColumn("weighted", F.col("reads") + 0.2 * F.col("writes"))
     totals = c.where("weighted > 0").groupBy("weighted").agg(F.count("*").alias("_c"))
-    upto = Window.orderBy("weighted").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = totals.select("weighted", (F.sum("_c").over(upto) / F.sum("_c").over(Window.partitionBy())).alias("_share"))
+    share = running(totals, "weighted", "_c").select("weighted", ((F.col("_before") + F.col("_c")) / F.col("_total")).alias("_share"))
     band = F.when(F.col("_share").isNull(), "never").when(F.col("_share") <= 0.25, "rare").when(F.col("_share") <= 0.50, "low").when(F.col("_share") <= 0.75, "medium").otherwise("high")
     return c.join(share, "weighted", "left").withColumn("band", band).drop("_share")
 

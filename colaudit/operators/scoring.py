@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import places
+from .ranks import positions
 
 #: Fixed order of the report.
 VERDICTS = ["flag_for_deletion", "review", "keep", "not_a_risk"]
@@ -72,10 +73,9 @@ def score_all(s: DataFrame, u: DataFrame, r: DataFrame, t: Thresholds = Threshol
         part("usage", t.unused, "is_unused", 1 - F.col("usage")).alias("usage"), part("retention", t.stale, "is_stale", F.col("retention")).alias("staleness"), F.col("score").alias("product"),
     )
     g = g.select("*", breakdown.alias("breakdown"), _reasons(t).alias("reasons"), F.struct(F.col("s").alias("sensitivity"), F.col("u").alias("usage"), F.col("r").alias("retention")).alias("evidence"))
-    # one row per column of the target: a small relation by nature, ranked as a whole
-    rank = F.row_number().over(Window.orderBy(verdict_order(F.col("verdict")), F.desc("score"), "qualified_name"))
+    g = positions(g, verdict_order(F.col("verdict")), F.desc("score"), F.col("qualified_name"))
     return g.select(
-        rank.alias("rank"), "qualified_name", F.regexp_extract("qualified_name", r"\A(.*)\.", 1).alias("table"), F.substring_index("qualified_name", ".", -1).alias("column"), "score", "is_flagged", "verdict",
+        "rank", "qualified_name", F.regexp_extract("qualified_name", r"\A(.*)\.", 1).alias("table"), F.substring_index("qualified_name", ".", -1).alias("column"), "score", "is_flagged", "verdict",
         "sensitivity", "usage", "retention", "is_sensitive", "is_unused", "is_stale", "breakdown", "reasons", "evidence",
     ).orderBy("rank")
 

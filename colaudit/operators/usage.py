@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import places
 from . import lineage as ln
+from .ranks import running
 
 #: Fixed values of the score.
 WRITE_WEIGHT, RANK_WEIGHT, ABS_REFERENCE, RECENCY_FLOOR = 0.25, 0.55, 400.0, 0.50
@@ -76,29 +77,32 @@ def accumulate(t: DataFrame, keys: tuple[str, ...] = ("qualified_name",)) -> Dat
     """
     n, first = (F.col("n"), F.col("ts_first")) if "ts_first" in t.columns else (F.lit(1), F.col("ts"))
     times = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
-    by_service = t.where("service <> ''").groupBy(*keys, "service").agg(F.sum(n).alias("n"))
-    services = by_service.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "service"))).alias("s"))
-    services = services.select(*keys, F.map_from_entries(F.transform("s", lambda x: F.struct(x["service"], -x["n"]))).alias("access_by_service"))
-    main = t.groupBy(*keys).agg(
+    # one pass: by service first, then over the services; days add up as a set
+    by_service = t.groupBy(*keys, "service").agg(
         times(~F.col("is_write")).alias("read_count"), times(F.col("is_write")).alias("write_count"),
         F.max(F.when(~F.col("is_write"), F.col("ts"))).alias("last_read_at"), F.max(F.when(F.col("is_write"), F.col("ts"))).alias("last_write_at"),
-        F.min(first).alias("first_access_at"), F.max("ts").alias("last_access_at"), F.count_distinct(F.to_date("ts")).alias("distinct_days"),
-        F.array_sort(F.collect_set(F.when(F.col("template") != "", F.col("template")))).alias("query_templates"),
+        F.min(first).alias("first_access_at"), F.max("ts").alias("last_access_at"), F.collect_set(F.to_date("ts")).alias("days"),
+        F.collect_set(F.when(F.col("template") != "", F.col("template"))).alias("templates"),
         times(F.col("attribution") == "parsed").alias("from_sql"), times(F.col("attribution") == "declared").alias("from_declared"),
     )
-    return main.join(services, list(keys), "left")
+    total, latest = lambda c: F.sum(c).alias(c), lambda c: F.max(c).alias(c)
+    found = by_service.groupBy(*keys).agg(
+        total("read_count"), total("write_count"), latest("last_read_at"), latest("last_write_at"), F.min("first_access_at").alias("first_access_at"), latest("last_access_at"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("days")))).cast("long").alias("distinct_days"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("templates")))).alias("query_templates"), total("from_sql"), total("from_declared"),
+        F.array_sort(F.collect_list(F.when(F.col("service") != "", F.struct((-F.col("read_count") - F.col("write_count")).alias("n"), "service")))).alias("s"),
+    )
+    services = F.map_from_entries(F.transform("s", lambda x: F.struct(x["service"], -x["n"])))
+    return found.withColumn("access_by_service", F.when(F.size("s") > 0, services)).drop("s")
 
 
 def rank_fraction(rows: DataFrame, value: str, out: str = "rank_fraction") -> DataFrame:
     """Mid-rank of ``value`` over (n - 1) among all rows; of a single row 1 if positive, else 0.
 
-    Equal values are counted first and running totals are taken over the distinct values, so
-    the single-partition window sees one row per distinct value, not per row.
+    Equal values are counted first and totals run over the distinct values, slice by slice.
     """
     counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    before = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    ranked = counts.select("_v", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_lo"), F.sum("_c").over(whole).alias("_n"))
+    ranked = running(counts, "_v", "_c", "_lo", "_n")
     mid = (F.col("_lo") * 2 + F.col("_c")) / 2 / F.nullif(F.col("_n") - 1, F.lit(0))
     ranked = ranked.select("_v", F.coalesce(mid, F.when(F.col("_v") > 0, 1.0).otherwise(0.0)).alias(out))
     return rows.join(ranked, rows[value].eqNullSafe(ranked["_v"]), "left").drop("_v")
@@ -125,12 +129,12 @@ def analyze(log: DataFrame, columns: DataFrame | None = None, window_days: int =
     """The usage relation U: every known column and every column the log names."""
     recent = attribute(compact(in_window(log, window_days, now)), columns, mode)
     acc = accumulate(touches(recent))
-    clock = recent.agg(F.max("_now")).first()[0] if now is None else now
+    clock = log.agg(F.max("ts")).scalar() if now is None else F.lit(now)
     if columns is not None:
         acc = columns.select("qualified_name").join(acc, "qualified_name", "full_outer")
     zero = ["read_count", "write_count", "distinct_days", "from_sql", "from_declared"]
     acc = acc.fillna(0, zero)
-    out = score(acc, half_life_days or window_days / 3, F.lit(clock))
+    out = score(acc, half_life_days or window_days / 3, clock)
     how = F.when((F.col("from_sql") > 0) & (F.col("from_declared") > 0), "hybrid").when(F.col("from_sql") > 0, "parsed").when(F.col("from_declared") > 0, "declared").otherwise("none")
     return out.select(
         "qualified_name", F.regexp_extract("qualified_name", r"\A(.*)\.", 1).alias("table"), F.substring_index("qualified_name", ".", -1).alias("column"), "score", "is_used", "tier", "read_count", "write_count",

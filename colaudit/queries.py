@@ -8,7 +8,6 @@ with the tables.  Fractions are rounded to six places on both sides.
 from __future__ import annotations
 
 import datetime
-import tempfile
 import uuid
 from functools import reduce
 
@@ -18,9 +17,10 @@ from pyspark.sql import types as T
 
 from .functions.rules import EMBEDDED_RULES, HARMLESS_RULES, NAME_RULES, SIGNATURES, VALUE_RULES
 from .functions.text import entropy, found_in, normalize_name, places
-from .operators import evaluation, features, guard, history, lineage, policy_text, remediation, retention, scoring, sensitivity, usage
+from .operators import evaluation, features, guard, history, lineage, policy_text, ranks, remediation, retention, scoring, sensitivity, usage
 from .operators.ml import TIERS
 from .schemas import COLUMNS
+from .scratch import shared_dir
 from .sources import catalog, querylog
 from .sources.policy import RetentionPolicy
 from .streaming import usage as stream
@@ -47,14 +47,6 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where all run on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (found or "file://" + tempfile.mkdtemp(prefix="colaudit-")).rstrip("/")
-
-
 def _r(c, name: str | None = None):
     return F.round(c, 6).alias(name or (c if isinstance(c, str) else ""))
 
@@ -93,8 +85,8 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _usage(spark: SparkSession, d: str) -> DataFrame:
-    clock = _t(spark, d, "events").agg(F.max("ts")).first()[0]
-    return usage.score(_counts(spark, d), 14 / 3, F.lit(clock).cast("timestamp_ntz"))
+    clock = _t(spark, d, "events").agg(F.max("ts")).scalar()
+    return usage.score(_counts(spark, d), 14 / 3, clock)
 
 
 @query(f"WITH {_LOG} SELECT entity, count(*) FILTER (NOT is_write) AS read_count, count(*) FILTER (is_write) AS write_count, max(ts) FILTER (NOT is_write) AS last_read_at, max(ts) FILTER (is_write) AS last_write_at, min(ts) AS first_access_at, count(DISTINCT ts::DATE) AS distinct_days FROM recent GROUP BY entity")
@@ -156,7 +148,7 @@ def usage_rollup(spark, d):
 
 @query(f"SELECT user_id AS entity, ts::DATE AS day, count(*) FILTER (NOT {_W}) AS read_count, count(*) FILTER ({_W}) AS write_count, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY ALL")
 def usage_stream_partials(spark, d):
-    path = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = _t(spark, d, "events")
     source = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
     rows = source.select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").isin("purchase", "signup").alias("is_write"))
@@ -454,9 +446,8 @@ def score_full_outer(spark, d):
 
 @query(f"{_N} SELECT entity, verdict, score, row_number() OVER (PARTITION BY verdict ORDER BY score DESC, entity) AS place FROM n")
 def score_verdict_rank(spark, d):
-    # many entities: ranked within their verdict
-    place = F.row_number().over(Window.partitionBy("verdict").orderBy(F.desc("score"), "entity"))
-    return _necessity(spark, d).select("entity", "verdict", "score", place.cast("long").alias("place"))
+    rows = _necessity(spark, d).select("entity", "verdict", "score")
+    return ranks.positions(rows, F.col("verdict"), F.desc("score"), F.col("entity"), out="place", within="verdict").select("entity", "verdict", "score", "place")
 
 
 @query(f"{_N} SELECT v AS verdict, count(n.entity) AS n FROM (VALUES ('flag_for_deletion'), ('review'), ('keep'), ('not_a_risk')) t(v) LEFT JOIN n ON verdict = v GROUP BY v")
@@ -681,7 +672,7 @@ def _log_file(spark: SparkSession, d: str, kind: str) -> str:
     lists = ["declared_reads", "declared_writes"]
     log = _log(spark, d).withColumns({"ts": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "rows": F.col("rows").cast("string"), "operation": F.lit("select")})
     log = log.withColumnsRenamed(dict(zip(lists, ("columns_read", "columns_written"))))
-    path = f"{_scratch(spark)}/log-{uuid.uuid4().hex}.{kind}"
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}.{kind}"
     if kind == "csv":
         log.withColumns({c: F.array_join(c, "|") for c in ("columns_read", "columns_written")}).write.option("header", True).option("escape", '"').csv(path)
     else:
