@@ -11,9 +11,9 @@ those of its next tree.  Classes that share the first ``LEAST`` values of a labe
    region, and the row that agrees most with all others of the region (its centre).  Each row keeps its best neighbour
    and its best centre by the estimate of all values: at most two links a class are confirmed from the texts.
 3. Regions whose rows are then all in one component are done.  In the others every row that is not in the region's
-   largest component is compared with all rows of other components, in tiles; what the estimate lets pass is
-   confirmed, and the components are made again.  So no pair that shares a region is lost, however crowded it is,
-   and a group of copies is not compared pair by pair.
+   largest component is compared with all rows of other components, in tiles, by the estimate; pairs of tiles with
+   candidates are joined with their tiles' full sets and confirmed where they meet, and the components are made again.
+   So no pair that shares a region is lost, however crowded it is, and no candidate pair is written as a row.
 
 Two sets with a Jaccard similarity of 0.85 share no region of 28 trees with probability (1 - 0.85**5)**28 = 7e-8, and
 are put aside by the estimate (five standard deviations) with 2e-7 at most.  Step 3 is quadratic only in rows that are
@@ -44,7 +44,7 @@ SHINGLE, PERCENT = 5, 85
 TREES, LEAST, DEPTH = 28, 5, 8
 NEAR = 32  # neighbours to either side in a crowded region
 SPREAD = 5.0  # standard deviations that an estimate may lie below the threshold
-TILE = 256  # rows of a tile in step 3
+TILE, TILE_HASHES = 256, 1 << 20  # rows of a tile in step 3, and shingle hashes that it may have (8 MB) beyond one row's
 BROADCAST = 500_000  # rows of (row id, class) that may be broadcast: 8 MB
 _FACTOR = 0xC2B2AE3D27D4EB4F
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -246,19 +246,26 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u <> v").distinct()
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, repeated: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (u, v) of classes whose full sets have the given percentage of their union in common.
+def _texts(nodes: DataFrame, classes: DataFrame, repeated: DataFrame, docs: DataFrame) -> DataFrame:
+    """nodes(node), distinct -> (node, text): a text of each class.
 
-    repeated(row): row ids that stand at more than one row.
+    repeated(row): row ids that stand at more than one row.  Such an id may bring texts of other classes too.
     """
-    uses = save(pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("c")), "uses")
-    needed = save(uses.join(classes.select("node", "row"), "node").join(repeated.withColumn("again", F.lit(True)), "row", "left").select("row", "node", "again"), "needed")
+    needed = save(nodes.join(classes.select("node", "row"), "node").join(repeated.withColumn("again", F.lit(True)), "row", "left").select("row", "node", "again"), "needed")
     small, source = needed.count() <= BROADCAST, _source(docs).select("row", "text")
     read = lambda rows: source.join(F.broadcast(rows) if small else rows, "row").select("node", "text")
     texts = read(needed.where("again is null"))
-    if needed.where("again").limit(1).count():  # an id may stand at several texts: the set's name says below which is meant
+    if needed.where("again").limit(1).count():
         texts = texts.unionAll(read(needed.where("again")).distinct())
     texts = save(texts, "texts")
+    forget(needed)
+    return texts
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, repeated: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """The pairs (u, v) of classes whose full sets have the given percentage of their union in common."""
+    uses = save(pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("c")), "uses")
+    texts = _texts(uses.select("node"), classes, repeated, docs)
     # the text that more pairs name is on the right, in one copy for 256 pairs
     of = lambda x: uses.select(F.col("node").alias(x), F.col("c").alias(f"c{x}"))
     copies = F.floor(F.greatest("cu", "cv") / 256).cast("int")
@@ -291,16 +298,33 @@ def confirm(pairs: DataFrame, classes: DataFrame, repeated: DataFrame, docs: Dat
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     done = save(_pairs(both.mapInArrow(run, "x long, y long")), "confirmed", {"spark.sql.execution.arrow.maxRecordsPerBatch": "128"})
-    forget(uses, needed, texts)
+    forget(uses, texts)
     return done
 
 
-def remaining(rows: DataFrame, parts: DataFrame, classes: DataFrame, floor: int, percent: int = PERCENT, least: int = LEAST, values: int = TREES * LEAST, tile: int = TILE) -> DataFrame:
-    """Pairs (x, y) that share a region, lie in different components and pass the estimate."""
+def similar(sets: dict[int, np.ndarray], us: np.ndarray, vs: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of sets have the given percentage of their union in common."""
+    out = np.zeros(len(us), bool)
+    order = np.argsort(us, kind="stable")
+    cuts = np.flatnonzero(np.diff(us[order])) + 1
+    for at in np.split(order, cuts):
+        own = sets[int(us[at[0]])]
+        for low in range(0, len(at), 1024):
+            part = at[low : low + 1024]
+            others = [sets[int(v)] for v in vs[part]]
+            size = np.array([len(x) for x in others])
+            flat = np.concatenate(others)
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            common = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(size) - size)
+            out[part] = 100 * common >= percent * (len(own) + size - common)
+    return out
+
+
+def remaining(rows: DataFrame, parts: DataFrame, classes: DataFrame, repeated: DataFrame, docs: DataFrame, floor: int, percent: int = PERCENT, shingle: int = SHINGLE, trees: int = TREES, least: int = LEAST, tile: int = TILE) -> DataFrame:
+    """Links (u, v) between classes that share a region and lie in different components, confirmed on full sets."""
+    values, shift = trees * least, 8 * (8 - least)
     part = parts.withColumnRenamed("component", "c")
-    shift = 8 * (8 - least)
-    placed = rows.join(part, "node", "left").select("tree", F.shiftright("label", shift).alias("pre"), "node", F.coalesce("c", "node").alias("c"))
-    placed = save(placed, "placed")
+    placed = save(rows.join(part, "node", "left").select("tree", F.shiftright("label", shift).alias("pre"), "node", F.coalesce("c", "node").alias("c")), "placed")
     region = ["tree", "pre"]
     sizes = placed.groupBy(*region, "c").agg(F.count("*").alias("k"))
     # regions of more than one component, with their largest
@@ -312,14 +336,16 @@ def remaining(rows: DataFrame, parts: DataFrame, classes: DataFrame, floor: int,
     def pack(batches):
         begin, k = TaskContext.get().partitionId() << 40, 0
         for b in batches:
-            tree, pre, main = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            edge = np.flatnonzero((tree[1:] != tree[:-1]) | (pre[1:] != pre[:-1]) | (main[1:] != main[:-1])) + 1
-            runs = [0, *edge.tolist(), b.num_rows]
-            cut = [x for low, high in zip(runs, runs[1:]) for x in range(low, high, tile)] + [b.num_rows]
-            cols = [np.asarray(b.column(i)) for i in (3, 4, 5)]
+            tree, pre, main, node, comp, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             sig = _matrix(b.column(6), values)
-            data = [[c[x:y].tobytes() for x, y in zip(cut, cut[1:])] for c in (*cols, sig)]
-            at = cut[:-1]
+            edge = np.flatnonzero((tree[1:] != tree[:-1]) | (pre[1:] != pre[:-1]) | (main[1:] != main[:-1])) + 1
+            at = []
+            for low, high in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows]):
+                while low < high:
+                    at.append(low)
+                    fit = int(np.searchsorted(np.cumsum(n[low : low + tile]), TILE_HASHES, "right"))
+                    low = min(high, low + max(1, min(tile, fit)))
+            data = [[c[x:y].tobytes() for x, y in zip(at, [*at[1:], b.num_rows])] for c in (node, comp, n, sig)]
             ids = np.arange(k, k + len(at)) + begin
             k += len(at)
             yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (tree, pre, main)] + [pa.array(ids)] + [pa.array(d, pa.binary()) for d in data], ["tree", "pre", "is_main", "tile", "nodes", "comps", "ns", "sigs"])
@@ -329,27 +355,73 @@ def remaining(rows: DataFrame, parts: DataFrame, classes: DataFrame, floor: int,
     data = ("tile", "nodes", "comps", "ns", "sigs")
     a = tiles.where("not is_main").select(*region, *[F.col(c).alias(f"{c}_a") for c in data])
     b = tiles.select(*region, "is_main", *[F.col(c).alias(f"{c}_b") for c in data])
-    both = a.join(b, region).where("is_main or tile_a <= tile_b").select(*[f"{c}_{s}" for s in "ab" for c in data[1:]])
+    both = a.join(b, region).where("is_main or tile_a <= tile_b").select("tree", *[f"{c}_{s}" for s in "ab" for c in data])
 
-    def run(batches):
+    def estimate(batches):
+        """Candidates of each pair of tiles, in one row; a pair of rows counts in the first tree whose region they share."""
         for batch in batches:
-            us, vs = [], []
+            out = []
             for r in batch.to_pylist():
                 u, ca, na = (np.frombuffer(r[f"{c}_a"], np.int64) for c in data[1:4])
                 v, cb, nb = (np.frombuffer(r[f"{c}_b"], np.int64) for c in data[1:4])
                 sa, sb = (np.frombuffer(r[f"sigs_{s}"], np.uint8).reshape(-1, values) for s in "ab")
                 fit = (ca[:, None] != cb[None]) & (100 * np.minimum(na[:, None], nb[None]) >= percent * np.maximum(na[:, None], nb[None]))
+                if r["tile_a"] == r["tile_b"]:
+                    fit = np.triu(fit, 1)
                 i, j = np.nonzero(fit)
-                for low in range(0, len(i), 1 << 15):
-                    x, y = i[low : low + (1 << 15)], j[low : low + (1 << 15)]
-                    ok = np.count_nonzero(sa[x] == sb[y], axis=1) >= floor
-                    us.append(u[x[ok]])
-                    vs.append(v[y[ok]])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (us, vs)], ["x", "y"])
-
-    out = save(_pairs(both.mapInArrow(run, "x long, y long")), "remaining", {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"})
-    forget(placed, tiles)
+                found = []
+                for low in range(0, len(i), 1 << 14):
+                    x, y = i[low : low + (1 << 14)], j[low : low + (1 << 14)]
+                    same = sa[x] == sb[y]
+                    ok = np.flatnonzero(np.count_nonzero(same, axis=1) >= floor)
+                    first = same[ok].reshape(-1, trees, least).all(2).argmax(1) == r["tree"]
+                    found.append((x[ok[first]], y[ok[first]]))
+                if found:
+                    x, y = (np.concatenate(z) for z in zip(*found))
+                    if len(x):
+                        out.append((r["tile_a"], r["tile_b"], u[x].tobytes(), v[y].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["tile_a", "tile_b", "us", "vs"])
+
+    few = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
+    hits = save(both.mapInArrow(estimate, "tile_a long, tile_b long, us binary, vs binary"), "candidates", few)
+
+    def unpack(batches):
+        for b in batches:
+            nodes = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), [len(x) for x in nodes])), pa.array(np.concatenate(nodes))], ["tile", "node"])
+
+    named = hits.select(F.explode(F.array("tile_a", "tile_b")).alias("tile")).distinct()
+    members = save(tiles.join(named, "tile").select("tile", "nodes").mapInArrow(unpack, "tile long, node long"), "members")
+    texts = _texts(members.select("node").distinct(), classes, repeated, docs)
+
+    def hashed(batches):
+        shingler = Shingler(shingle)
+        for b in batches:
+            for low, high, text, h in shingler.sets(b.column(1)):
+                full, starts, _ = _starts(text, high - low)
+                own = np.zeros(high - low, np.uint64)
+                own[full] = names(h, starts)
+                node = np.asarray(b.column(0))[low:high]
+                cut = np.searchsorted(text, np.arange(high - low + 1))
+                keep = np.flatnonzero(own.view(np.int64) == node)
+                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array([h[cut[k] : cut[k + 1]].tobytes() for k in keep], pa.binary())], ["node", "hashes"])
+
+    sets = texts.mapInArrow(hashed, "node long, hashes binary")
+    full = save(members.join(sets, "node").groupBy("tile").agg(F.collect_list(F.struct("node", "hashes")).alias("sets")), "sets")  # a tile is bounded
+    of = lambda x: full.select(F.col("tile").alias(f"tile_{x}"), F.col("sets").alias(f"sets_{x}"))
+    met = hits.join(of("a"), "tile_a").join(of("b"), "tile_b").select("us", "vs", "sets_a", "sets_b")
+
+    def verify(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                known = {x["node"]: np.frombuffer(x["hashes"], np.uint64) for s in "ab" for x in r[f"sets_{s}"]}
+                us, vs = (np.frombuffer(r[c], np.int64) for c in ("us", "vs"))
+                ok = similar(known, us, vs, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(us[ok]), pa.array(vs[ok])], ["x", "y"])
+
+    out = save(_pairs(met.mapInArrow(verify, "x long, y long")), "remaining", {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"})
+    forget(placed, tiles, hits, members, texts, full)
     return out
 
 
@@ -368,16 +440,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     repeated = save(rows.groupBy("row").agg(F.count("*").alias("k")).where("k > 1").select("row"), "repeated")
     links = confirm(first, classes, repeated, docs, percent, shingle)
     parts = connected_components(links)
-    rest = remaining(crowded, parts, classes, floor, percent, least, values, tile).join(first, ["u", "v"], "left_anti")
-    rest = save(rest, "rest")
-    more = confirm(rest, classes, repeated, docs, percent, shingle)
+    more = remaining(crowded, parts, classes, repeated, docs, floor, percent, shingle, trees, least, tile)
     forget(parts)
     parts = connected_components(links.unionAll(more))
     named = classes.join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     # a component may have very many classes: its name is joined back, no list of them is built
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = save(named.join(ids, "component").select("node", "component_id"), "names")
-    forget(classes, crowded, found, first, repeated, links, rest, more, parts)
+    forget(classes, crowded, found, first, repeated, links, more, parts)
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = rows.select("doc_id", "n", "node").join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
