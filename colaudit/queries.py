@@ -20,7 +20,7 @@ from .functions.text import entropy, found_in, normalize_name, places
 from .operators import evaluation, features, guard, history, lineage, policy_text, ranks, remediation, retention, scoring, sensitivity, usage
 from .operators.ml import TIERS
 from .schemas import COLUMNS
-from .scratch import shared_dir
+from .scratch import keep, shared_dir
 from .sources import catalog, querylog
 from .sources.policy import RetentionPolicy
 from .streaming import usage as stream
@@ -157,6 +157,35 @@ def usage_stream_partials(spark, d):
     return out.select("entity", "day", "read_count", "write_count", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_at", "last_at")])
 
 
+def _replayed(spark: SparkSession, d: str, batches: int = 5) -> str:
+    """The events in files that a stream takes one by one: dealt by a hash, so most rows of a file are late by days or weeks."""
+    path = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    rows = _t(spark, d, "events").select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").isin("purchase", "signup").alias("is_write"), F.pmod(F.xxhash64("event_id"), F.lit(batches)).alias("part"))
+    rows.repartition(batches, "part").drop("part").write.parquet(path)
+    return path
+
+
+_STATES = f"SELECT user_id AS entity, count(*) FILTER (NOT {_W}) AS read_count, count(*) FILTER ({_W}) AS write_count, min(ts) AS first_access_at, max(ts) AS last_access_at, count(DISTINCT ts::DATE) AS distinct_days FROM events GROUP BY 1"
+
+
+@query(_STATES)
+def usage_stream_late(spark, d):
+    """State over several micro-batches whose rows come in no order equals the batch result."""
+    source, path = _replayed(spark, d), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema("entity long, ts timestamp, is_write boolean").option("maxFilesPerTrigger", 1).parquet(source)
+    stream.run_states(rows, f"{path}/out", f"{path}/state", "entity")
+    out = stream.merge_states(stream.read_states(spark, f"{path}/out", "entity"), "entity")
+    return out.select("entity", "read_count", "write_count", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_access_at", "last_access_at")], "distinct_days")
+
+
+@query("SELECT user_id AS entity, max(ts) AS last_access_at, count(DISTINCT ts::DATE) AS distinct_days FROM events WHERE ts::DATE > (SELECT max(ts)::DATE - 20 FROM events) GROUP BY 1")
+def usage_window_days(spark, d):
+    """Distinct days of a window from masks of blocks."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("entity"), "ts", F.col("event_type").isin("purchase", "signup").alias("is_write"))
+    until = e.agg(F.max(F.to_date("ts"))).scalar()
+    return stream.merge_states(stream.block_states(e, "entity"), "entity", 20, until).select("entity", "last_access_at", "distinct_days")
+
+
 # --- retention -----------------------------------------------------------------------------------
 
 
@@ -464,8 +493,21 @@ _CLOCKS = [datetime.datetime(1998, 1, 1), datetime.datetime(2000, 1, 1), NOW]
 _RUNS = [_n_sql(1500, f"TIMESTAMP '{c:%Y-%m-%d}'", p) for c, p in zip(_CLOCKS, ("x", "y", "z"))]
 
 
-def _run(spark: SparkSession, d: str, i: int) -> DataFrame:
-    return _necessity(spark, d, 1500, _CLOCKS[i]).withColumnRenamed("entity", "qualified_name").withColumn("run_id", F.lit(i)).withColumn("finished_at", F.lit(_CLOCKS[i]).cast("timestamp_ntz"))
+def _runs(spark: SparkSession, d: str, which: tuple[int, ...]) -> DataFrame:
+    """Runs of several clocks in one pass: one scan of each table, one count of late rows for each cut-off.
+
+    Sensitivity and usage are the same in all; the staleness of a run is an element of an array by clock.
+    """
+    clocks = [F.lit(_CLOCKS[i]).cast("timestamp_ntz") for i in which]
+    late = [F.count_if(F.col("o_orderdate") < c - F.make_dt_interval(F.lit(1500))) for c in clocks]
+    g = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.min("o_orderdate").alias("oldest"), F.count("*").alias("n"), F.array(*late).alias("late"))
+    score = lambda k, c: retention.blend(retention.age_score(retention.age_days(F.col("oldest"), c), F.lit(1500)), places(F.col("late")[k] / F.col("n")))
+    r = g.select("entity", F.array(*[F.struct(F.lit(i).alias("run_id"), score(k, c).alias("retention"), c.alias("finished_at")) for k, (i, c) in enumerate(zip(which, clocks))]).alias("score"))
+    s, u, _ = _signals(spark, d)
+    j = s.withColumnRenamed("score", "sensitivity").join(u.select("entity", F.col("score").alias("usage")), "entity", "full_outer").join(r, "entity", "full_outer")
+    none = F.array(*[F.struct(F.lit(i).alias("run_id"), F.lit(0.0).alias("retention"), c.alias("finished_at")) for i, c in zip(which, clocks)])
+    x = j.select(F.col("entity").alias("qualified_name"), F.coalesce("sensitivity", F.lit(0.0)).alias("sensitivity"), F.coalesce("usage", F.lit(0.0)).alias("usage"), F.inline(F.coalesce("score", none)))
+    return scoring.gate(x)
 
 
 _DIFF = f"""WITH {_SENS},\n{_RUNS[0]},\n{_RUNS[2]},
@@ -478,19 +520,18 @@ SELECT entity, change, verdict, verdict_was, score, round(score - bs, 4) AS scor
  SELECT *, 'newly_flagged' AS change FROM k WHERE now_flagged AND NOT was UNION ALL SELECT *, 'no_longer_flagged' FROM k WHERE was AND NOT now_flagged
  UNION ALL SELECT *, 'verdict_changed' FROM k WHERE both_there AND verdict <> verdict_was UNION ALL SELECT *, 'score_moved' FROM k WHERE both_there AND abs(score - bs) >= 0.05 - 5e-5)""")
 def history_diff(spark, d):
-    out = history.diff(_run(spark, d, 0), _run(spark, d, 2))
-    return out.withColumnRenamed("qualified_name", "entity")
+    return history.changes(_runs(spark, d, (0, 2)), 0, 2).withColumnRenamed("qualified_name", "entity")
 
 
 @query(f"{_DIFF} SELECT entity, score, round(score - bs, 4) AS score_delta FROM k WHERE both_there AND abs(score - bs) >= 0.05 - 5e-5 ORDER BY abs(round(score - bs, 4)) DESC, entity::VARCHAR LIMIT 25")
 def history_most_moved(spark, d):
-    runs = [_run(spark, d, i).withColumn("qualified_name", F.col("qualified_name").cast("string")) for i in (0, 2)]
-    return history.most_moved(history.diff(*runs)).limit(25).select(F.col("qualified_name").cast("long").alias("entity"), "score", "score_delta")
+    runs = _runs(spark, d, (0, 2)).withColumn("qualified_name", F.col("qualified_name").cast("string"))
+    return history.most_moved(history.changes(runs, 0, 2)).limit(25).select(F.col("qualified_name").cast("long").alias("entity"), "score", "score_delta")
 
 
 @query(f"{_DIFF} SELECT entity FROM k WHERE now_flagged AND NOT was")
 def history_newly_flagged_anti(spark, d):
-    flagged = [_run(spark, d, i).where("is_flagged").select(F.col("qualified_name").alias("entity")) for i in (0, 2)]
+    flagged = [_runs(spark, d, (i,)).where("is_flagged").select(F.col("qualified_name").alias("entity")) for i in (0, 2)]
     return flagged[1].join(flagged[0], "entity", "left_anti")
 
 
@@ -498,14 +539,43 @@ def history_newly_flagged_anti(spark, d):
 h AS (SELECT *, 0 AS run_id FROM xn UNION ALL SELECT *, 1 FROM yn UNION ALL SELECT *, 2 FROM zn)
 SELECT entity, run_id, score, verdict, round(score - lag(score) OVER (PARTITION BY entity ORDER BY run_id), 4) AS score_delta FROM h""")
 def history_trend(spark, d):
-    rows = reduce(DataFrame.unionAll, [_run(spark, d, i) for i in range(3)])
-    return history.trend(rows).select(F.col("qualified_name").alias("entity"), "run_id", "score", "verdict", "score_delta")
+    return history.trend(_runs(spark, d, (0, 1, 2))).select(F.col("qualified_name").alias("entity"), "run_id", "score", "verdict", "score_delta")
+
+
+_RECORDED = f"""WITH {_SENS},\n{_RUNS[0]},\n{_RUNS[2]}, h AS (SELECT *, 'first' AS note FROM xn UNION ALL SELECT *, 'last' FROM zn)"""
+
+
+def _history(spark: SparkSession, d: str) -> history.History:
+    """Two runs, recorded."""
+    h, rows = history.History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"), keep(_runs(spark, d, (0, 2)), "runs")
+    for i, note in ((0, "first"), (2, "last")):
+        run = rows.where(F.col("run_id") == i).drop("run_id", "finished_at").withColumn("qualified_name", F.col("qualified_name").cast("string"))
+        h.record(run, started_at=_CLOCKS[i], finished_at=_CLOCKS[i] + datetime.timedelta(seconds=90), note=note)
+    return h
+
+
+@query(f"""{_RECORDED} SELECT note, verdict, count(*) AS n, count(*) FILTER (is_flagged) AS n_flagged_here, (SELECT count(*) FROM h b WHERE b.note = h.note) AS n_columns, (SELECT count(*) FROM h b WHERE b.note = h.note AND is_flagged) AS n_flagged,
+ 90.0::DOUBLE AS duration_seconds, round(sum(score), 4) AS total FROM h GROUP BY note, verdict""")
+def history_recorded(spark, d):
+    h = _history(spark, d)
+    runs = h.runs().select(F.col("id").alias("run_id"), "note", "n_columns", "n_flagged", "duration_seconds", F.explode("verdict_counts").alias("verdict", "said"))
+    rows = h.all_findings().join(F.broadcast(runs), ["run_id", "verdict"])
+    found = rows.groupBy("note", "verdict", "n_columns", "n_flagged", "duration_seconds", "said").agg(F.count("*").alias("n"), F.count_if("is_flagged").alias("n_flagged_here"), F.round(F.sum("score"), 4).alias("total"))
+    return found.where("said = n").drop("said")
+
+
+@query(f"""{_RECORDED}, k AS (SELECT a.entity, a.score AS was, b.score AS score, a.is_flagged AS f0, b.is_flagged AS f1, a.verdict AS v0, b.verdict AS v1 FROM xn a JOIN zn b USING (entity))
+SELECT change, count(*) AS n FROM (SELECT 'newly_flagged' AS change FROM k WHERE f1 AND NOT f0 UNION ALL SELECT 'no_longer_flagged' FROM k WHERE f0 AND NOT f1 UNION ALL SELECT 'verdict_changed' FROM k WHERE v0 <> v1 UNION ALL SELECT 'score_moved' FROM k WHERE abs(score - was) >= 0.05 - 5e-5) GROUP BY 1""")
+def history_recorded_diff(spark, d):
+    h = _history(spark, d)
+    newest, oldest = [r["id"] for r in h.list_runs().collect()]
+    return h.diff(oldest, newest).groupBy("change").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_SENS},\n{_RUNS[0]},\n{_RUNS[1]}, h AS (SELECT *, 0 AS run_id FROM xn UNION ALL SELECT *, 1 FROM yn)
 SELECT entity, arg_max(verdict, run_id) AS verdict, arg_max(score, run_id) AS score FROM h GROUP BY entity""")
 def history_latest(spark, d):
-    rows = _run(spark, d, 0).unionAll(_run(spark, d, 1))
+    rows = _runs(spark, d, (0, 1))
     return rows.groupBy(F.col("qualified_name").alias("entity")).agg(F.max_by("verdict", "finished_at").alias("verdict"), F.max_by("score", "finished_at").alias("score"))
 
 
@@ -623,6 +693,69 @@ def guard_statements(spark, d):
     return log.groupBy(guard.first_keyword(F.col("sql")).alias("keyword"), guard.is_read(F.col("sql")).alias("is_read")).agg(F.count("*").alias("n"))
 
 
+#: Statements of PostgreSQL and MySQL; each event runs one of them, chosen by its id, with the user's id as a value.
+_DIALECTS = [
+    "SELECT c_name::text, (c_acctbal::numeric(12,2))::text AS c_mktsegment FROM customer WHERE c_custkey = {0}",
+    "SELECT c_name->>'first', c_mktsegment #>> '{a,b}' FROM customer WHERE c_name @> '{}' AND c_name ? 'k'",
+    'SELECT "c"."c_name" FROM "customer" AS "c" WHERE "c"."c_nationkey" = {0}',
+    "SELECT o_orderkey FROM orders WHERE o_custkey = {0} ORDER BY o_orderdate DESC NULLS LAST LIMIT 5 FOR UPDATE OF orders SKIP LOCKED",
+    "UPDATE orders SET o_orderstatus = c.c_mktsegment FROM customer c WHERE c.c_custkey = orders.o_custkey AND c.c_nationkey = {0}",
+    "UPDATE customer AS c SET (c_name, c_mktsegment) = (c_name, 'x') WHERE c.c_custkey = {0} RETURNING c.c_acctbal",
+    "DELETE FROM orders USING customer c WHERE c.c_custkey = o_custkey AND c.c_nationkey = {0}",
+    "WITH gone AS (DELETE FROM orders WHERE o_orderkey = {0} RETURNING o_custkey) SELECT count(*) FROM gone",
+    "INSERT INTO part (p_partkey, p_name) VALUES ({0}, 'a') ON CONFLICT (p_partkey) DO UPDATE SET p_name = excluded.p_name, p_size = part.p_size + 1",
+    "INSERT INTO part (p_partkey, p_size) SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > {0}",
+    "SELECT DISTINCT ON (o_custkey) o_custkey, o_totalprice FROM orders ORDER BY o_custkey, o_orderdate",
+    "SELECT extract(year FROM o_orderdate), count(*) FILTER (WHERE o_totalprice > {0}) FROM orders GROUP BY 1",
+    "SELECT sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM orders ORDER BY s",
+    "SELECT c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > {0} AND c_acctbal > 0)",
+    "SELECT CASE WHEN p_size > {0} THEN p_name ELSE p_brand END k, $q$it's p_type$q$ FROM part -- don't read p_type",
+    "SELECT c.* FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey = {0}",
+    "(SELECT c_name FROM customer WHERE c_custkey = {0}) UNION ALL (SELECT p_name FROM part)",
+    "INSERT INTO customer (c_custkey, c_name) VALUES (...)",
+    "SELECT mystery FROM elsewhere WHERE x = {0}",
+    "UPDATE orders o JOIN customer c ON c.c_custkey = o.o_custkey SET o.o_totalprice = c.c_acctbal WHERE c.c_name = 'n{0}'",
+    "SELECT o_orderpriority, c_mktsegment FROM orders INNER JOIN customer ON o_custkey = c_custkey WHERE o_orderdate > now() - interval '7 days'",
+    "EXECUTE plan({0})",
+]
+#: What these statements read and write, by hand: number of the statement, columns read, columns written.
+_DIALECTS_SQL = f"""s(k, reads, writes) AS (VALUES
+ (0, ['customer.c_name', 'customer.c_acctbal', 'customer.c_custkey'], []::VARCHAR[]), (1, ['customer.c_name', 'customer.c_mktsegment'], []), (2, ['customer.c_name', 'customer.c_nationkey'], []),
+ (3, ['orders.o_orderkey', 'orders.o_custkey', 'orders.o_orderdate'], []), (4, ['customer.c_mktsegment', 'customer.c_custkey', 'orders.o_custkey', 'customer.c_nationkey'], ['orders.o_orderstatus']),
+ (5, ['customer.c_name', 'customer.c_custkey', 'customer.c_acctbal'], ['customer.c_name', 'customer.c_mktsegment']), (6, ['customer.c_custkey', 'orders.o_custkey', 'customer.c_nationkey'], []),
+ (7, ['orders.o_orderkey', 'orders.o_custkey'], []), (8, ['part.p_partkey', 'part.p_size'], ['part.p_partkey', 'part.p_name', 'part.p_size']),
+ (9, ['orders.o_orderkey', 'orders.o_custkey', 'orders.o_totalprice'], ['part.p_partkey', 'part.p_size']), (10, ['orders.o_custkey', 'orders.o_totalprice', 'orders.o_orderdate'], []),
+ (11, ['orders.o_orderdate', 'orders.o_totalprice'], []), (12, ['orders.o_totalprice', 'orders.o_custkey', 'orders.o_orderdate'], []),
+ (13, ['customer.c_name', 'orders.o_custkey', 'customer.c_custkey', 'orders.o_totalprice', 'customer.c_acctbal'], []), (14, ['part.p_size', 'part.p_name', 'part.p_brand'], []),
+ (15, ['customer.c_custkey', 'customer.c_name', 'customer.c_nationkey', 'customer.c_acctbal', 'customer.c_mktsegment', 'orders.o_custkey', 'orders.o_orderkey'], []),
+ (16, ['customer.c_name', 'customer.c_custkey', 'part.p_name'], []), (17, [], ['customer.c_custkey', 'customer.c_name']), (19, ['customer.c_custkey', 'orders.o_custkey', 'customer.c_acctbal', 'customer.c_name'], ['orders.o_totalprice']),
+ (20, ['orders.o_orderpriority', 'customer.c_mktsegment', 'orders.o_custkey', 'customer.c_custkey', 'orders.o_orderdate'], [])),
+e AS (SELECT event_id % {len(_DIALECTS)} AS k, event_type, ts FROM events)"""
+
+
+def _dialect_log(spark: SparkSession, d: str) -> DataFrame:
+    parts = [[F.lit(x) for x in t.split("{0}")] for t in _DIALECTS]
+    texts = [F.concat(p[0], F.col("user_id").cast("string"), p[1]) if len(p) > 1 else p[0] for p in parts]
+    sql = F.get(F.array(*texts), (F.col("event_id") % len(_DIALECTS)).cast("int"))
+    none = F.array().cast("array<string>")
+    return _t(spark, d, "events").select("ts", sql.alias("sql"), F.col("event_type").alias("service"), F.lit("").alias("template"), none.alias("declared_reads"), none.alias("declared_writes"))
+
+
+@query(f"""WITH {_DIALECTS_SQL}, l AS (SELECT k, unnest(reads) AS qualified_name, false AS is_write FROM s UNION ALL SELECT k, unnest(writes), true FROM s)
+SELECT qualified_name, is_write, count(*) AS n, count(DISTINCT event_type) AS n_services, min(ts) AS first_at, max(ts) AS last_at FROM e JOIN l USING (k) GROUP BY ALL""")
+def lineage_dialects(spark, d):
+    t = usage.touches(usage.attribute(usage.compact(_dialect_log(spark, d)), _columns(spark, d), "sql"))
+    return t.groupBy("qualified_name", "is_write").agg(F.sum("n").alias("n"), F.count_distinct("service").alias("n_services"), F.min("ts_first").alias("first_at"), F.max("ts").alias("last_at"))
+
+
+@query(f"""WITH {_DIALECTS_SQL}
+SELECT CASE k WHEN 17 THEN 'insert-regex' WHEN 18 THEN 'none' WHEN 21 THEN 'none' ELSE 'parser' END AS method, k NOT IN (18, 21) AS parsed_ok, count(*) AS n, count(DISTINCT k) AS n_templates FROM e GROUP BY ALL""")
+def lineage_methods(spark, d):
+    log = usage.compact(_dialect_log(spark, d)).groupBy("sql").agg(F.sum("n").alias("n"))
+    found = lineage.lineage_table(log, _columns(spark, d), templated=True)
+    return found.join(log, "sql").groupBy("method", "parsed_ok").agg(F.sum("n").alias("n"), F.count("*").alias("n_templates"))
+
+
 _COLUMNS_SQL = "c AS (SELECT table_name || '.' || column_name AS qualified_name, table_name AS t FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'part'))"
 _DECLARED_SQL = "p(event_type, qualified_name) AS (VALUES " + ", ".join(f"('{e}', '{c}')" for e in ("view", "click") for c in (_LINEAGE[e][0] + _LINEAGE[e][1])[:2]) + ")"
 
