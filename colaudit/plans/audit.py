@@ -64,17 +64,21 @@ class Audit:
 def run_audit(tables: Mapping[str, DataFrame], log: DataFrame, config: AuditConfig | None = None, constraints: DataFrame | None = None, columns: DataFrame | None = None, tables_df: DataFrame | None = None) -> Audit:
     """The three signals are independent lazy plans that meet in one join.
 
-    The column relation has one row per column of the target; it is cached because every signal reads it.
+    Each table is scanned once for counts, spans and late rows, with the policy's cut-offs, and once for its sample; both
+    are written as small tables, from which the column relation and the retention signal are read.
     """
     config = config or AuditConfig()
     started = datetime.now(timezone.utc)
     now = config.now or started
+    live = None
+    if columns is None or config.live:
+        cutoff = lambda t, c: F.lit(now).cast("timestamp") - F.make_dt_interval(config.policy.days_for(F.lit(t), F.lit(c))["days"])
+        measured = catalog.measure(tables, cutoff)
+        live = catalog.live(measured) if config.live else None
     if columns is None:
-        columns, tables_df = catalog.extract(tables, constraints)
-    columns = columns.cache()
+        columns, tables_df = catalog.extract(tables, constraints, measured=measured)
     s = sensitivity.classify(columns).drop("table", "name")
     u = usage.analyze(log, columns, config.window_days, mode=config.mode)
-    live = retention.live_stats(tables, columns, config.policy, now) if config.live else None
     r = retention.check(columns, config.policy, now, live)
     u_in = u.select("qualified_name", "score", "tier", "read_count", "write_count", "last_access_at", "window_days", "access_by_service", "query_templates")
     r_in = r.drop("table", "column")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import places
 from ..functions.types import TEMPORAL, family_of_spark
 from ..schemas import COLUMNS, CONSTRAINTS, TABLES
+from ..scratch import keep
 
 
 class MissingTables(LookupError):
@@ -29,9 +31,8 @@ def catalog_tables(spark: SparkSession, database: str | None = None) -> dict[str
     return {t.name: spark.table(f"{database}.{t.name}" if database else t.name) for t in spark.catalog.listTables(database)}
 
 
-def as_text(df: DataFrame, name: str) -> Column:
-    """A value as sample text: numbers and times as they print, bytes by length, collections as JSON."""
-    kind, c = dict(df.dtypes)[name], df[name]
+def text_of(c: Column, kind: str) -> Column:
+    """A value of a type as sample text: numbers and times as they print, bytes by length, collections as JSON."""
     if kind == "binary":
         return F.when(c.isNotNull(), F.format_string("<%d bytes>", F.length(c)))
     if kind.startswith(("array", "map", "struct", "variant")):
@@ -43,10 +44,17 @@ def as_text(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
+def as_text(df: DataFrame, name: str) -> Column:
+    return text_of(df[name], dict(df.dtypes)[name])
+
+
 def sample_rows(df: DataFrame, n: int = 30) -> DataFrame:
-    """n rows chosen by a hash of their content: random, but the same each time."""
-    order = F.xxhash64(*[F.to_json(F.struct(df[c])) for c in df.columns])
-    return df.orderBy(order).limit(n)
+    """The n rows of least hash of their content: random, but the same each time.
+
+    Each task keeps n rows, so n rows a task go through the shuffle.  Only maps, which have no hash, become JSON first.
+    """
+    hashed = [F.to_json(F.struct(df[c])) if "map<" in kind or "variant" in kind else df[c] for c, kind in df.dtypes]
+    return df.orderBy(F.xxhash64(*hashed), *[df[c] for c, kind in df.dtypes if kind in ("bigint", "int", "string")]).limit(n)
 
 
 def unpivot(df: DataFrame) -> DataFrame:
@@ -83,36 +91,56 @@ def profile_full(df: DataFrame) -> DataFrame:
     )
 
 
-def spans(df: DataFrame) -> DataFrame:
-    """One scan: (row_count, spans array<struct<column, min_value, max_value>>) of the temporal columns."""
-    names = [f.name for f in df.schema.fields if family_of_spark(f) in TEMPORAL]
-    parts = [F.struct(F.lit(c).alias("column"), F.min(as_text(df, c)).alias("min_value"), F.max(as_text(df, c)).alias("max_value")) for c in names]
-    empty = F.array().cast("array<struct<column: string, min_value: string, max_value: string>>")
+def spans(df: DataFrame, cutoff: Callable[[str], Column] | None = None) -> DataFrame:
+    """One aggregate over the temporal columns alone: (row_count, spans array<struct<column, min_value, max_value, late>>).
+
+    Values are compared in their own type and become text afterwards.  cutoff: a column's name -> the time before which a
+    row is late; late counts those rows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields if family_of_spark(f) in TEMPORAL}
+    late = lambda c: F.count_if(df[c] < cutoff(c).cast(kinds[c])) if cutoff else F.lit(None).cast("long")
+    parts = [F.struct(F.lit(c).alias("column"), text_of(F.min(df[c]), k).alias("min_value"), text_of(F.max(df[c]), k).alias("max_value"), late(c).alias("late")) for c, k in kinds.items()]
+    empty = F.array().cast("array<struct<column: string, min_value: string, max_value: string, late: bigint>>")
     return df.agg(F.count("*").alias("row_count"), (F.array(*parts) if parts else empty).alias("spans"))
 
 
-def extract(tables: Mapping[str, DataFrame], constraints: DataFrame | None = None, wanted: list[str] | None = None, sample: int = 30, max_samples: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(columns, tables) of the given tables; constraints add keys, uniqueness and families."""
+def measure(tables: Mapping[str, DataFrame], cutoff: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """(table, row_count, spans): one scan of each table's temporal columns, written once as a row for each table."""
+    one = lambda t, df: spans(df, (lambda c: cutoff(t, c)) if cutoff else None).select(F.lit(t).alias("table"), "row_count", "spans")
+    return keep(reduce(DataFrame.unionAll, [one(t, df) for t, df in tables.items()]), "measured")
+
+
+def sampled(tables: Mapping[str, DataFrame], n: int = 30, k: int = 12) -> DataFrame:
+    """``profile_sample`` of all tables, written once: one more scan of each, which passes on n rows a task."""
+    return keep(reduce(DataFrame.unionByName, [profile_sample(df, n, k).withColumn("table", F.lit(t)) for t, df in tables.items()]), "sampled")
+
+
+def live(measured: DataFrame) -> DataFrame:
+    """(qualified_name, rows_total, rows_overdue, fraction_overdue) of a measure with cut-offs, where a column has a value."""
+    x = measured.select("table", F.col("row_count").alias("rows_total"), F.explode("spans").alias("s")).where("s.min_value is not null")
+    share = F.when(F.col("rows_total") > 0, places(F.col("s.late") / F.nullif("rows_total", F.lit(0)))).otherwise(F.lit(0.0))
+    return x.select(F.concat_ws(".", "table", "s.column").alias("qualified_name"), "rows_total", F.col("s.late").alias("rows_overdue"), share.alias("fraction_overdue"))
+
+
+def extract(tables: Mapping[str, DataFrame], constraints: DataFrame | None = None, wanted: list[str] | None = None, sample: int = 30, max_samples: int = 12, measured: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(columns, tables) of the given tables; constraints add keys, uniqueness and families.
+
+    measured: what ``measure`` found, where the caller has it already.
+    """
     chosen = pick_tables(tables, wanted)
     if not chosen:
         raise MissingTables("no tables to profile")
-    cols, tabs = [], []
-    for t, df in chosen.items():
-        spark = df.sparkSession
-        fields = [
-            (t, f.name, i, family_of_spark(f), f.dataType.simpleString(), f.nullable, (f.metadata or {}).get("comment"), getattr(f.dataType, "length", None), getattr(f.dataType, "precision", None))
-            for i, f in enumerate(df.schema.fields, 1)
-        ]
-        schema = "`table` string, name string, ordinal int, family string, raw_type string, nullable boolean, comment string, char_max_length int, numeric_precision int"
-        known = F.broadcast(spark.createDataFrame(fields, schema))
-        count = spans(df)
-        times = count.select(F.explode("spans").alias("s")).select("s.*")
-        rows = known.join(profile_sample(df, sample, max_samples).withColumnRenamed("column", "name"), "name", "left").join(times.withColumnRenamed("column", "name"), "name", "left")
-        cols.append(rows)
-        tabs.append(count.select(F.lit(t).alias("name"), "row_count"))
-    rows = reduce(DataFrame.unionByName, cols)
-    counts = reduce(DataFrame.unionByName, tabs)
-    spark = rows.sparkSession
+    spark = next(iter(chosen.values())).sparkSession
+    fields = [
+        (t, f.name, i, family_of_spark(f), f.dataType.simpleString(), f.nullable, (f.metadata or {}).get("comment"), getattr(f.dataType, "length", None), getattr(f.dataType, "precision", None))
+        for t, df in chosen.items()
+        for i, f in enumerate(df.schema.fields, 1)
+    ]
+    schema = "`table` string, name string, ordinal int, family string, raw_type string, nullable boolean, comment string, char_max_length int, numeric_precision int"
+    measured = measure(chosen) if measured is None else measured
+    times = measured.select("table", F.explode("spans").alias("s")).select("table", F.col("s.column").alias("name"), "s.min_value", "s.max_value")
+    rows = spark.createDataFrame(fields, schema).join(sampled(chosen, sample, max_samples).withColumnRenamed("column", "name"), ["table", "name"], "left").join(times, ["table", "name"], "left")
+    counts = measured.select(F.col("table").alias("name"), "row_count")
     known = constraints if constraints is not None else spark.createDataFrame([], CONSTRAINTS)
     known = known.select("table", "name", *[F.col(c).alias(f"c_{c}") for c in ("is_primary_key", "is_foreign_key", "foreign_key_target", "is_unique", "is_indexed", "generic_type")])
     rows = rows.join(known, ["table", "name"], "left")
