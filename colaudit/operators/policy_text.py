@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,20 +56,32 @@ def _any(low: Column, words: list[str]) -> Column:
     return low.rlike("|".join(re.escape(w) for w in words))
 
 
+def _line(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\r"))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """docs(doc, text) -> (doc, pos, heading, paragraph).
+    """docs(doc, text) -> (doc, pos, heading, paragraph), pos in the order of the text.
 
-    Wrapped lines are joined; headings, bullets and blank lines end a paragraph.
+    Wrapped lines are joined; headings, bullets and blank lines end a paragraph.  All is done inside the row: the text is
+    split at its headings, a section at its blank lines and bullets, so no row is shuffled.
     """
-    lines = docs.select("doc", F.posexplode(F.split("text", "\r?\n")).alias("pos", "raw")).select("doc", "pos", F.trim("raw").alias("line"))
-    order = Window.partitionBy("doc").orderBy("pos")
-    head, bullet = F.col("line").startswith("#"), F.col("line").rlike(r"^[-*]\s+")
-    clean = F.regexp_replace(F.regexp_replace("line", r"^[-*]\s+", ""), "[*_`]", "")
-    title = F.regexp_replace(F.trim(F.regexp_replace("line", "^#+", "")), r"^[\d.\s]+", "")
-    marked = lines.select("doc", "pos", "line", F.when(head, title).alias("title"), head.alias("head"), clean.alias("clean"), (head | bullet | (F.col("line") == "")).alias("cut"))
-    marked = marked.select("*", F.coalesce(F.last("title", ignorenulls=True).over(order), F.lit("")).alias("heading"), F.sum(F.col("cut").cast("int")).over(order).alias("block"))
-    body = marked.where("not head and line <> ''")
-    return body.groupBy("doc", "heading", "block").agg(F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "clean"))), lambda x: x["clean"]), " ").alias("paragraph")).select("doc", "pos", "heading", "paragraph")
+
+    def blocks(section):
+        first = F.substring_index(section, "\n", 1)
+        is_head = _line(first).startswith("#")
+        heading = F.regexp_replace(F.trim(F.regexp_replace(_line(first), "^#+", "")), r"^[\d.\s]+", "")
+        body = F.when(is_head, F.substring(section, F.length(first) + 2, F.length(section))).otherwise(section)
+        parts = F.split(body, r"\n(?:[ \t\r]*\n)+|\n(?=[ \t\r]*[-*][ \t]+\S)")
+        return F.transform(parts, lambda p: F.struct(F.when(is_head, heading).otherwise("").alias("heading"), joined(p).alias("paragraph")))
+
+    def joined(block):
+        lines = F.filter(F.transform(F.split(block, "\n"), _line), lambda x: x != "")
+        return F.array_join(F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[-*]\s+", ""), "[*_`]", "")), " ")
+
+    sections = F.split("text", r"(?m)^(?=[ \t]*#)")
+    found = docs.select("doc", F.posexplode(F.flatten(F.transform(sections, blocks))).alias("pos", "b"))
+    return found.select("doc", "pos", "b.heading", "b.paragraph").where("paragraph <> ''")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -125,13 +137,13 @@ def propose_mappings(rules: DataFrame, targets: list[str], synonyms: dict[str, l
 
     targets: table and column names that may be meant; the lexicon bounds how many count.
     """
-    spark = rules.sparkSession
     rows = [(t, i, synonyms[t], t.replace(".", " ").replace("_", " ")) for i, t in enumerate(synonyms) if t in set(targets)]
-    cand = spark.createDataFrame(rows, "target string, ord int, vocab array<string>, spoken string").select("target", "ord", "vocab", keywords(F.col("spoken")).alias("tokens"))
+    cand = [F.struct(F.lit(t).alias("target"), F.lit(i).alias("ord"), F.array(*[F.lit(v) for v in vocab]).alias("vocab"), keywords(F.lit(spoken)).alias("tokens")) for t, i, vocab, spoken in rows]
     key = F.xxhash64("doc", "pos", "part")
     r = rules.withColumn("rule", key)
-    # each rule against the lexicon's few entries: the lexicon is a literal of bounded size
-    pairs = r.where("not is_default").crossJoin(F.broadcast(cand))
+    # each rule against the lexicon's few entries, a literal of bounded size
+    none = F.array().cast("array<struct<target: string, ord: int, vocab: array<string>, tokens: array<string>>>")
+    pairs = r.where("not is_default").withColumn("c", F.explode(F.array(*cand) if cand else none)).select(*r.columns, "c.*")
     near = pairs.select(F.explode("keywords").alias("k"), "tokens").select("k", F.explode("tokens").alias("t")).distinct().withColumn("sim", _similar("k", "t"))
     fuzzy = pairs.select("rule", "target", F.explode("keywords").alias("k"), "tokens").select("rule", "target", "k", F.explode("tokens").alias("t")).join(near, ["k", "t"]).groupBy("rule", "target").agg(F.max("sim").alias("fuzzy"))
     cat = F.lower("category")

@@ -14,16 +14,31 @@ def tier(score: Column) -> Column:
     return F.when(score < 0.15, "none").when(score < 0.40, "low").when(score < 0.70, "medium").otherwise("high")
 
 
-def name_score(norm: Column) -> Column:
-    return F.greatest(F.lit(0.0), *[F.when(norm.rlike(p), F.lit(w)).otherwise(F.lit(0.0)) for _, p, _, w in NAME_RULES])
+_BY_WEIGHT = sorted(range(len(NAME_RULES)), key=lambda i: -NAME_RULES[i][3])  # the first listed of equal weight comes first
 
 
-def name_type(norm: Column) -> Column:
-    """The type of the heaviest match; the first listed of equal weight."""
-    out = None
-    for _, p, kind, _ in sorted(NAME_RULES, key=lambda r: -r[3]):
-        out = F.when(norm.rlike(p), kind) if out is None else out.when(norm.rlike(p), kind)
-    return out
+def name_hits(norm: Column) -> Column:
+    """The name rules that a name matches, by their place in the order of weight; each pattern is tried once."""
+    return F.array_compact(F.array(*[F.when(norm.rlike(NAME_RULES[i][1]), F.lit(k)) for k, i in enumerate(_BY_WEIGHT)]))
+
+
+def _pick(values: list, hits: Column) -> Column:
+    """The value of the heaviest rule."""
+    return F.get(F.array(*[F.lit(v) for v in values]), F.array_min(hits))
+
+
+def name_score(hits: Column) -> Column:
+    return F.coalesce(_pick([NAME_RULES[i][3] for i in _BY_WEIGHT], hits), F.lit(0.0))
+
+
+def name_type(hits: Column) -> Column:
+    return _pick([NAME_RULES[i][2] for i in _BY_WEIGHT], hits)
+
+
+def name_matches(hits: Column) -> Column:
+    """The rules' names in the order in which they are listed."""
+    listed = F.array_sort(F.transform(hits, lambda k: F.get(F.array(*[F.lit(i) for i in _BY_WEIGHT]), k)))
+    return F.transform(listed, lambda i: F.concat(F.lit("name:"), F.get(F.array(*[F.lit(r[0]) for r in NAME_RULES]), i)))
 
 
 def matched(norm: Column, rules: list, prefix: str) -> Column:
@@ -56,11 +71,12 @@ def value_rule(samples: Column, ratio: float = 0.6, embedded_ratio: float = 0.3)
 def classify(columns: DataFrame, threshold: float = 0.5, strong_threshold: float = 0.5, value_hit_ratio: float = 0.6, harmless_cap: float = 0.08) -> DataFrame:
     """columns -> (qualified_name, table, name, score, is_sensitive, tier, pii_type, confidence, matched_rules)."""
     c = columns.withColumn("norm", normalize_name(F.col("name")))
+    c = c.withColumn("hits", name_hits(F.col("norm")))
     c = c.withColumn("samples", F.filter(F.coalesce("sample_values", F.array().cast("array<string>")), lambda v: v.isNotNull()))
     kind = F.create_map(*[F.lit(x) for t, (k, _) in TYPE_RULES.items() for x in (t, k)])
     weight = F.create_map(*[F.lit(x) for t, (_, w) in TYPE_RULES.items() for x in (t, w)])
     c = c.select(
-        "*", name_score(F.col("norm")).alias("s_name"), name_type(F.col("norm")).alias("t_name"), value_rule(F.col("samples"), value_hit_ratio).alias("v"),
+        "*", name_score(F.col("hits")).alias("s_name"), name_type(F.col("hits")).alias("t_name"), value_rule(F.col("samples"), value_hit_ratio).alias("v"),
         kind[F.col("generic_type")].alias("t_type"), F.coalesce(weight[F.col("generic_type")], F.lit(0.0)).alias("s_type"), matched(F.col("norm"), HARMLESS_RULES, "harmless").alias("harmless"),
     )
     c = c.withColumn("s_value", F.coalesce("v.weight", F.lit(0.0)))
@@ -80,7 +96,7 @@ def classify(columns: DataFrame, threshold: float = 0.5, strong_threshold: float
     none = F.array().cast("array<string>")
     one = lambda test, text: F.when(test, F.array(text)).otherwise(none)
     rules = F.concat(
-        matched(F.col("norm"), NAME_RULES, "name"), one(F.col("v").isNotNull(), F.concat(F.lit("value:"), "v.id")), one(F.col("s_type") > 0, F.concat(F.lit("type:"), "generic_type")),
+        name_matches(F.col("hits")), one(F.col("v").isNotNull(), F.concat(F.lit("value:"), "v.id")), one(F.col("s_type") > 0, F.concat(F.lit("type:"), "generic_type")),
         F.when(F.col("capped"), F.col("harmless")).otherwise(none), one(F.col("pk"), F.lit("struct:primary_key")), one(F.col("fk"), F.lit("struct:foreign_key")), one(F.col("time"), F.lit("struct:temporal")),
     )
     confidence = (

@@ -297,8 +297,8 @@ _HARMLESS = " OR ".join(f"regexp_matches(norm, '{_q(p)}')" for _, p in HARMLESS_
 @query(f"WITH {_NORM} SELECT entity, norm, {_NAME_SCORE}::DOUBLE AS name_score, {_NAME_TYPE} AS name_type, ({_N_RULES})::INTEGER AS n_rules FROM d")
 def sens_name_rules(spark, d):
     c = _described(spark, d).withColumn("norm", normalize_name(F.col("name")))
-    n = F.col("norm")
-    return c.select("entity", "norm", sensitivity.name_score(n).alias("name_score"), sensitivity.name_type(n).alias("name_type"), F.size(sensitivity.matched(n, NAME_RULES, "name")).alias("n_rules"))
+    c, n = c.withColumn("hits", sensitivity.name_hits(F.col("norm"))), F.col("hits")
+    return c.select("entity", "norm", sensitivity.name_score(n).alias("name_score"), sensitivity.name_type(n).alias("name_type"), F.size(sensitivity.name_matches(n)).alias("n_rules"))
 
 
 _FINAL = f"""a AS (SELECT *, {_NAME_SCORE}::DOUBLE AS s_name, {_NAME_TYPE} AS t_name, ({_HARMLESS}) AS harmless, CASE WHEN k % 5 = 0 THEN 0.6 ELSE 0.0 END AS s_type FROM d),
