@@ -19,7 +19,7 @@ from .functions.rules import EMBEDDED_RULES, HARMLESS_RULES, NAME_RULES, SIGNATU
 from .functions.text import entropy, found_in, normalize_name, places
 from .operators import evaluation, features, guard, history, lineage, policy_text, ranks, remediation, retention, scoring, sensitivity, usage
 from .operators.ml import TIERS
-from .schemas import COLUMNS
+from .schemas import COLUMNS, CONSTRAINTS
 from .scratch import keep, shared_dir
 from .sources import catalog, querylog
 from .sources.policy import RetentionPolicy
@@ -749,6 +749,12 @@ def lineage_dialects(spark, d):
     return t.groupBy("qualified_name", "is_write").agg(F.sum("n").alias("n"), F.count_distinct("service").alias("n_services"), F.min("ts_first").alias("first_at"), F.max("ts").alias("last_at"))
 
 
+# a WITH that deletes and the two updates are no reads; EXECUTE and a parenthesis are no word of the list
+@query(f"""WITH {_DIALECTS_SQL} SELECT k NOT IN (4, 5, 6, 7, 8, 9, 16, 17, 19, 21) AS is_read, count(*) AS n FROM e GROUP BY 1""")
+def guard_dialects(spark, d):
+    return _dialect_log(spark, d).groupBy(guard.is_read(F.col("sql")).alias("is_read")).agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {_DIALECTS_SQL}
 SELECT CASE k WHEN 17 THEN 'insert-regex' WHEN 18 THEN 'none' WHEN 21 THEN 'none' ELSE 'parser' END AS method, k NOT IN (18, 21) AS parsed_ok, count(*) AS n, count(DISTINCT k) AS n_templates FROM e GROUP BY ALL""")
 def lineage_methods(spark, d):
@@ -870,13 +876,13 @@ SELECT row_number() OVER (ORDER BY {_VO}, score DESC, qualified_name) AS rank, q
  CASE WHEN verdict = 'flag_for_deletion' THEN over END AS days_overdue FROM v"""
 
 
-def _audit(spark: SparkSession, d: str):
+def _audit(spark: SparkSession, d: str, constraints: DataFrame | None = None):
     """The audit of three tables against the log of the events; the log also names a column that no table has, which stays unresolved."""
     from .plans import audit
 
     tables = {"customer": _t(spark, d, "customer"), "orders": _t(spark, d, "orders").drop("o_totalprice"), "part": _t(spark, d, "part")}
     config = audit.AuditConfig(14, "sql", _AUDIT_POLICY, now=NOW, thresholds=scoring.Thresholds(sensitive=0.03))
-    return audit.run_audit(tables, _log(spark, d), config)
+    return audit.run_audit(tables, _log(spark, d), config, constraints)
 
 
 @query(_AUDIT_SQL)
@@ -886,6 +892,48 @@ def audit_findings(spark, d):
     return f.select("rank", "qualified_name", "sensitivity", "usage", "retention", "score", "verdict", "is_flagged", F.coalesce("evidence.usage.read_count", F.lit(0)).alias("read_count"), F.col("reasons")[0].alias("reason"), late.alias("days_overdue"))
 
 
+_HEAD_SQL = """'-- DRAFT, not executed: public.' || qualified_name || chr(10) || format('-- necessity {:.3f}, verdict ', score::DOUBLE) || verdict || chr(10)
+ || format('-- sensitivity {:.2f}, usage {:.2f}, staleness {:.2f}', sensitivity::DOUBLE, "usage"::DOUBLE, retention::DOUBLE) || chr(10) || '-- ' || reason || chr(10)
+ || '-- CAUTION: Not executed: review this draft and run it by hand.' || chr(10) || '-- CAUTION: Make sure that no legal or contractual duty to keep this data applies.' || chr(10) || '-- CAUTION: Back up first and use a maintenance window.' || chr(10)"""
+_DRAFTS_SQL = f"""WITH a AS ({_AUDIT_SQL}), f AS (SELECT round(count(*) FILTER (o_orderdate < {_NOW} - INTERVAL 1500 DAY) / count(*) + 1e-9, 4) AS f FROM orders),
+d AS (SELECT *, {_HEAD_SQL} AS head FROM a, f WHERE verdict IN ('flag_for_deletion', 'review')),
+late AS (SELECT *, head || format('-- CAUTION: {{:.0f}}% of the rows are within the retention period and lose the column too; to keep it for them, delete the overdue rows instead.', (1 - f)::DOUBLE * 100) || chr(10) AS top FROM d WHERE qualified_name = 'orders.o_orderdate'),
+key AS (SELECT *, head || '-- CAUTION: p_name is part of a key (references names.name): its values are replaced, not dropped.' || chr(10) AS top FROM d WHERE qualified_name = 'part.p_name')
+SELECT qualified_name, 'postgresql' AS dialect, 'archive_then_drop' AS strategy, true AS reversible, top || 'BEGIN;
+CREATE SCHEMA IF NOT EXISTS "minimization_archive";
+CREATE TABLE "minimization_archive"."orders__o_orderdate__20020101" AS
+  SELECT * FROM "public"."orders" WHERE "o_orderdate" IS NOT NULL;
+ALTER TABLE "public"."orders" DROP COLUMN "o_orderdate";
+COMMIT;
+-- to restore: ALTER TABLE "public"."orders" ADD COLUMN "o_orderdate" timestamp_ntz; then copy the values back by key from "minimization_archive"."orders__o_orderdate__20020101"
+-- or drop only the overdue rows: DELETE FROM "public"."orders" WHERE "o_orderdate" < now() - interval ''1500 days'';
+' AS sql FROM late
+UNION ALL SELECT qualified_name, 'mysql', 'archive_then_drop', true, top || '-- this engine does not roll back DDL: back up first
+CREATE TABLE `minimization_archive_orders__o_orderdate__20020101` AS
+  SELECT `o_orderdate` FROM `orders` WHERE `o_orderdate` IS NOT NULL;
+ALTER TABLE `orders` DROP COLUMN `o_orderdate`;
+' FROM late
+UNION ALL SELECT qualified_name, 'postgresql', 'anonymize_in_place', false, top || 'CREATE SCHEMA IF NOT EXISTS "minimization_archive";
+CREATE TABLE "minimization_archive"."part__p_name__20020101" AS
+  SELECT "p_partkey", "p_name" FROM "public"."part";
+UPDATE "public"."part" SET "p_name" = NULL;
+' FROM key
+UNION ALL SELECT qualified_name, 'mysql', 'anonymize_in_place', false, top || 'CREATE TABLE `minimization_archive_part__p_name__20020101` AS
+  SELECT `p_partkey`, `p_name` FROM `part`;
+UPDATE `part` SET `p_name` = NULL;
+' FROM key"""
+
+
+@query(_DRAFTS_SQL)
+def remediation_drafts(spark, d):
+    """The drafts of the audit as text, for both dialects; p_name is given as part of a key."""
+    keys = [("part", "p_partkey", True, False, None, True, True, None), ("part", "p_name", False, True, "names.name", False, False, None)]
+    a = _audit(spark, d, spark.createDataFrame(keys, CONSTRAINTS))
+    findings = keep(a.findings, "findings")
+    drafts = [remediation.draft(findings, a.columns, a.tables, dialect, NOW) for dialect in ("postgresql", "mysql")]
+    return reduce(DataFrame.unionAll, drafts).where("strategy <> 'none'").select("qualified_name", "dialect", "strategy", "reversible", "sql")
+
+
 # --- written policies ----------------------------------------------------------------------------
 
 
