@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import LINEAGE
+from ..scratch import reach_workers
 from .statements import mentions
 
 Catalog = dict[str, list[str]]
@@ -70,6 +71,7 @@ def parsed(templates: DataFrame) -> DataFrame:
             refs = [[{"kind": k, "qualifier": q, "name": n, "levels": [[dict(zip(("table", "alias", "derived"), t)) for t in level] for level in levels]} for k, q, n, levels in r] for _, r in done]
             yield pa.RecordBatch.from_arrays([sql, pa.array([m for m, _ in done], pa.string()), pa.array(refs, pa.list_(ref))], ["sql", "method", "refs"])
 
+    reach_workers(templates.sparkSession)
     return templates.mapInArrow(run, f"sql string, method string, refs array<{_REF}>")
 
 
@@ -83,11 +85,16 @@ def _known(spark: SparkSession, catalog: Catalog | DataFrame | None) -> DataFram
     return catalog.select("table", "name").dropDuplicates(["table", "name"]).groupBy(F.lower("table").alias("_key")).agg(F.min("table").alias("_table"), names.alias("_names"))
 
 
-def resolve(statements: DataFrame, catalog: Catalog | DataFrame | None) -> DataFrame:
-    """(sql, method, refs) -> LINEAGE, by a join of the candidates with the catalogue."""
+def resolve(statements: DataFrame, catalog: Catalog | DataFrame | None, expand: bool = False) -> DataFrame:
+    """(sql, method, refs) -> LINEAGE, by a join of the candidates with the catalogue.
+
+    Rows are dealt by statement once; all groups lie within one.  expand: an INSERT without a column list, which stands
+    among the wildcards, counts as reads of the known table's columns.
+    """
     known = _known(statements.sparkSession, catalog)
-    x = statements.select("sql", F.posexplode("refs").alias("ref", "r")).select("sql", "ref", "r.kind", "r.qualifier", "r.name", F.posexplode_outer("r.levels").alias("level", "tables"))
-    x = x.select("sql", "ref", "kind", "qualifier", "name", "level", F.explode_outer("tables").alias("t")).select("*", "t.table", "t.derived").drop("t")
+    keys = ["sql", "method", "ref", "kind", "qualifier", "name"]
+    x = statements.repartition("sql").select("sql", "method", F.posexplode_outer("refs").alias("ref", "r")).select(*keys[:3], "r.kind", "r.qualifier", "r.name", F.posexplode_outer("r.levels").alias("level", "tables"))
+    x = x.select(*keys, "level", F.explode_outer("tables").alias("t")).select("*", "t.table", "t.derived").drop("t")
     if known is None:
         x = x.withColumns({"_table": F.lit(None).cast("string"), "_names": F.lit(None).cast("map<string,string>")})
     else:
@@ -97,7 +104,7 @@ def resolve(statements: DataFrame, catalog: Catalog | DataFrame | None) -> DataF
     owned = F.when(listed, F.element_at("_names", F.lower("name")))
     spelled = F.concat_ws(".", F.coalesce("_table", "table"), F.coalesce(owned, "name"))
     free = base if known is None else F.lit(False)  # without a catalogue the only table of a query has the column
-    per_level = x.groupBy("sql", "ref", "kind", "qualifier", "name", "level").agg(
+    per_level = x.groupBy(*keys, "level").agg(
         F.collect_set(F.when(owned.isNotNull(), spelled)).alias("owners"),
         F.collect_set(F.when(free, spelled)).alias("open"),
         F.count("table").alias("n"),
@@ -109,7 +116,7 @@ def resolve(statements: DataFrame, catalog: Catalog | DataFrame | None) -> DataF
     # what a level says of a name: one owner, more than one (it stays open there), or nothing
     lone = (F.size("open") == 1) & (F.col("n") == 1)
     says = F.when(F.size("owners") == 1, F.col("owners")[0]).when(F.size("owners") > 1, F.lit("")).when(lone, F.col("open")[0]).when(F.lit(known is None) & (F.col("n") > 0), F.lit(""))
-    best = per_level.withColumn("says", says).groupBy("sql", "ref", "kind", "qualifier", "name").agg(
+    best = per_level.withColumn("says", says).groupBy(*keys).agg(
         F.min_by("says", F.when(F.col("says").isNotNull(), F.col("level"))).alias("says"),
         F.max(F.when(F.col("level") == 0, F.col("one"))).alias("one"),
         *[F.flatten(F.collect_list(F.when(F.col("level") == 0, F.col(c)))).alias(c) for c in ("owners", "open", "columns", "stars")],
@@ -118,28 +125,27 @@ def resolve(statements: DataFrame, catalog: Catalog | DataFrame | None) -> DataF
     none = F.array().cast(_TEXTS)
     hit = F.nullif("says", F.lit(""))
     named = F.when(F.col("qualifier") == "", F.col("name")).otherwise(F.concat_ws(".", F.coalesce("one", "qualifier"), "name"))
-    reads = F.when(F.col("kind") == "read", F.when(hit.isNotNull(), F.array(hit)).otherwise(none)).when(F.col("kind") == "both", F.when(F.size("owners") > 0, F.col("owners")).otherwise(F.col("open"))).when(F.col("kind") == "star", F.col("columns")).otherwise(none)
+    reads = F.when(F.col("kind") == "read", F.when(hit.isNotNull(), F.array(hit)).otherwise(none)).when(F.col("kind") == "both", F.when(F.size("owners") > 0, F.col("owners")).otherwise(F.col("open"))).when((F.col("kind") == "star") | F.lit(expand) & (F.col("kind") == "all"), F.col("columns")).otherwise(none)
     writes = F.when(F.col("kind") == "write", F.array("written")).otherwise(none)
-    wild = F.when(F.col("kind") == "star", F.col("stars")).when(F.col("kind") == "all", F.array(F.concat("one", F.lit(".*")))).otherwise(none)
+    wild = F.when(F.col("kind") == "star", F.col("stars")).when((F.col("kind") == "all") & ~(F.lit(expand) & (F.size("columns") > 0)), F.array(F.concat("one", F.lit(".*")))).otherwise(none)
     unknown = F.when((F.col("kind") == "read") & hit.isNull(), F.array(named)).otherwise(none)
     lists = {"reads": reads, "writes": writes, "wildcards": wild, "unresolved": unknown}
-    done = best.groupBy("sql").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(v)))).alias(k) for k, v in lists.items()])
-    out = statements.select("sql", "method").join(done, "sql", "left")
-    full = {k: F.coalesce(F.col(k), none) for k in lists}
+    out = best.groupBy("sql", "method").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(v)))).alias(k) for k, v in lists.items()])
+    full = {k: F.col(k) for k in lists}
     some = F.size(F.concat(full["reads"], full["writes"], full["wildcards"])) > 0
     ok = F.when(F.col("method") == "none", False).when(F.col("method") == "delete", True).otherwise(some)
     how = F.when(~ok, "none").when(F.col("method") == "insert-regex", F.col("method")).otherwise("parser")
     return out.select("sql", *[v.alias(k) for k, v in full.items()], ok.alias("parsed_ok"), how.alias("method"))
 
 
-def lineage_table(statements: DataFrame, catalog: Catalog | DataFrame | None = None, templated: bool = False) -> DataFrame:
+def lineage_table(statements: DataFrame, catalog: Catalog | DataFrame | None = None, templated: bool = False, expand: bool = False) -> DataFrame:
     """statements(sql) -> LINEAGE, one row per distinct template.
 
     catalog: rows (table, name) or a dict; without it, a name belongs to the only table of its query.  templated: sql
     holds templates already.
     """
     distinct = statements.select((F.col("sql") if templated else template_of(F.col("sql"))).alias("sql")).where("sql <> ''").distinct()
-    return resolve(parsed(distinct), catalog)
+    return resolve(parsed(distinct), catalog, expand)
 
 
 def lineage(spark: SparkSession, sql: str, catalog: Catalog | DataFrame | None = None) -> dict:

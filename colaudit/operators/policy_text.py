@@ -7,12 +7,14 @@ words, in a pandas function over distinct word pairs.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import reach_workers
 from ..sources.policy import RetentionPolicy
 
 # --- fixed values: words that decide what counts as a retention rule ----------------------------
@@ -53,7 +55,8 @@ DURATION = rf"(?i)\b(\d{{1,4}}|{_NUMBERS})[\s-]*(day|week|month|year|yr|yrs|mo|m
 
 
 def _any(low: Column, words: list[str]) -> Column:
-    return low.rlike("|".join(re.escape(w) for w in words))
+    """Whether one of the words, all in lower case, stands in the text; plain searches, one after the other."""
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
 
 
 def _line(text: Column) -> Column:
@@ -102,11 +105,10 @@ def to_days(number: Column, unit: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(n * days).cast("int"))
 
 
-def category_phrase(sentence: Column) -> Column:
-    """What stands before the first retention verb or duration."""
+def category_phrase(sentence: Column, raw: Column) -> Column:
+    """What stands before the first retention verb or the duration ``raw``."""
     low = F.lower(sentence)
-    raw = F.regexp_extract(sentence, DURATION, 0)
-    places = [F.when(F.locate(v, low) > 0, F.locate(v, low)) for v in VERBS] + [F.when(raw != "", F.position(raw, sentence))]
+    places = [F.nullif(F.locate(v, low), F.lit(0)) for v in VERBS] + [F.when(raw != "", F.position(raw, sentence))]
     cut = F.coalesce(F.least(*places), F.length(sentence) + 1)
     phrase = F.regexp_replace(F.btrim(F.substring(sentence, F.lit(1), cut - 1), F.lit(" ,;:.")), LEADING, "")
     return F.when(phrase == "", sentence).otherwise(phrase)
@@ -114,15 +116,17 @@ def category_phrase(sentence: Column) -> Column:
 
 def extract_rules(docs: DataFrame) -> DataFrame:
     """docs(doc, text) -> (doc, pos, part, category, retention_days, raw_period, sentence, heading, keywords, confidence, is_default)."""
-    s = sentences(docs).where(F.col("sentence").rlike(DURATION)).withColumn("low", F.lower("sentence"))
+    s = sentences(docs).withColumn("low", F.lower("sentence"))
     s = s.where(_any(F.col("low"), RETENTION_CUES) & (~_any(F.col("low"), ANTI_CUES) | _any(F.col("low"), STRONG)))
-    unit = F.regexp_extract("sentence", DURATION, 2)
-    s = s.where(~F.lower(unit).rlike("hour|hr"))
+    # the duration is looked for once; its number and unit are read from what was found
+    s = s.withColumn("raw", F.regexp_extract("sentence", DURATION, 0)).where("raw <> ''")
+    unit = F.regexp_extract("raw", DURATION, 2)
+    s = s.where(~_any(F.lower(unit), ["hour", "hr"]))
     base = F.when(_any(F.col("low"), FIRM), 0.9).when(_any(F.col("low"), FAIR), 0.75).otherwise(0.6)
     conf = F.round(F.greatest(F.lit(0.3), base - F.when(_any(F.col("low"), CONDITIONAL), 0.15).otherwise(0.0)), 2)
-    s = s.withColumn("category", category_phrase(F.col("sentence")))
+    s = s.withColumn("category", category_phrase(F.col("sentence"), F.col("raw")))
     words = F.array_distinct(F.concat(keywords(F.col("category")), keywords(F.col("heading"))))
-    return s.select("doc", "pos", "part", "category", to_days(F.regexp_extract("sentence", DURATION, 1), unit).alias("retention_days"), F.regexp_extract("sentence", DURATION, 0).alias("raw_period"), "sentence", "heading", words.alias("keywords"), conf.alias("confidence"), _any(F.col("low"), DEFAULT_MARKERS).alias("is_default"))
+    return s.select("doc", "pos", "part", "category", to_days(F.regexp_extract("raw", DURATION, 1), unit).alias("retention_days"), F.col("raw").alias("raw_period"), "sentence", "heading", words.alias("keywords"), conf.alias("confidence"), _any(F.col("low"), DEFAULT_MARKERS).alias("is_default"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -140,6 +144,7 @@ def propose_mappings(rules: DataFrame, targets: list[str], synonyms: dict[str, l
     rows = [(t, i, synonyms[t], t.replace(".", " ").replace("_", " ")) for i, t in enumerate(synonyms) if t in set(targets)]
     cand = [F.struct(F.lit(t).alias("target"), F.lit(i).alias("ord"), F.array(*[F.lit(v) for v in vocab]).alias("vocab"), keywords(F.lit(spoken)).alias("tokens")) for t, i, vocab, spoken in rows]
     key = F.xxhash64("doc", "pos", "part")
+    reach_workers(rules.sparkSession)
     r = rules.withColumn("rule", key)
     # each rule against the lexicon's few entries, a literal of bounded size
     none = F.array().cast("array<struct<target: string, ord: int, vocab: array<string>, tokens: array<string>>>")

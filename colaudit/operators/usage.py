@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import places
+from ..scratch import keep
 from . import lineage as ln
 from .ranks import running
 
@@ -51,10 +52,12 @@ def attribute(log: DataFrame, columns: DataFrame | None, mode: str = "hybrid") -
     declared = (F.size(r) + F.size(w)) > 0
     if mode == "declared":
         return log.select("*", F.array_distinct(r).alias("reads"), F.array_distinct(w).alias("writes"), F.when(declared, "declared").otherwise("none").alias("attribution"))
-    templates = log.select("sql") if "ts_first" in log.columns else log.select(ln.template_of("sql").alias("sql"))
-    found = ln.lineage_table(templates, columns, templated=True)
-    if columns is not None:
-        found = ln.expand_wildcards(found, columns)
+    if "ts_first" in log.columns:  # few rows, from which templates and counts are taken: the log is read once
+        log = keep(log, "compacted")
+        templates = log.select("sql")
+    else:
+        templates = log.select(ln.template_of("sql").alias("sql"))
+    found = ln.lineage_table(templates, columns, templated=True, expand=True)
     found = found.select(F.col("sql").alias("_template"), F.col("reads").alias("_r"), F.col("writes").alias("_w"), F.col("parsed_ok").alias("_ok"))
     template = F.col("sql") if "ts_first" in log.columns else ln.template_of(F.coalesce("sql", F.lit("")))
     joined = log.withColumn("_template", template).join(found, "_template", "left")

@@ -939,7 +939,8 @@ def remediation_drafts(spark, d):
 
 def _policy_docs(spark: SparkSession, d: str) -> DataFrame:
     """A policy document for each order: periods by priority and month."""
-    o = _t(spark, d, "orders")
+    # the small table is one file; its rows are dealt out before each becomes a document
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     years = (F.month("o_orderdate") % 7 + 1).cast("string")
     text = F.concat(
         F.lit("# 1. Policy\n\nThis page is\nreviewed often.\n\n## 2.1 Transaction records\n\nOrder and transaction records of priority "), F.substring("o_orderpriority", 3, 20), F.lit(" **must\nbe retained for "), years,

@@ -1,13 +1,21 @@
-"""Tables written between steps, in the folder that driver and executors share."""
+"""What driver and executors share: a folder for tables written between steps, and this package."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Python workers that see this folder find the package there, wherever the driver was started."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in (found := env.get("PYTHONPATH", "")).split(":"):
+        env["PYTHONPATH"] = f"{root}:{found}".strip(":")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where the session has none and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
