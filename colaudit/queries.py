@@ -649,7 +649,8 @@ _LINEAGE_SQL = "l(event_type, qualified_name, is_write) AS (VALUES " + ", ".join
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
     """A query log derived from the events; for some services the columns are declared."""
-    e = _t(spark, d, "events")
+    # the small table is one file; its rows are dealt out before each becomes a statement
+    e = _t(spark, d, "events").select("ts", "event_id", "event_type", "user_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.create_map(*[F.lit(x) for kv in _STATEMENTS.items() for x in kv])[F.col("event_type")]
     declared = F.create_map(*[x for k, (r, w) in _LINEAGE.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in r + w]))])[F.col("event_type")]
     none = F.array().cast("array<string>")
