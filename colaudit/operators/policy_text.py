@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import reach_workers
+from ..scratch import keep, reach_workers
 from ..sources.policy import RetentionPolicy
 
 # --- fixed values: words that decide what counts as a retention rule ----------------------------
@@ -142,13 +142,14 @@ def propose_mappings(rules: DataFrame, targets: list[str], synonyms: dict[str, l
     targets: table and column names that may be meant; the lexicon bounds how many count.
     """
     rows = [(t, i, synonyms[t], t.replace(".", " ").replace("_", " ")) for i, t in enumerate(synonyms) if t in set(targets)]
-    cand = [F.struct(F.lit(t).alias("target"), F.lit(i).alias("ord"), F.array(*[F.lit(v) for v in vocab]).alias("vocab"), keywords(F.lit(spoken)).alias("tokens")) for t, i, vocab, spoken in rows]
+    cand = rules.sparkSession.createDataFrame(rows, "target string, ord int, vocab array<string>, spoken string").select("target", "ord", "vocab", keywords(F.col("spoken")).alias("tokens"))
     key = F.xxhash64("doc", "pos", "part")
     reach_workers(rules.sparkSession)
+    rules = keep(rules, "rules")  # read three times below
     r = rules.withColumn("rule", key)
     # each rule against the lexicon's few entries, a literal of bounded size
-    none = F.array().cast("array<struct<target: string, ord: int, vocab: array<string>, tokens: array<string>>>")
-    pairs = r.where("not is_default").withColumn("c", F.explode(F.array(*cand) if cand else none)).select(*r.columns, "c.*")
+    # each rule against the lexicon's few entries: the lexicon is a literal of bounded size
+    pairs = r.where("not is_default").crossJoin(F.broadcast(cand))
     near = pairs.select(F.explode("keywords").alias("k"), "tokens").select("k", F.explode("tokens").alias("t")).distinct().withColumn("sim", _similar("k", "t"))
     fuzzy = pairs.select("rule", "target", F.explode("keywords").alias("k"), "tokens").select("rule", "target", "k", F.explode("tokens").alias("t")).join(near, ["k", "t"]).groupBy("rule", "target").agg(F.max("sim").alias("fuzzy"))
     cat = F.lower("category")
