@@ -1,7 +1,8 @@
 """Retention rules from written policies, and their mapping to tables and columns.
 
-Documents are split by array functions on the executors; the only Python is the fuzzy ratio of two short
-words, in a pandas function over distinct word pairs.
+Documents are split by array functions on the executors.  Mapping joins phrases with indexes of the lexicon's terms
+and letters; the only Python is the fuzzy ratio of two short words, in a pandas function over distinct word pairs
+that could still decide.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,52 +138,152 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def _lexicon(spark: SparkSession, targets: list[str], synonyms: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(target, ord, term) and (target, ord, token, n_tokens) of the known targets, tables before columns.
+
+    Both are local relations whose size the planner knows, so that it broadcasts them only where they are small.
+    """
+    known = sorted((t for t in synonyms if t in set(targets)), key=lambda t: "." in t)
+    spoken = pa.table({"target": pa.array(known, pa.string()), "ord": pa.array(range(len(known)), pa.int32()), "vocab": pa.array([synonyms[t] for t in known], pa.list_(pa.string()))})
+    lex = spark.createDataFrame(spoken).select("target", "ord", "vocab", keywords(F.translate("target", "._", "  ")).alias("tokens"))
+    return lex.select("target", "ord", F.explode("vocab").alias("term")), lex.select("target", "ord", F.explode("tokens").alias("token"), F.size("tokens").alias("n_tokens"))
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The different parts of ``size`` letters."""
+    parts = F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
+
+
+def _holding(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(text, part) where the text contains the part; both inputs have distinct rows.
+
+    A part is looked up under its first three letters (all, if it has fewer) in an index of the texts' grams.
+    """
+    grams = F.concat(*[_grams(F.col("text"), n) for n in (1, 2, 3)])
+    found = texts.select("text", F.explode(grams).alias("gram")).join(parts.select("part", F.substring("part", 1, 3).alias("gram")), "gram")
+    return found.where(F.contains("text", "part")).select("text", "part")
+
+
+def _spelled(words: DataFrame, name: str) -> DataFrame:
+    """(word, letter, how often)."""
+    chars = F.filter(F.split(name, ""), lambda x: x != "")
+    counted = F.transform(F.array_distinct(chars), lambda x: F.struct(x.alias("letter"), F.size(F.filter(chars, lambda y: y == x)).alias(f"n_{name}")))
+    return words.select(name, F.inline(counted))
+
+
+def _alike(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(k, token, bound): the pairs that share a letter, and what their ratio is at most.
+
+    The matching blocks of two words are no longer than the letters they share; words without one have ratio 0.
+    """
+    shared = _spelled(words, "k").join(_spelled(tokens, "token"), "letter").groupBy("k", "token").agg(F.sum(F.least("n_k", "n_token")).alias("shared"))
+    return shared.select("k", "token", (2 * F.col("shared") / (F.length("k") + F.length("token"))).alias("bound"))
+
+
+def _best_targets(phrases: DataFrame, targets: list[str], synonyms: dict[str, list[str]], n: int) -> DataFrame:
+    """phrases(phrase, cat, keywords) -> (phrase, top): the n targets of highest positive score, best first.
+
+    Terms, tokens and letters are indexes that phrases are joined with.  The exact ratio is computed only
+    for targets that could still be among the n, by the bounds of all.
+    """
+    terms, tokens = _lexicon(phrases.sparkSession, targets, synonyms)
+    words = phrases.select("phrase", F.explode("keywords").alias("k"))
+    vocabulary = words.select("k").distinct()
+    each_term, each_token = terms.select("term").distinct(), tokens.select("token").distinct()
+    # lexicon: a term in the category, in a keyword, or around one
+    in_cat = _holding(phrases.select(F.col("cat").alias("text")).distinct(), each_term.withColumnRenamed("term", "part"))
+    around = _holding(each_term.withColumnRenamed("term", "text"), vocabulary.withColumnRenamed("k", "part")).select(F.col("part").alias("k"), F.col("text").alias("term"))
+    in_word = _holding(vocabulary.withColumnRenamed("k", "text"), each_term.withColumnRenamed("term", "part")).select(F.col("text").alias("k"), F.col("part").alias("term"))
+    met = phrases.join(in_cat.withColumnRenamed("text", "cat"), "cat").select("phrase", F.col("part").alias("term"))
+    met = met.unionAll(words.join(in_word.unionAll(around).distinct(), "k").select("phrase", "term")).distinct()
+    hits = met.join(terms, "term").groupBy("phrase", "target", "ord").agg(F.count("*").alias("hits"))
+    # names: equal tokens, and the bound of similar ones
+    equal = words.join(tokens, words["k"] == tokens["token"]).groupBy("phrase", "target", "ord").agg((F.count("*") / F.max("n_tokens")).alias("overlap"))
+    near = keep(_alike(vocabulary, each_token), "alike")
+    bounds = words.join(near, "k").join(tokens, "token").groupBy("phrase", "target", "ord").agg(F.max("bound").alias("most"))
+    on = ["phrase", "target", "ord"]
+    parts = hits.join(equal, on, "full_outer").join(bounds, on, "full_outer").fillna(0, ["hits", "overlap", "most"])
+
+    def total(fuzzy: Column) -> Column:
+        return F.round(0.6 * F.least(F.lit(1.0), F.col("hits") / 2) + 0.25 * F.col("overlap") + 0.15 * fuzzy, 3)
+
+    by_low = Window.partitionBy("phrase").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.withColumn("low", total(F.lit(0.0))).withColumn("bar", F.coalesce(F.nth_value("low", n).over(by_low), F.lit(0.0)))
+    left = keep(parts.where(total(F.col("most")) >= F.col("bar")).drop("low", "bar"), "candidates")
+    pairs = left.where("most > 0").select(*on).join(tokens.select("target", "token"), "target").join(words, "phrase").join(near.select("k", "token"), ["k", "token"])
+    ratio = pairs.select("k", "token").distinct().withColumn("ratio", _similar("k", "token"))
+    fuzzy = pairs.join(ratio, ["k", "token"]).groupBy(*on).agg(F.max("ratio").alias("fuzzy"))
+    scored = left.join(fuzzy, on, "left").withColumn("score", total(F.coalesce("fuzzy", F.lit(0.0)))).where("score > 0")
+    best = Window.partitionBy("phrase").orderBy(F.desc("score"), "ord")
+    ranked = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
+    return ranked.groupBy("phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "target", "score"))), lambda x: F.struct(x["target"].alias("target"), x["score"].alias("score"))).alias("top"))
+
+
 def propose_mappings(rules: DataFrame, targets: list[str], synonyms: dict[str, list[str]] = SYNONYMS, min_score: float = 0.30) -> DataFrame:
     """rules -> the same with (target_kind, target, match_score, suggested, alternatives).
 
-    targets: table and column names that may be meant; the lexicon bounds how many count.
+    targets: table and column names that may be meant; the lexicon says how they are spoken of.  Rules of equal
+    category and keywords are one phrase, mapped once.  Ties go to tables before columns, then to the lexicon's order.
+    A target must score above 0 whatever ``min_score`` is.
     """
-    rows = [(t, i, synonyms[t], t.replace(".", " ").replace("_", " ")) for i, t in enumerate(synonyms) if t in set(targets)]
-    cand = rules.sparkSession.createDataFrame(rows, "target string, ord int, vocab array<string>, spoken string").select("target", "ord", "vocab", keywords(F.col("spoken")).alias("tokens"))
-    key = F.xxhash64("doc", "pos", "part")
     reach_workers(rules.sparkSession)
-    rules = keep(rules, "rules")  # read three times below
-    r = rules.withColumn("rule", key)
-    # each rule against the lexicon's few entries, a literal of bounded size
-    # each rule against the lexicon's few entries: the lexicon is a literal of bounded size
-    pairs = r.where("not is_default").crossJoin(F.broadcast(cand))
-    near = pairs.select(F.explode("keywords").alias("k"), "tokens").select("k", F.explode("tokens").alias("t")).distinct().withColumn("sim", _similar("k", "t"))
-    fuzzy = pairs.select("rule", "target", F.explode("keywords").alias("k"), "tokens").select("rule", "target", "k", F.explode("tokens").alias("t")).join(near, ["k", "t"]).groupBy("rule", "target").agg(F.max("sim").alias("fuzzy"))
-    cat = F.lower("category")
-    hits = F.size(F.filter("vocab", lambda v: cat.contains(v) | F.exists("keywords", lambda k: v.contains(k) | k.contains(v))))
-    overlap = F.when(F.size("tokens") > 0, F.size(F.array_intersect("keywords", "tokens")) / F.nullif(F.size("tokens"), F.lit(0))).otherwise(0.0)
-    scored = pairs.join(fuzzy, ["rule", "target"], "left").withColumn("score", F.round(0.6 * F.least(F.lit(1.0), hits / 2) + 0.25 * overlap + 0.15 * F.coalesce("fuzzy", F.lit(0.0)), 3))
-    ranked = scored.groupBy("rule").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord", "target", "score"))).alias("top"))
-    j = r.join(ranked, "rule", "left")
+    phrase = F.md5(F.concat_ws("\x1f", F.lower("category"), F.array_join("keywords", "\x1e")))
+    r = keep(rules.withColumn("phrase", phrase), "rules")  # read twice below
+    phrases = keep(r.where("not is_default").groupBy("phrase").agg(F.first(F.lower("category")).alias("cat"), F.first("keywords").alias("keywords")), "phrases")
+    j = r.join(_best_targets(phrases, targets, synonyms, 4), "phrase", "left")
     best, second = F.get("top", F.lit(0)), F.coalesce(F.get("top", F.lit(1))["score"], F.lit(0.0))
     score = F.coalesce(best["score"], F.lit(0.0))
-    hit = score >= min_score
+    hit = (score >= min_score) & (score > 0)
     name = F.when(~F.col("is_default") & hit, best["target"])
     kind = F.when(F.col("is_default"), "default").when(name.isNull(), "unmapped").when(name.contains("."), "column").otherwise("table")
-    rest = F.when(hit, F.filter(F.slice("top", 2, 3), lambda x: x["score"] > 0.1)).otherwise(F.filter(F.slice("top", 1, 3), lambda x: x["score"] > 0))
-    alternatives = F.coalesce(F.transform(rest, lambda x: F.struct(x["target"].alias("target"), x["score"].alias("score"))), F.array().cast("array<struct<target: string, score: double>>"))
-    return j.select(*rules.columns, kind.alias("target_kind"), name.alias("target"), F.when(F.col("is_default"), 1.0).otherwise(score).alias("match_score"), (F.col("is_default") | F.coalesce(name.isNotNull() & (score >= 0.5) & (score - second >= 0.12 - 1e-9), F.lit(False))).alias("suggested"), alternatives.alias("alternatives"))
+    rest = F.when(hit, F.filter(F.slice("top", 2, 3), lambda x: x["score"] > 0.1)).otherwise(F.slice("top", 1, 3))
+    alternatives = F.when(F.col("is_default"), F.lit(None)).otherwise(rest)
+    suggested = F.col("is_default") | F.coalesce(name.isNotNull() & (score >= 0.5) & (score - second >= 0.12 - 1e-9), F.lit(False))
+    return j.select(
+        *rules.columns, kind.alias("target_kind"), name.alias("target"), F.when(F.col("is_default"), 1.0).otherwise(score).alias("match_score"), suggested.alias("suggested"),
+        F.coalesce(alternatives, F.array().cast("array<struct<target: string, score: double>>")).alias("alternatives"),
+    )
 
 
 def conflicts(proposals: DataFrame) -> DataFrame:
-    """Targets that rules give different periods, longest first."""
-    g = proposals.where("target is not null").groupBy("target").agg(F.count_distinct("retention_days").alias("n_periods"), F.reverse(F.array_sort(F.collect_list(F.struct(F.col("retention_days").alias("days"), "category", F.col("sentence").alias("evidence"))))).alias("options"))
-    return g.where("n_periods > 1").select("target", "n_periods", "options")
+    """(target, n_periods, options): targets that rules give different periods, longest first.
+
+    An option is one period with the number of its rules and one of them as evidence, so a list is as long as there are
+    periods; ``conflict_evidence`` has a row for every rule.
+    """
+    periods = proposals.where("target is not null").groupBy("target", "retention_days").agg(F.count("*").alias("n_rules"), F.min(F.struct("category", "sentence")).alias("e"))
+    option = F.struct(F.col("retention_days").alias("days"), F.col("e.category").alias("category"), F.col("e.sentence").alias("evidence"), "n_rules")
+    g = periods.groupBy("target").agg(F.count("*").alias("n_periods"), F.reverse(F.array_sort(F.collect_list(option))).alias("options"))
+    return g.where("n_periods > 1")
+
+
+def conflict_evidence(proposals: DataFrame) -> DataFrame:
+    """The proposals of targets that rules give different periods."""
+    p = proposals.where("target is not null")
+    g = p.groupBy("target").agg(F.min("retention_days").alias("least"), F.max("retention_days").alias("most")).where("least < most")
+    return p.join(g.select("target"), "target", "left_semi")
+
+
+def drafted(proposals: DataFrame, accept: set[str] | None = None, by: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """(*by, target_kind, target, retention_days): the drafted policy of each document, or of all together without ``by``.
+
+    The accepted targets (else the suggested ones) with the longest period each, and the period of the last default
+    rule under target null.
+    """
+    chosen = proposals.where("target_kind in ('table', 'column')")
+    chosen = chosen.where(F.col("target").isin(*accept) if accept else F.lit(False)) if accept is not None else chosen.where("suggested")
+    mapped = chosen.groupBy(*by, "target_kind", "target").agg(F.max("retention_days").alias("retention_days"))
+    last = proposals.where("target_kind = 'default'").groupBy(*by).agg(F.max_by("retention_days", F.struct("doc", "pos", "part")).alias("retention_days"))
+    last = last.where("retention_days is not null").select(*by, F.lit("default").alias("target_kind"), F.lit(None).cast("string").alias("target"), "retention_days")
+    return mapped.unionByName(last)
 
 
 def to_policy(proposals: DataFrame, accept: set[str] | None = None) -> RetentionPolicy:
-    """The policy of the accepted targets (else of the suggested ones), the longest period each."""
-    chosen = proposals.where("target is not null and target_kind in ('table', 'column')")
-    chosen = chosen.where(F.col("target").isin(*accept)) if accept is not None else chosen.where("suggested")
-    days = chosen.groupBy("target", "target_kind").agg(F.max("retention_days").alias("days")).collect()
-    default = proposals.where("target_kind = 'default'").agg(F.max_by("retention_days", F.struct("pos", "part"))).first()[0]
-    pick = lambda kind: {r["target"]: r["days"] for r in days if r["target_kind"] == kind}
-    return RetentionPolicy(default or 365, pick("table"), pick("column"))
+    """The drafted policy of all documents together; its rows are bounded by the lexicon."""
+    rows = drafted(proposals, accept, ()).collect()
+    pick = lambda kind: {r["target"]: r["retention_days"] for r in rows if r["target_kind"] == kind}
+    return RetentionPolicy(pick("default").get(None) or 365, pick("table"), pick("column"))
 
 
 def read_document(spark: SparkSession, path_or_text: str) -> DataFrame:

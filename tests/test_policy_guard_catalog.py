@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import datetime
 import math
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +76,60 @@ def test_conflicts_keep_the_longer(spark):
     assert policy_text.to_policy(p, {"orders"}).tables == {"orders": 1825}
 
 
+def _by_hand(cat: str, words: list[str], targets: list[str], synonyms: dict[str, list[str]], tokens: dict[str, list[str]]):
+    """All targets by score, each compared with each."""
+    import difflib
+
+    out = []
+    for i, t in enumerate(sorted((t for t in synonyms if t in targets), key=lambda t: "." in t)):
+        hits = sum(term in cat or any(term in k or k in term for k in words) for term in synonyms[t])
+        same = len(set(words) & set(tokens[t])) / len(tokens[t]) if tokens[t] else 0.0
+        fuzzy = max((difflib.SequenceMatcher(None, k, n).ratio() for k in words for n in tokens[t]), default=0.0)
+        total = 0.6 * min(1.0, hits / 2) + 0.25 * same + 0.15 * fuzzy
+        out.append((-float(Decimal(repr(total)).quantize(Decimal("0.001"), ROUND_HALF_UP)), i, t))
+    return [(t, -s) for s, _, t in sorted(out) if s < 0]
+
+
+def test_mapping_equals_comparing_all(spark):
+    import random
+
+    draw = random.Random(5)
+    stems = ["order", "ip", "age", "agenda", "shipment", "logins", "login", "birth", "bodies", "rate", "useful", "sexton", "optin", "subscriber", "zzz", "case", "showcase", "qqx", "demographics", "invoices"]
+    lexicon = policy_text.SYNONYMS | {"wide": ["ab", "x", "order"], "wide.agenda_items": ["agenda item", "showcase"], "zz.qq_ww": ["never spoken of"]}
+    rows = []
+    for i in range(150):
+        said = [draw.choice(stems) for _ in range(draw.randint(0, 4))]
+        rows.append((f"d{i % 7}", i, 0, " ".join(said).title(), 30 * i, "", "s", "", [w for w in dict.fromkeys(said) if len(w) > 2], 0.6, i % 19 == 0))
+    names = "doc string, pos int, part int, category string, retention_days int, raw_period string, sentence string, heading string, keywords array<string>, confidence double, is_default boolean"
+    rules = spark.createDataFrame(rows + rows[:5], names)
+    for targets in (list(lexicon), ["orders", "users.gender"], []):
+        tokens = {t: spark.range(1).select(policy_text.keywords(F.lit(t.replace(".", " ").replace("_", " ")))).first()[0] for t in targets}
+        got = policy_text.propose_mappings(rules, targets, lexicon).collect()
+        assert len(got) == 155
+        for r in got:
+            want = _by_hand(r["category"].lower(), r["keywords"], targets, lexicon, tokens)
+            if r["is_default"]:
+                assert (r["target_kind"], r["target"], r["match_score"], r["suggested"], r["alternatives"]) == ("default", None, 1.0, True, [])
+                continue
+            top = want[0] if want else (None, 0.0)
+            assert r["match_score"] == pytest.approx(top[1])
+            hit = top[1] >= 0.3
+            assert r["target"] == (top[0] if hit else None)
+            rest = [x for x in want[1:4] if x[1] > 0.1] if hit else want[:3]
+            assert [(a["target"], a["score"]) for a in r["alternatives"]] == rest
+            assert r["suggested"] == (hit and top[1] >= 0.5 and top[1] - (want[1][1] if len(want) > 1 else 0.0) >= 0.12 - 1e-9)
+
+
+def test_drafted_by_document(spark):
+    rows = [("a", 0, 0, "orders", 10, "table", True), ("a", 1, 0, "orders", 30, "table", True), ("a", 2, 0, "users.gender", 5, "column", False), ("a", 3, 0, None, 7, "default", True), ("a", 4, 0, None, 9, "default", True), ("b", 0, 0, "orders", 20, "table", True), ("b", 1, 0, None, 4, "unmapped", False)]
+    p = spark.createDataFrame(rows, "doc string, pos int, part int, target string, retention_days int, target_kind string, suggested boolean")
+    got = {(r["doc"], r["target"]): r["retention_days"] for r in policy_text.drafted(p).collect()}
+    assert got == {("a", "orders"): 30, ("a", None): 9, ("b", "orders"): 20}
+    assert {r["target"] for r in policy_text.drafted(p, {"users.gender"}).collect()} == {"users.gender", None}
+    q = p.withColumn("category", F.lit("c")).withColumn("sentence", F.lit("s"))
+    assert policy_text.conflict_evidence(q).count() == 3 and policy_text.conflicts(q).first()["options"][0]["days"] == 30
+
+
 def test_no_rules(spark):
     rules = policy_text.extract_rules(policy_text.read_document(spark, "Nothing here.\nAt all.\n"))
     assert rules.count() == 0 and policy_text.propose_mappings(rules, TARGETS).count() == 0
