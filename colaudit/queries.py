@@ -604,6 +604,34 @@ def ml_hybrid_blend(spark, d):
     return hybrid(rules, ml).select(F.col("qualified_name").alias("entity"), "rule_score", "ml_score", "score", "disagreement")
 
 
+def _described_fully(spark: SparkSession, d: str) -> DataFrame:
+    """The described columns with all fields of the column relation."""
+    c = _described(spark, d)
+    return c.select(*[(F.col(f"`{f.name}`") if f.name in c.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(COLUMNS)])
+
+
+@query(f"""WITH {_NORM}, {_FINAL}, t AS (SELECT {_STIER} AS tier, count(*) AS n FROM s GROUP BY 1), k AS (SELECT tier, round_even(n * 0.25, 0)::BIGINT AS n FROM t)
+SELECT 'held out, by tier' AS part, tier AS name, n, true AS reached FROM k WHERE n > 0 UNION ALL SELECT 'held out', 'all', sum(n)::BIGINT, true FROM k
+UNION ALL SELECT 'all columns', unnest(['rules', 'model', 'hybrid']), (SELECT count(*) FROM customer), true""")
+def ml_trained(spark, d):
+    """A model taught by the rules on the described columns: held-out gates, then rules, model and blend against the rules' labels.
+
+    Gates: precision of the sensitive side 0.95, its recall 0.9, and a mean distance of scores of 0.1.
+    """
+    from .operators import ml
+
+    columns = keep(_described_fully(spark, d), "described")
+    model, held_out = ml.learn(columns)
+    held_out = keep(held_out.select("label", "tier_predicted"), "held-out")
+    rules, learned = keep(sensitivity.classify(columns), "rules"), keep(ml.predict(model, columns), "learned")
+    truth = rules.select("qualified_name", F.col("score").alias("sensitivity_score"), F.col("tier").alias("sensitivity_tier"), "is_sensitive")
+    good = (F.col("precision") >= 0.95) & (F.col("recall") >= 0.9)
+    whole = ml.held_out(held_out).select(F.lit("held out").alias("part"), F.lit("all").alias("name"), "n", good.alias("reached"))
+    by_tier = held_out.groupBy(F.lit("held out, by tier").alias("part"), F.col("label").alias("name")).agg(F.count("*").alias("n"), (F.avg((F.col("label") == F.col("tier_predicted")).cast("int")) >= 0.8).alias("reached"))
+    ways = ml.compare(rules, learned, truth).select(F.lit("all columns").alias("part"), F.col("method").alias("name"), "n", (good & (F.col("score_mae") <= 0.1)).alias("reached"))
+    return by_tier.unionAll(whole).unionAll(ways)
+
+
 # --- catalogue -----------------------------------------------------------------------------------
 
 
@@ -802,6 +830,37 @@ def usage_analyze_hybrid(spark, d):
     return _analyzed(spark, d, "hybrid")
 
 
+def _mixed_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log with a statement that cannot be parsed for signups, and declared columns that deletions do not name."""
+    log, none = _log(spark, d), F.array().cast("array<string>")
+    signup, error = F.col("service") == "signup", F.col("service") == "error"
+    given = {
+        "sql": F.when(signup, F.concat(F.lit("MERGE INTO customer USING incoming ON id = "), F.col("query_id"))).otherwise(F.col("sql")),
+        "declared_reads": F.when(signup, F.array(F.lit("customer.c_acctbal"))).otherwise(F.col("declared_reads")),
+        "declared_writes": F.when(signup, F.array(F.lit("customer.c_name"))).when(error, F.array(F.lit("customer.c_mktsegment"))).otherwise(none),
+    }
+    return log.withColumns(given)
+
+
+@query(f"""WITH {_LINEAGE_SQL}, {_COLUMNS_SQL}, clock AS (SELECT max(ts) AS now FROM events),
+e AS (SELECT event_type, ts FROM events, clock WHERE ts BETWEEN now - INTERVAL 14 DAY AND now),
+a AS (SELECT qualified_name, event_type, ts, is_write, 'parsed' AS kind FROM e JOIN l USING (event_type) WHERE event_type <> 'signup'
+  UNION ALL SELECT 'customer.c_mktsegment', event_type, ts, true, 'parsed' FROM e WHERE event_type = 'error'
+  UNION ALL SELECT 'customer.c_acctbal', event_type, ts, false, 'declared' FROM e WHERE event_type = 'signup'
+  UNION ALL SELECT 'customer.c_name', event_type, ts, true, 'declared' FROM e WHERE event_type = 'signup'),
+g AS (SELECT qualified_name, count(*) FILTER (NOT is_write) AS read_count, count(*) FILTER (is_write) AS write_count, count(DISTINCT ts::DATE) AS distinct_days, max(ts) AS last_at, CASE WHEN count(DISTINCT kind) > 1 THEN 'hybrid' ELSE min(kind) END AS attribution FROM a GROUP BY 1),
+w AS (SELECT qualified_name, coalesce(read_count, 0) AS read_count, coalesce(write_count, 0) AS write_count, coalesce(distinct_days, 0) AS distinct_days, coalesce(read_count, 0) + 0.25 * coalesce(write_count, 0) AS weighted, last_at, coalesce(attribution, 'none') AS attribution FROM c LEFT JOIN g USING (qualified_name)),
+mid AS (SELECT *, (2 * (rank() OVER (ORDER BY weighted) - 1) + count(*) OVER (PARTITION BY weighted)) / 2.0 / (count(*) OVER () - 1) AS rank_fraction FROM w),
+p AS (SELECT mid.*, least(1.0, ln(1 + weighted) / ln(401.0)) AS absolute, pow(0.5, greatest(0, epoch_us(now) - epoch_us(last_at)) / 86400e6 / (14 / 3.0)) AS recency FROM mid, clock),
+u AS (SELECT *, 0.55 * rank_fraction + 0.45 * absolute AS frequency, CASE WHEN weighted > 0 THEN round(least(1, greatest(0, (0.55 * rank_fraction + 0.45 * absolute) * (0.5 + 0.5 * recency))) + 1e-9, 4) ELSE 0.0 END AS score FROM p)
+SELECT qualified_name, score, {_TIER} AS tier, read_count, write_count, distinct_days, attribution, weighted::DOUBLE AS weighted, round(rank_fraction, 6) AS rank_fraction, round(absolute, 6) AS absolute, round(frequency, 6) AS frequency, round(recency, 6) AS recency FROM u""")
+def usage_analyze_mixed(spark, d):
+    """Hybrid attribution where declared lists add columns and stand in for what cannot be parsed; score and its parts."""
+    u = usage.analyze(_mixed_log(spark, d), _columns(spark, d), 14, mode="hybrid")
+    parts = [_r(F.col(f"signals.{c}"), c) for c in ("rank_fraction", "absolute", "frequency", "recency")]
+    return u.select("qualified_name", "score", "tier", "read_count", "write_count", "distinct_days", "attribution", F.col("signals.weighted").alias("weighted"), *parts)
+
+
 @query("""WITH e AS (SELECT event_type FROM events WHERE ts BETWEEN (SELECT max(ts) FROM events) - INTERVAL 14 DAY AND (SELECT max(ts) FROM events))
 SELECT count(*) AS n_in_window, 0::BIGINT AS n_parsed, count(*) FILTER (event_type IN ('view', 'click')) AS n_declared, count(*) FILTER (event_type NOT IN ('view', 'click')) AS n_none FROM e""")
 def usage_run_counters(spark, d):
@@ -964,3 +1023,47 @@ def policy_conflicts(spark, d):
     prio = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("doc"), F.col("o_orderpriority").alias("target"))
     p = rules.join(prio, "doc").select("target", "retention_days", "category", "sentence").distinct()
     return policy_text.conflicts(p).select("target", "n_periods", F.col("options")[0]["days"].alias("longest"))
+
+
+#: Subjects of retention rules; what they are mapped to, by hand: kind, target, score, suggested, the next targets.
+_SUBJECTS = [
+    ("Order and transaction records", "table", "orders", 1.0, True, "support_tickets.satisfaction_rating 0.104"),
+    ("Payment invoices", "table", "orders", 0.682, True, ""),
+    ("Support tickets and correspondence", "table", "support_tickets", 1.0, True, "support_tickets.body 0.617; support_tickets.satisfaction_rating 0.275"),
+    ("Customer account profiles", "table", "users", 0.7, True, "support_tickets 0.346"),
+    ("Marketing consent preferences", "column", "users.marketing_consent", 0.917, True, ""),
+    ("Login history", "column", "users.last_login_at", 0.833, True, "users.last_login_ip 0.533"),
+    ("Gender and demographic reporting", "column", "users.gender", 0.875, True, "users.date_of_birth 0.360"),
+    ("Satisfaction survey ratings", "column", "support_tickets.satisfaction_rating", 0.875, True, ""),
+    ("Date of birth", "column", "users.date_of_birth", 0.875, True, ""),
+    ("Warehouse temperature readings", "unmapped", None, 0.115, False, "support_tickets.satisfaction_rating 0.115; users.marketing_consent 0.094; orders 0.082"),
+    ("Network source addresses", "column", "users.last_login_ip", 0.66, True, ""),
+    ("Message archives", "column", "support_tickets.body", 0.36, False, "users.date_of_birth 0.350"),
+]
+_SUBJECTS_SQL = (
+    "s(k, target_kind, target, match_score, suggested, others) AS (VALUES " + ", ".join(f"({i}, '{k}', {f"'{t}'" if t else 'NULL'}, {m}::DOUBLE, {str(g).lower()}, '{o}')" for i, (_, k, t, m, g, o) in enumerate(_SUBJECTS)) + "),\n"
+    "o AS (SELECT o_orderkey::VARCHAR AS doc, o_orderkey % 12 AS k, month(o_orderdate) % 7 + 1 AS y FROM orders),\n"
+    "r AS (SELECT doc, k, (y * 365)::INTEGER AS retention_days FROM o UNION ALL SELECT doc, CASE WHEN k % 2 = 0 THEN k ELSE (k + 5) % 12 END, 540 FROM o)"
+)
+
+
+def _proposals(spark: SparkSession, d: str) -> DataFrame:
+    """A policy for each order, of two rules on subjects by its number and a default, mapped to the lexicon's targets."""
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("doc"), (F.col("o_orderkey") % 12).alias("k"), (F.month("o_orderdate") % 7 + 1).cast("string").alias("y"))
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # the small table is one file
+    subject = lambda k: F.get(F.array(*[F.lit(s[0]) for s in _SUBJECTS]), k.cast("int"))
+    second = F.when(F.col("k") % 2 == 0, F.col("k")).otherwise((F.col("k") + 5) % 12)
+    text = F.concat(F.lit("# 1. Records\n\n"), subject(F.col("k")), F.lit(" must be retained for "), "y", F.lit(" years.\n\n"), subject(second), F.lit(" are kept for 18 months.\n\nAny other data is deleted after two years.\n"))
+    return policy_text.propose_mappings(policy_text.extract_rules(o.select("doc", text.alias("text"))), list(policy_text.SYNONYMS))
+
+
+@query(f"""WITH {_SUBJECTS_SQL} SELECT doc, retention_days, target_kind, target, match_score, suggested, others FROM r JOIN s USING (k)
+UNION ALL SELECT doc, 730, 'default', NULL, 1.0::DOUBLE, true, '' FROM o""")
+def policy_mappings(spark, d):
+    others = F.array_join(F.transform("alternatives", lambda a: F.format_string("%s %.3f", a["target"], a["score"])), "; ")
+    return _proposals(spark, d).select("doc", "retention_days", "target_kind", "target", "match_score", "suggested", others.alias("others"))
+
+
+@query(f"""WITH {_SUBJECTS_SQL} SELECT doc, target_kind, target, max(retention_days) AS retention_days FROM r JOIN s USING (k) WHERE suggested GROUP BY ALL UNION ALL SELECT doc, 'default', NULL, 730 FROM o""")
+def policy_drafted(spark, d):
+    return policy_text.drafted(_proposals(spark, d))
