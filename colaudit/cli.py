@@ -1,4 +1,4 @@
-"""Command line: profile, audit, history, drafts and policy drafts.
+"""Command line: profile, audit, history, drafts, policy drafts, reports and evaluation against labels.
 
     python -m colaudit.cli audit --tables DIR --log FILE --history DIR
 """
@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import argparse
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import reports
 from .operators import history, policy_text, remediation, retention, scoring, sensitivity, usage
 from .plans.audit import AuditConfig, run_audit
+from .scratch import keep
 from .session import session
 from .sources import catalog, querylog
 from .sources.policy import RetentionPolicy
@@ -57,6 +61,8 @@ def parser() -> argparse.ArgumentParser:
     add("drafts", tables, log, (["--out"], {"required": True}), policy, days, window)
     add("policy", (["document"], {}), tables)
     add("train", (["--out"], {"required": True}), (["--model"], {"default": "logreg"}))
+    add("evaluate", tables, (["--truth"], {"required": True}), (["--model"], {"help": "a stored model; without it the rules alone"}))
+    add("report", (["what"], {"choices": ["profile", "usage", "retention"]}), tables, (["--log"], {}), window, policy, days, (["--top"], {"type": int, "default": 40}), (["--mode"], {"default": "hybrid"}))
     add("health", hist)
     return p
 
@@ -82,8 +88,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "usage":
         show(usage.analyze(querylog.read(spark, a.log), catalog.extract(tables)[0], a.window_days, mode=a.mode))
     elif a.command == "retention":
-        from datetime import datetime, timezone
-
         config, columns, now = _config(a, spark), catalog.extract(tables)[0], datetime.now(timezone.utc)
         show(retention.check(columns, config.policy, now, retention.live_stats(tables, columns, config.policy, now)))
     elif a.command in ("audit", "drafts"):
@@ -115,6 +119,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         from .operators import ml
 
         ml.save(ml.train(spark, a.model)[0], a.out)
+    elif a.command == "evaluate":
+        from .operators import evaluation, ml
+
+        truth = querylog.read_ground_truth(spark, a.truth)
+        columns = keep(catalog.extract(tables)[0], "columns")
+        rules = keep(sensitivity.classify(columns), "rules")
+        if a.model:
+            ways = ml.compare(rules, keep(ml.predict(ml.load(a.model), columns), "learned"), truth)
+        else:
+            ways = evaluation.evaluate_sensitivity(rules, truth).withColumn("method", F.lit("rules"))
+        print(reports.evaluation(ways))
+    elif a.command == "report":
+        columns = catalog.extract(tables)[0]
+        if a.what == "profile":
+            print(reports.profile(columns, a.top))
+        elif a.what == "usage":
+            print(reports.usage(usage.analyze(querylog.read(spark, a.log), columns, a.window_days, mode=a.mode), a.top))
+        else:
+            config, now = _config(a, spark), datetime.now(timezone.utc)
+            print(reports.retention(retention.check(columns, config.policy, now, retention.live_stats(tables, columns, config.policy, now)), a.top))
     elif a.command == "health":
         print(json.dumps({"status": "ok", "runs": past.count()}))
     return 0

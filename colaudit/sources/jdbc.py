@@ -6,12 +6,18 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.guard import ReadOnlyViolation, assert_read
 
 _DRIVERS = {"postgresql": ("jdbc:postgresql", "org.postgresql.Driver", 5432), "mysql": ("jdbc:mysql", "com.mysql.cj.jdbc.Driver", 3306)}
-#: Each session is forced read only before any statement.
-_INIT = {"postgresql": "SET SESSION CHARACTERISTICS AS TRANSACTION READ ONLY", "mysql": "SET SESSION TRANSACTION READ ONLY"}
+#: Each session is forced read only before any statement, and gives up locks and idle transactions soon.
+_INIT = {
+    "postgresql": "SET SESSION CHARACTERISTICS AS TRANSACTION READ ONLY; SET statement_timeout = '{statement}s'; SET lock_timeout = '{lock}s'; SET idle_in_transaction_session_timeout = '{idle}s'",
+    "mysql": "SET SESSION transaction_read_only = 1, SESSION max_execution_time = {statement}000, SESSION lock_wait_timeout = {lock}, SESSION innodb_lock_wait_timeout = {lock}, SESSION wait_timeout = {idle}",
+}
+#: Privileges of MySQL that change data or definitions.
+_WRITES = ("INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER", "INDEX", "TRIGGER", "REFERENCES", "CREATE VIEW", "CREATE ROUTINE", "ALTER ROUTINE", "EVENT", "CREATE TEMPORARY TABLES", "FILE", "SUPER")
 
 
 def load_env_file(path: str) -> dict[str, str]:
@@ -55,8 +61,10 @@ class TargetConfig:
     def __repr__(self) -> str:  # no password
         return f"TargetConfig({self.dialect}://{self.user}@{self.host}/{self.database})"
 
-    def options(self, timeout_s: int = 30) -> dict[str, str]:
-        return {"url": self.url, "driver": _DRIVERS[self.dialect][1], "user": self.user, "password": self.password, "sessionInitStatement": _INIT[self.dialect], "queryTimeout": str(timeout_s)}
+    def options(self, timeout_s: int = 30, lock_s: int = 5, idle_s: int = 60) -> dict[str, str]:
+        """What each connection is opened with; Spark closes it after its part of the scan, committed or not, so nothing stays open."""
+        init = _INIT[self.dialect].format(statement=timeout_s, lock=lock_s, idle=idle_s)
+        return {"url": self.url, "driver": _DRIVERS[self.dialect][1], "user": self.user, "password": self.password, "sessionInitStatement": init, "queryTimeout": str(timeout_s)}
 
 
 @dataclass(frozen=True)
@@ -96,12 +104,25 @@ class ReadOnlyReader:
         return reader.load()
 
     def verify(self) -> ReadOnlyReport:
-        if self.config.dialect != "postgresql":
-            raise NotImplementedError("accounts can be verified on PostgreSQL only")
+        """What the account may do, by the target's own catalogue."""
+        if self.config.dialect == "mysql":
+            return self._verify_mysql()
         who = self.query("SELECT rolsuper, has_database_privilege(current_database(), 'CREATE') AS can_create, current_setting('transaction_read_only') AS ro FROM pg_roles WHERE rolname = current_user").first()
         writable = self.query("SELECT schemaname || '.' || tablename AS t FROM pg_tables WHERE schemaname NOT IN ('pg_catalog', 'information_schema') AND has_table_privilege(schemaname || '.' || tablename, 'INSERT, UPDATE, DELETE')").limit(100).collect()
         return ReadOnlyReport(who["rolsuper"], who["can_create"], who["ro"] == "on", tuple(r["t"] for r in writable))
 
+    def _verify_mysql(self) -> ReadOnlyReport:
+        """Privileges on the server, the schema and single tables and columns; a grant on the whole schema counts as a writable table ``schema.*``."""
+        me = "grantee = concat('\\'', substring_index(current_user(), '@', 1), '\\'@\\'', substring_index(current_user(), '@', -1), '\\'')"
+        held = " UNION ALL ".join(
+            f"SELECT {place} AS place, privilege_type AS privilege FROM information_schema.{kind}_privileges WHERE {me}"
+            for kind, place in (("user", "'*.*'"), ("schema", "concat(table_schema, '.*')"), ("table", "concat(table_schema, '.', table_name)"), ("column", "concat(table_schema, '.', table_name)"))
+        )
+        changing = [(r["place"], r["privilege"]) for r in self.query(held).where(F.col("privilege").isin(*_WRITES)).distinct().limit(1_000).collect()]
+        ro = self.query("SELECT @@session.transaction_read_only AS ro").first()["ro"]
+        writes = sorted({place for place, p in changing if p in ("INSERT", "UPDATE", "DELETE")})
+        return ReadOnlyReport(("*.*", "SUPER") in changing, any(p.startswith("CREATE") for _, p in changing), bool(ro), tuple(writes))
+
     def __enter__(self):
         return self
 

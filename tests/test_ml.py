@@ -60,3 +60,17 @@ def test_comparison_and_usage_variants(spark, trained, tmp_path, monkeypatch):
 def test_training_with_usage(spark):
     r = ml.held_out(ml.train(spark, n_synth=135, include_usage=True)[1]).first()
     assert r["n"] > 25 and r["recall"] >= 0.8
+
+
+def test_gates_of_a_model_taught_on_a_table(spark):
+    from colaudit import registry
+
+    rows = registry.queries()["ml_trained"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 8 and all(r["reached"] for r in rows)
+
+
+def test_split_is_stratified_whatever_the_ties(spark):
+    rows = spark.createDataFrame([(f"c{i % 90}", "a" if i % 9 else "b") for i in range(180)], "k string, label string")
+    got = {(r["label"], r["is_test"]): r["count"] for r in ml.stratified_split(rows, "label", "k").groupBy("label", "is_test").count().collect()}
+    assert got == {("a", True): 40, ("a", False): 120, ("b", True): 5, ("b", False): 15}
+    assert ml.stratified_split(rows.limit(0), "label", "k").count() == 0

@@ -14,7 +14,7 @@ from colaudit.operators import guard, policy_text
 from colaudit.plans.audit import AuditConfig, run_audit
 from colaudit.schemas import LOG
 from colaudit.sources import catalog
-from colaudit.sources.jdbc import ReadOnlyReport, TargetConfig
+from colaudit.sources.jdbc import ReadOnlyReader, ReadOnlyReport, TargetConfig
 from colaudit.sources.policy import RetentionPolicy
 
 POLICY = """# Data retention
@@ -188,6 +188,38 @@ def test_target_config(tmp_path, monkeypatch):
     c = TargetConfig.from_env(str(tmp_path / ".env"), database="d")
     assert c.url == "jdbc:postgresql://h:5432/d" and "pw" not in repr(c) and "READ ONLY" in c.options()["sessionInitStatement"]
     assert ReadOnlyReport().ok and not ReadOnlyReport(writable_tables=("t",)).ok
+    init = c.options(timeout_s=7, lock_s=3, idle_s=11)["sessionInitStatement"]
+    assert all(x in init for x in ("statement_timeout = '7s'", "lock_timeout = '3s'", "idle_in_transaction_session_timeout = '11s'"))
+    my = TargetConfig(dialect="mysql", database="d").options(timeout_s=7)["sessionInitStatement"]
+    assert "transaction_read_only = 1" in my and "max_execution_time = 7000" in my and "lock_wait_timeout = 5" in my and ";" not in my
+
+
+@pytest.mark.parametrize(
+    ("held", "ro", "ok", "tables"),
+    [
+        ([("*.*", "USAGE"), ("shop.*", "SELECT")], 1, True, ()),
+        ([("shop.orders", "UPDATE"), ("shop.orders", "INSERT"), ("shop.a", "SELECT")], 1, False, ("shop.orders",)),
+        ([("*.*", "SUPER")], 1, False, ()),
+        ([("shop.*", "CREATE VIEW")], 1, False, ()),
+        ([("shop.*", "SELECT")], 0, False, ()),
+        ([], 1, True, ()),
+    ],
+)
+def test_mysql_accounts_are_verified(spark, monkeypatch, held, ro, ok, tables):
+    asked = []
+
+    def answer(self, sql):
+        guard.assert_read(sql)
+        asked.append(sql)
+        return spark.createDataFrame([(ro,)], "ro int") if "@@session" in sql else spark.createDataFrame(held, "place string, privilege string")
+
+    monkeypatch.setattr(ReadOnlyReader, "query", answer)
+    reader = ReadOnlyReader(spark, TargetConfig(dialect="mysql"), strict=False)
+    assert reader.report.ok is ok and reader.report.writable_tables == tables
+    assert all(f"information_schema.{k}_privileges" in asked[0] for k in ("user", "schema", "table", "column"))
+    if not ok:
+        with pytest.raises(guard.ReadOnlyViolation):
+            ReadOnlyReader(spark, TargetConfig(dialect="mysql"))
 
 
 @pytest.fixture(scope="module")
@@ -233,3 +265,22 @@ def test_command_line(spark, estate, tmp_path, capsys):
 def test_a_probe_that_has_not_run_is_not_reported_as_blocked():
     assert ReadOnlyReport().probe_blocked is None and "probe blocked not run" in ReadOnlyReport().summary()
     assert not ReadOnlyReport(probe_blocked=False).ok and "probe blocked False" in ReadOnlyReport(probe_blocked=False).summary()
+
+
+def test_reports_and_evaluation(spark, estate, tmp_path, capsys):
+    tables, log = estate
+    tables["users"].write.parquet(f"file://{tmp_path}/t/users.parquet")
+    log.write.json(f"file://{tmp_path}/log.json")
+    (tmp_path / "truth.csv").write_text("table,column,sensitivity_tier,sensitivity_score,pii_type\nusers,email,high,0.8,contact\nusers,ssn,high,0.95,government_id\nusers,id,none,0.0,\nusers,created_at,none,0.0,\n")
+    where = ["--tables", f"file://{tmp_path}/t"]
+    assert cli.main(["evaluate", *where, "--truth", f"file://{tmp_path}/truth.csv"], spark) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "sensitivity against labels" and out[2].split()[:6] == ["rules", "4", "2", "0", "2", "0"]
+    assert cli.main(["report", "profile", *where], spark) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "catalogue: 4 columns" and [x.split()[0] for x in out[2:]] == ["users.id", "users.email", "users.ssn", "users.created_at"]
+    assert cli.main(["report", "usage", *where, "--log", f"file://{tmp_path}/log.json", "--top", "2"], spark) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "usage over 90 days: 2 of 4 columns used" and [x.split()[0] for x in out[2:]] == ["users.email", "users.id"] and out[2].split()[3] == "30"
+    assert cli.main(["report", "retention", *where, "--policy-days", "30"], spark) == 0
+    assert "overdue" in capsys.readouterr().out
