@@ -13,7 +13,11 @@ from colaudit.llm.entries import bpe_round_trip, pii_key
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling rejects go."""
+    """Documents that importance resampling rejects go.
+
+    Null or empty texts have importance one; very long texts are scored by all their n-grams; repeated rows are kept
+    or dropped together, ties at the last kept key all stay; an empty table stays empty; other columns pass.
+    """
     return resample.sample(docs, table(spark, sf_dir, "labels"))
 
 
@@ -21,7 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates the document of the smallest id stays.
 
     Rows equal in id and text are one document.  Rows without an id get one from a hash of their text, above all
-    others, for this stage only.
+    others, for this stage only.  Null texts count as empty and texts without words link with each other; very long texts are
+    hashed whole; an empty table stays empty; other columns pass.
     """
     name = "_key"
     while name in docs.columns:
@@ -35,17 +40,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go.
+
+    Null or empty texts have no overlap and stay; very long texts are searched whole; repeated rows go or stay together;
+    an empty table stays empty; other columns pass.
+    """
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets are replaced in the texts."""
+    """Personal data and secrets are replaced in the texts.
+
+    Null texts stay null, empty ones empty; very long texts are read whole; of overlapping finds the earlier, then the kind
+    listed first, wins; repeated rows give equal results; an empty table stays empty; other columns pass.
+    """
     return pii.pseudonymise(docs, pii_key(spark), spans=None)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, text): token ids and the text they decode to."""
+    """(doc_id, ids, n_tokens, text): token ids and the text they decode to.
+
+    Null texts count as empty and have no ids; very long texts are encoded whole; repeated rows are encoded each; an empty
+    table gives no rows; other columns go.
+    """
     done = bpe_round_trip(docs)
     return done.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.decode("decoded", "UTF-8").alias("text"))
 
