@@ -1034,7 +1034,8 @@ def policy_conflicts(spark, d):
     return policy_text.conflicts(p).select("target", "n_periods", F.col("options")[0]["days"].alias("longest"))
 
 
-#: Subjects of retention rules; what they are mapped to, by hand: kind, target, score, suggested, the next targets.
+#: Subjects of retention rules and what they are mapped to: kind, target, score, suggested, the next targets.  First taken from
+#: this library's output, then confirmed without it (tests/test_policy_guard_catalog.py, plain Python with difflib).
 _SUBJECTS = [
     ("Order and transaction records", "table", "orders", 1.0, True, "support_tickets.satisfaction_rating 0.104"),
     ("Payment invoices", "table", "orders", 0.682, True, ""),

@@ -120,6 +120,26 @@ def test_mapping_equals_comparing_all(spark):
             assert r["suggested"] == (hit and top[1] >= 0.5 and top[1] - (want[1][1] if len(want) > 1 else 0.0) >= 0.12 - 1e-9)
 
 
+def test_subjects_of_the_queries_without_spark():
+    import re
+
+    from colaudit.queries import _SUBJECTS
+
+    def words(text):
+        found = [re.sub("s+$", "", w) if len(w) > 4 else w for w in re.findall(r"[a-z][a-z-]+", text.lower())]
+        return list(dict.fromkeys(w for w in found if w not in policy_text.STOP and len(w) > 2))
+
+    tokens = {t: words(t.replace(".", " ").replace("_", " ")) for t in TARGETS}
+    for subject, kind, target, score, suggested, others in _SUBJECTS:
+        ranked = _by_hand(subject.lower(), list(dict.fromkeys(words(subject) + ["record"])), TARGETS, policy_text.SYNONYMS, tokens)
+        hit = ranked[0][1] >= 0.3
+        rest = [x for x in ranked[1:4] if x[1] > 0.1] if hit else ranked[:3]
+        assert (target, score) == (ranked[0][0] if hit else None, ranked[0][1]), subject
+        assert kind == ("unmapped" if not hit else "column" if "." in target else "table")
+        assert others == "; ".join(f"{n} {x:.3f}" for n, x in rest), subject
+        assert suggested == (hit and score >= 0.5 and score - ranked[1][1] >= 0.12 - 1e-9)
+
+
 def test_drafted_by_document(spark):
     rows = [("a", 0, 0, "orders", 10, "table", True), ("a", 1, 0, "orders", 30, "table", True), ("a", 2, 0, "users.gender", 5, "column", False), ("a", 3, 0, None, 7, "default", True), ("a", 4, 0, None, 9, "default", True), ("b", 0, 0, "orders", 20, "table", True), ("b", 1, 0, None, 4, "unmapped", False)]
     p = spark.createDataFrame(rows, "doc string, pos int, part int, target string, retention_days int, target_kind string, suggested boolean")
