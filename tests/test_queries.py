@@ -42,3 +42,20 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["score_all_report", "score_full_outer", "ml_hybrid_blend"])
+def test_scores_on_the_edge_of_a_place(spark, tmp_path, data, name):
+    """Balances whose ten-thousandth ends in 5 are ranked by the rounding of SQL on doubles."""
+    balances = [6113.50, 6113.45, 6456.50, 6093.50, 2885.50, 5135.50, 246.50, 5125.50, 1.50, -12.5, 0.5, 4999.5]
+    c = duckdb.connect()
+    for t in ("events", "orders"):
+        c.execute(f"copy (select * from '{data}/{t}.parquet') to '{tmp_path}/{t}.parquet' (format parquet)")
+    given = ", ".join(str(b) for b in balances)
+    c.execute(f"copy (select * replace (([{given}]::DOUBLE[])[1 + c_custkey % {len(balances)}] as c_acctbal) from '{data}/customer.parquet') to '{tmp_path}/customer.parquet' (format parquet)")
+    for t in ("events", "orders", "customer"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    df = registry.queries()[name](spark, str(tmp_path))
+    rel = c.sql(registry.oracle_sql()[name])
+    got = {tuple(r[k] for k in rel.columns) for r in df.collect()}
+    assert got == set(rel.fetchall())
