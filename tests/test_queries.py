@@ -44,7 +44,7 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["score_all_report", "score_full_outer", "ml_hybrid_blend"])
+@pytest.mark.parametrize("name", ["score_all_report", "score_verdict_rank", "score_full_outer", "ml_hybrid_blend"])
 def test_scores_on_the_edge_of_a_place(spark, tmp_path, data, name):
     """Balances whose ten-thousandth ends in 5 are ranked by the rounding of SQL on doubles."""
     balances = [6113.50, 6113.45, 6456.50, 6093.50, 2885.50, 5135.50, 246.50, 5125.50, 1.50, -12.5, 0.5, 4999.5]
