@@ -49,6 +49,16 @@ def feature_columns(include_usage: bool = False) -> dict[str, Column]:
     return out
 
 
+def kinds_of(columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qualified_name, kind) of all columns, and one column for each different description, with the kind as its name.
+
+    A kind is the digest of all fields but the name; what is made of a kind holds for each of its columns.
+    """
+    fields = [c for c in columns.columns if c != "qualified_name"]
+    keyed = columns.withColumn("kind", F.sha2(F.to_json(F.struct(*fields)), 256))
+    return keyed.select("qualified_name", "kind"), keyed.select(F.col("kind").alias("qualified_name"), *fields).dropDuplicates(["qualified_name"])
+
+
 def featurize(columns: DataFrame, usage: DataFrame | None = None) -> DataFrame:
     """columns (⟕ usage) -> (qualified_name, one column per feature, ngrams array<string>)."""
     c = columns

@@ -74,3 +74,40 @@ def test_split_is_stratified_whatever_the_ties(spark):
     got = {(r["label"], r["is_test"]): r["count"] for r in ml.stratified_split(rows, "label", "k").groupBy("label", "is_test").count().collect()}
     assert got == {("a", True): 40, ("a", False): 120, ("b", True): 5, ("b", False): 15}
     assert ml.stratified_split(rows.limit(0), "label", "k").count() == 0
+
+
+def test_equal_columns_are_one_weighted_row_of_the_fit(spark, monkeypatch):
+    """The regression reads each different column once and comes out as if taught on every column."""
+    once = ml.synthetic_columns(spark, 54, seed=5)
+    columns = once.select(F.explode(F.sequence(F.lit(1), F.lit(12))).alias("i"), "*").withColumn("qualified_name", F.concat("qualified_name", F.lit("_"), F.col("i").cast("string"))).drop("i").localCheckpoint()
+    read, fit = [], ml.Pipeline.fit
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, rows, *a: read.append(rows.count()) or fit(self, rows, *a))
+    model, held_out = ml.learn(columns)
+    held_out = held_out.localCheckpoint()
+    assert 0 < read[0] <= 54 and held_out.count() == held_out.select("qualified_name").distinct().count() > 150
+    rows = features.featurize(columns).join(sensitivity.classify(columns).select("qualified_name", F.col("tier").alias("label")), "qualified_name")
+    assert held_out.select("qualified_name", "label").exceptAll(rows.select("qualified_name", "label")).count() == 0
+    rows = rows.join(held_out.select("qualified_name"), "qualified_name", "left_anti").localCheckpoint()
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n = sum(sizes.values())
+    weights = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, n / (len(sizes) * v))])
+    rows = rows.withColumn("weight", weights[F.col("label")])
+    for s in model.stages[:4]:
+        rows = s.transform(rows)
+    plain = ml.LogisticRegression(family="multinomial", regParam=1.0 / n, maxIter=500, labelCol="target", weightCol="weight").fit(rows)
+    assert model.stages[4].summary.objectiveHistory[-1] == pytest.approx(plain.summary.objectiveHistory[-1], rel=2e-3)
+    p = lambda df: {r[0]: r[1] for r in df.select("qualified_name", "probability").collect()}
+    one, other = p(held_out), p(plain.transform(held_out.drop("rawPrediction", "probability", "prediction")))
+    assert max(abs(a - b) for k in one for a, b in zip(one[k], other[k])) < 0.02
+
+
+def test_kinds_stand_for_all_their_columns(spark):
+    once = ml.synthetic_columns(spark, 30, seed=3)
+    nulls = once.limit(2).withColumns({"sample_values": F.lit(None).cast("array<string>"), "comment": F.lit(""), "name": F.lit("Ünïcode \"x\"")})
+    both = once.unionAll(nulls)
+    columns = both.unionAll(both).withColumn("qualified_name", F.concat("qualified_name", F.lit("_"), F.monotonically_increasing_id().cast("string"))).localCheckpoint()
+    keyed, kinds = features.kinds_of(columns)
+    assert columns.count() == keyed.count() == 64 and kinds.count() == 32
+    for work in (features.featurize, sensitivity.classify):
+        named = keyed.join(work(kinds).withColumnRenamed("qualified_name", "kind"), "kind").drop("kind")
+        assert sorted(map(str, named.collect())) == sorted(map(str, work(columns).collect()))
