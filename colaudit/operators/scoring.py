@@ -62,7 +62,7 @@ def _reasons(t: Thresholds) -> Column:
 
 
 def score_all(s: DataFrame, u: DataFrame, r: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """The necessity relation N, ranked: verdict order, score, name.
+    """The necessity relation N, ranked: verdict order, score, name; rows without a name come after the named ones.
 
     s, u and r follow SENSITIVITY, USAGE and RETENTION; further columns stay in the evidence.
     """
@@ -73,7 +73,7 @@ def score_all(s: DataFrame, u: DataFrame, r: DataFrame, t: Thresholds = Threshol
         part("usage", t.unused, "is_unused", 1 - F.col("usage")).alias("usage"), part("retention", t.stale, "is_stale", F.col("retention")).alias("staleness"), F.col("score").alias("product"),
     )
     g = g.select("*", breakdown.alias("breakdown"), _reasons(t).alias("reasons"), F.struct(F.col("s").alias("sensitivity"), F.col("u").alias("usage"), F.col("r").alias("retention")).alias("evidence"))
-    g = positions(g, verdict_order(F.col("verdict")), F.desc("score"), F.col("qualified_name"))
+    g = positions(g, verdict_order(F.col("verdict")), F.desc("score"), F.asc_nulls_last("qualified_name"))
     return g.select(
         "rank", "qualified_name", F.regexp_extract("qualified_name", r"\A(.*)\.", 1).alias("table"), F.substring_index("qualified_name", ".", -1).alias("column"), "score", "is_flagged", "verdict",
         "sensitivity", "usage", "retention", "is_sensitive", "is_unused", "is_stale", "breakdown", "reasons", "evidence",

@@ -59,3 +59,20 @@ def test_scores_on_the_edge_of_a_place(spark, tmp_path, data, name):
     rel = c.sql(registry.oracle_sql()[name])
     got = {tuple(r[k] for k in rel.columns) for r in df.collect()}
     assert got == set(rel.fetchall())
+
+
+@pytest.mark.parametrize("name", ["score_all_report"])
+def test_rows_without_a_key_are_ranked_last(spark, tmp_path, data, name):
+    """Among equal scores SQL puts a null key after the others."""
+    c = duckdb.connect()
+    given = {
+        "customer": "select * replace (nullif(c_custkey, (select min(c_custkey) from t where c_acctbal >= 5000)) as c_custkey) from t",
+        "orders": "select * from t limit 0", "events": "select * replace (case when event_id % 9 <> 1 then user_id end as user_id) from t",
+    }
+    for t, sql in given.items():
+        c.execute(f"copy (with t as (select * from '{data}/{t}.parquet') {sql}) to '{tmp_path}/{t}.parquet' (format parquet)")
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    rel = c.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, str(tmp_path)).collect()
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted((tuple(r[k] for k in rel.columns) for r in got), key=key) == sorted(rel.fetchall(), key=key)
